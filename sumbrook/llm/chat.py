@@ -54,7 +54,10 @@ def paths(nodes: DataFrame, most_rounds: int = 32) -> DataFrame:
     joined = nodes.select("conv_id", "node", "parent", "score").alias("n").join(known.alias("k"), F.col("n.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("n.parent") == F.col("k._p")), "left")
     reach = cut(joined.select("n.conv_id", "node", F.col("_p").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("total")))
     for _ in range(most_rounds):
-        if reach.where("up is not null").isEmpty():
+        open_rows, circular = reach.agg(F.count("up"), F.max(F.size("path") - F.size(F.array_distinct("path")))).first()
+        if circular:
+            break
+        if not open_rows:
             return reach.select("conv_id", "node", "path", (F.col("total") / F.size("path")).alias("mean_score"))
         above = reach.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("total").alias("_total"))
         open_ = reach.where("up is not null").join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n")))

@@ -118,6 +118,8 @@ class Model:
     def labels(self, documents: list[bytes]) -> tuple[Words, np.ndarray]:
         """The words of the documents and the language number of each word, by Viterbi in step over all documents."""
         found = Words(documents)
+        if not self.langs:
+            return found, np.zeros(len(found.codes), np.int16)
         emit, states = self.emissions(found)[found.codes], len(self.langs)
         by = np.argsort(-found.counts, kind="stable")  # longest first: those that still run at a step come first
         sizes, rank = found.counts[by], np.argsort(by, kind="stable")
@@ -139,7 +141,7 @@ class Model:
                 np.greater(change, now, out=jumped[o : o + n])
                 np.maximum(now, change, out=now)
             now += staged[o : o + n]
-        state = score.argmax(1) if states else np.zeros(len(sizes), np.int64)
+        state = score.argmax(1)
         chosen, flat, count = np.zeros(len(emit), np.int16), jumped.ravel(), np.arange(len(sizes)) * states
         for t in range(steps - 1, -1, -1):
             n, o = live[t], start[t]

@@ -2,7 +2,8 @@
 
 Documents with equal texts are linked. All copies of a text that are in one shard are one entry (group, shard, count),
 so a round of propagation joins entries, not documents, and a group of any size has 40 of them at most. In each round
-an entry moves towards the shard that holds most of its group, as far as the shard's quota admits. Documents without
+an entry moves towards the shard that holds most of its group (a group too large for one shard has several such
+homes), as far as the shard's quota admits. Documents without
 a link cut no edge wherever they are: they fill what is left. The law kept is `rows`: counts are at most one apart.
 """
 
@@ -35,14 +36,23 @@ def _sums(df: DataFrame, by: str, what: str, shards: int) -> list[int]:
 def _round(entries: DataFrame, quota: list[int], settled: list[int], salts: int) -> tuple[DataFrame, list[int], int]:
     """One round: entries after it, the settled documents of each shard, how many documents moved."""
     shards = len(quota)
-    open_ = F.element_at(_array([q - s for q, s in zip(quota, settled, strict=True)]), F.col("shard") + 1) > 0
-    best = entries.where(open_).groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("_b")).select("g", F.col("_b.n").alias("best_n"), (-F.col("_b.minus")).alias("to"))
-    wants = cut(entries.join(best, "g").where("shard <> to and (n < best_n or n = best_n and shard > to)").select("g", "shard", "n", "to", "best_n"))
+    # a group's homes are the shards that hold most of it, as many as it needs to fit into what others leave free
+    spare = [max(0, q - s) for q, s in zip(quota, settled, strict=True)]
+    by_count = W.partitionBy("g").orderBy(F.desc("n"), "shard")
+    ranked = entries.withColumn("open", _at(spare, "shard")).withColumn("_of", F.sum("n").over(W.partitionBy("g"))).where("open > 0")
+    filled = F.coalesce(F.sum("open").over(by_count.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = ranked.withColumn("home", filled < F.col("_of"))
+    end = F.sum(F.when(F.col("home"), F.greatest(F.col("open") - F.col("n"), F.lit(0))).otherwise(0)).over(by_count.rowsBetween(W.unboundedPreceding, 0))
+    homes = marked.withColumn("end", end).where("home").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("end", (-F.col("n")).alias("minus"), "shard"))).alias("homes"))  # a shard each
+    other = entries.join(homes, "g").where(~F.exists("homes", lambda h: h.shard == F.col("shard")))
+    offset = F.coalesce(F.sum("n").over(by_count.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fits = other.withColumn("_at", offset).withColumn("_h", F.filter("homes", lambda h: h.end > F.col("_at"))).where("size(_h) > 0").withColumn("_h", F.col("_h")[0])
+    wants = cut(fits.select("g", "shard", "n", F.col("_h.shard").alias("to"), (-F.col("_h.minus")).alias("best_n")).where("n <= best_n"))
     load, leaving = _sums(entries, "shard", "n", shards), _sums(wants, "shard", "n", shards)
     if not sum(leaving):
         return entries, settled, 0
     settled = [a - b for a, b in zip(load, leaving, strict=True)]
-    room = [max(0, q - a, (q - s) // 2) for q, a, s in zip(quota, load, settled, strict=True)]
+    room = [max(0, q - s) for q, s in zip(quota, settled, strict=True)]
     # the quota of a shard is dealt over salts, so that no task has to see all that want to go there
     salted = wants.withColumn("_salt", F.pmod(F.xxhash64("g"), F.lit(salts)).cast("int"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("to", "_salt").orderBy(F.desc("best_n"), "g", "shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

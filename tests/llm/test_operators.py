@@ -362,11 +362,11 @@ def test_shard_counts_of_the_mix_are_near_the_shares(spark, documents):
 def plain_hits(docs, items):
     windows = defaultdict(set)
     for item, text in items:
-        t = [w.lower() for w in WORD.findall((text or "").encode())]
+        t = WORD.findall((text or "").encode().lower())
         for i in range(max(1, len(t) - 12) if t else 0):
             windows[tuple(t[i : i + 13])].add(item)
     for doc_id, text in docs:
-        t = [w.lower() for w in WORD.findall((text or "").encode())]
+        t = WORD.findall((text or "").encode().lower())
         hit, found = set(), set()
         for n in {len(w) for w in windows}:
             for i in range(len(t) - n + 1):

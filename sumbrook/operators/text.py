@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..errors import AnalyticsError
 
@@ -102,8 +104,6 @@ def sections(documents: DataFrame) -> DataFrame:
     """
     lines = documents.select("document_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).where(F.col("line").isNotNull())
     # the heading a line is under is a running count within its document, whose lines are one text
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("document_id").orderBy("seq")
     heading = F.col("line").rlike(r"^#{1,6}\s+\S")
     marked = lines.withColumn("heading", heading).withColumn("section_index", F.sum(F.col("heading").cast("int")).over(order)).withColumn("section", F.last(F.when(F.col("heading"), F.regexp_replace("line", r"^#+\s+|\s+$", "")), True).over(order))
@@ -132,10 +132,15 @@ def hash_vector(text: str) -> list[float]:
     return [v / length for v in vector] if length else vector
 
 
-@F.pandas_udf("array<float>")
-def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.fillna("").map(hash_vector)
+def embed(texts: Column) -> Column:
+    """The hash vectors of a text column, in Arrow batches; null texts have the zero vector."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.fillna("").map(hash_vector)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.ArrayType(T.FloatType()))(texts)
 
 
 def embedding_text(section: Column, text: Column) -> Column:

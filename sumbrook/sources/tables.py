@@ -15,6 +15,9 @@ HEAD = 4096
 DELIMITERS = (",", ";", "\t", "|")
 TABLES, IMAGES, PDFS = (".csv", ".xlsx"), (".png", ".jpg", ".jpeg", ".webp"), (".pdf",)
 MAX_ROWS, MAX_COLUMNS = 500, 40
+CYRILLIC = "windows-1251"
+#: The upper half of bytes as Latin-1 and as Windows-1251.
+_HIGH = tuple(bytes(range(128, 256)).decode(c, "replace") for c in ("latin-1", "cp1251"))
 
 
 def file_kind(name: str) -> str:
@@ -25,9 +28,7 @@ def file_kind(name: str) -> str:
 def head(spark: SparkSession, path: str) -> tuple[int, bytes]:
     """Length and first bytes of a file, through Spark's own reader; the rest is not brought to the driver."""
     row = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEAD).alias("head")).first()
-    if row is None:
-        raise UnsupportedFormatError(f"No such file: {path}.")
-    return row.length, bytes(row.head)
+    return (row.length, bytes(row.head)) if row else (0, b"")  # the reader leaves empty files out
 
 
 def detect_format(name: str, length: int, first: bytes) -> str:
@@ -55,7 +56,7 @@ def encoding(first: bytes) -> str:
         except UnicodeDecodeError:
             if len(first) < HEAD:
                 break
-    return "windows-1251"
+    return CYRILLIC
 
 
 def delimiter(text: str) -> str:
@@ -95,8 +96,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     detect_format(path, length, first)
     code = encoding(first)
     sep = delimiter(first.decode(code, "ignore").lstrip("﻿"))
-    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", code).option("mode", "FAILFAST").option("enforceSchema", False).option("ignoreLeadingWhiteSpace", False)
-    return clean_frame(reader.option("multiLine", True).csv(path))
+    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", "ISO-8859-1" if code == CYRILLIC else code).option("mode", "FAILFAST")
+    df = reader.option("multiLine", True).csv(path)
+    if code == CYRILLIC:  # read byte by byte, as Spark's reader doesn't know the encoding
+        df = df.select(*(F.translate(F.col(column_name(c)), *_HIGH).alias(c.translate(str.maketrans(*_HIGH))) for c in df.columns))
+    return clean_frame(df.toDF(*("" if c == f"_c{i}" else c for i, c in enumerate(df.columns))))  # Spark's name of a blank header
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

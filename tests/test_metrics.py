@@ -23,7 +23,7 @@ def payments(spark):
 
 def test_ratio_of_sums_and_overall(payments):
     got = calculate_metric(payments, "success_rate", ["Channel"])
-    assert [(g.keys["Channel"], g.value, g.rows_used) for g in got.rows] == [("API", 55.0, 1), ("Web", 98.0, 2), (None, 100.0, 1)]
+    assert [(g.keys["Channel"], g.value, g.rows_used) for g in got.rows] == [("API", 55 / 100 * 100, 1), ("Web", 392 / 400 * 100, 2), (None, 100.0, 1)]
     assert got.overall.value == pytest.approx(451 / 504 * 100) and got.rows_matched == 4
 
 

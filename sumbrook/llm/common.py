@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Rows that one window partition of a salted rank is meant to hold.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 10_000
 #: Rows in an Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 2000
 

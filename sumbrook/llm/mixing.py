@@ -114,7 +114,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     spans = spans.select("doc_id", "size", "_key", "start", "block", low.alias("low"), high.alias("high"))
     uses = slots.groupBy("_key", "block").agg(F.collect_list("words").alias("uses"))  # one or two
-    met = spans.join(uses, ["_key", "block"], "left")
+    met = spans.join(uses.hint("merge"), ["_key", "block"], "left")  # both sides grow with the documents
     words = F.aggregate(F.coalesce("uses", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(F.col("high"), w) - F.col("low"), F.lit(0)))
     drawn = met.groupBy("doc_id", "size", "_key", "start").agg(F.sum(words).alias("taken")).drop("start")
     every = drawn.unionByName(placed.where("size = 0").select("doc_id", "size", "_key", F.lit(0).cast("long").alias("taken")))

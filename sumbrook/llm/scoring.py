@@ -26,7 +26,7 @@ ORDER = 2
 #: Added to each count of the unigrams.
 PRIOR = 0.1
 #: A history seen c times is taken to have about c ** GROWTH different successors; DISCOUNT of each goes to the shorter history.
-GROWTH = 0.75
+GROWTH = 0.9
 DISCOUNT = 0.8
 #: Bytes of text that a block is meant to hold.
 BLOCK_BYTES = 6 << 20

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +99,41 @@ def numeric_score(expected: DataFrame, actual: DataFrame, key: str = "key") -> D
 def signature(metric: Column, columns: Column, group_by: Column, filters: Column) -> Column:
     """A plan's structure as text: order matters in group_by only."""
     return F.to_json(F.struct(metric.alias("metric"), F.array_sort(columns).alias("columns"), group_by.alias("group_by"), F.array_sort(filters).alias("filters")))
+
+
+def arm_summary(observations: DataFrame) -> DataFrame:
+    """arm, cases, plan_ok, total, rate, tokens, latency, stable_cases, agreement of the observations of each arm.
+
+    A case is stable if all its repeats have one signature. Two shuffles: by arm and case, then by arm.
+    """
+    of = observations.groupBy("arm", "case_id", "signature").agg(F.count("*").alias("n"), F.count_if("plan_ok").alias("ok"), F.sum("tokens").alias("tokens"), F.sum("latency").alias("latency"))
+    case = of.groupBy("arm", "case_id").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("tokens").alias("tokens"), F.sum("latency").alias("latency"), F.max("n").alias("most"), F.count("*").alias("kinds"))
+    return case.groupBy("arm").agg(
+        F.count("*").alias("cases"), F.sum("ok").alias("plan_ok"), F.sum("n").alias("total"), F.round(F.sum("ok") / F.sum("n"), 4).alias("rate"), F.round(F.sum("tokens") / F.sum("n"), 1).alias("tokens"),
+        F.round(F.sum("latency") / F.sum("n"), 1).alias("latency"), F.count_if(F.col("kinds") == 1).alias("stable_cases"), F.round(F.avg(F.col("most") / F.col("n")), 4).alias("agreement"),
+    )
+
+
+def decide(arms: DataFrame, a: str, b: str) -> DataFrame:
+    """One row, arm, reason: the better accuracy wins, then the more stable, then the cheaper; a is kept on a tie."""
+    pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    gaps = arms.agg(*((pick(b, c) - pick(a, c)).alias(c) for c in ("rate", "agreement", "tokens")))
+    reason = F.when(F.col("rate") != 0, "accuracy").when(F.col("agreement") != 0, "stability").when(F.col("tokens") != 0, "cost").otherwise("tie")
+    better = F.when(F.col("rate") != 0, F.col("rate") > 0).when(F.col("agreement") != 0, F.col("agreement") > 0).otherwise(F.col("tokens") < 0)
+    return gaps.select(F.when(better, b).otherwise(a).alias("arm"), reason.alias("reason"))
+
+
+def history(observations: DataFrame) -> DataFrame:
+    """run, hits, total, rate of each run, and case rates beside it through `by_group_and_overall`."""
+    return observations.groupBy("run").agg(*ratio(F.col("plan_ok"))).orderBy("run")
+
+
+def plan_score(cases: DataFrame) -> DataFrame:
+    """case_id, metric_ok, columns_ok, grouping_ok, filters_ok, chart_ok, plan_ok of expected and predicted structs (e, p).
+
+    Columns and filters are sets, grouping is in order. A missing prediction fits nothing.
+    """
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    tests = {"metric_ok": F.col("e.metric") == F.col("p.metric"), "columns_ok": as_set(F.col("e.columns")) == as_set(F.col("p.columns")), "grouping_ok": F.col("e.group_by") == F.col("p.group_by"), "filters_ok": as_set(F.col("e.filters")) == as_set(F.col("p.filters"))}
+    scored = cases.select("case_id", *(F.coalesce(t, F.lit(False)).alias(n) for n, t in tests.items()), F.coalesce(F.col("e.chart") == F.col("p.chart"), F.lit(False)).alias("chart_ok"))
+    return scored.withColumn("plan_ok", reduce(lambda a, b: a & b, (F.col(n) for n in tests)))

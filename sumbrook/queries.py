@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import formatting, parsing, pii
 
-from .operators import charts, evalstats, facts, profile, retrieval, text, verify
+from .kinds import Kind
+from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, verify
 from .plans import questions
 from .plans.query import MetricQuery, key_text
 from .streaming.metrics import windowed_metric
@@ -455,11 +456,72 @@ def _eval_signature(s: SparkSession, d: str) -> DataFrame:
     return s.range(1).select(evalstats.signature(F.lit("m"), *arrays).alias("signature"))
 
 
+# --- context, arms, redaction
+
+
+@query("context_definition", "SELECT CAST(item_id AS VARCHAR) AS chunk_id, substr(text, 1, 500) AS quote FROM benchmark WHERE item_id % 2 = 0 AND contains(lower(text), 'de') ORDER BY item_id LIMIT 1")
+def _definition(s: SparkSession, d: str) -> DataFrame:
+    hits = table(s, d, "benchmark").select(F.col("item_id").alias("rank"), F.col("item_id").cast("string").alias("chunk_id"), "text", (F.col("item_id") % 2 == 0).alias("relevant"))
+    return context.definition(hits, ["DE"])
+
+
+@query("context_events", "SELECT CAST(item_id AS VARCHAR) AS chunk_id FROM benchmark WHERE item_id > 3 ORDER BY item_id LIMIT 2")
+def _events(s: SparkSession, d: str) -> DataFrame:
+    hits = table(s, d, "benchmark").select(F.col("item_id").alias("rank"), F.col("item_id").cast("string").alias("chunk_id"), F.lit(True).alias("relevant"))
+    return context.event_context(hits, hits.where("rank <= 3")).select("chunk_id")
+
+
+@query("context_event_sentences", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS sentences FROM orders")
+def _event_sentences(s: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("o_orderkey") % 2 == 0, "В марте прошло обновление. Всё тихо.").otherwise("Было обновление. Март.")
+    return table(s, d, "orders").select("o_orderkey", F.size(context.event_sentences(said)).alias("sentences"))
+
+
+@query("context_citations", "SELECT source AS citation, string_agg(DISTINCT lang, ',' ORDER BY lang) AS titles FROM documents GROUP BY source")
+def _citations(s: SparkSession, d: str) -> DataFrame:
+    found = context.citations(table(s, d, "documents").select(F.col("lang").alias("title"), F.array("source").alias("citations")))
+    return found.select("citation", F.array_join("titles", ",").alias("titles"))
+
+
+@query("index_stats", "SELECT count(DISTINCT lang) AS documents, count(*) AS chunks, count(DISTINCT source) AS datasets FROM documents WHERE lang <> 'de'")
+def _index_stats(s: SparkSession, d: str) -> DataFrame:
+    chunks = table(s, d, "documents").select(F.col("lang").alias("document_id"), F.col("source").alias("dataset_id"))
+    return context.index_stats(context.without(chunks, document_id="de"))
+
+
+@query("evidence_kinds", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'assumption' WHEN 2 THEN 'computed' ELSE 'assumption' END AS kind FROM benchmark")
+def _evidence_kinds(s: SparkSession, d: str) -> DataFrame:
+    b, k = table(s, d, "benchmark"), F.col("item_id") % 4
+    items = b.select("item_id", F.when(k < 2, "document").otherwise("computed").alias("kind"), F.col("item_id").alias("chunk_id"), F.when(k == 0, F.substring("text", 2, 15)).otherwise("#").alias("quote"), F.when(k == 2, "sum").otherwise("").alias("method"))
+    return context.evidence_kinds(items, b.select(F.col("item_id").alias("chunk_id"), "text"))
+
+
+ARMS = f"(SELECT *, ok AS plan_ok, latency * 2 AS tokens FROM {OBSERVATIONS})"
+
+
+@query("eval_arms", f"WITH c AS (SELECT arm, case_id, signature, count(*) AS n, count(*) FILTER (plan_ok) AS ok, sum(tokens) AS tokens, sum(latency) AS latency FROM {ARMS} GROUP BY 1, 2, 3), k AS (SELECT arm, case_id, sum(n) AS n, sum(ok) AS ok, sum(tokens) AS tokens, sum(latency) AS latency, max(n) AS most, count(*) AS kinds FROM c GROUP BY 1, 2) SELECT arm, count(*) AS cases, CAST(sum(ok) AS BIGINT) AS plan_ok, CAST(sum(n) AS BIGINT) AS total, round(CAST(sum(ok) AS DOUBLE) / sum(n), 4) AS rate, round(sum(tokens) / sum(n), 1) AS tokens, round(sum(latency) / sum(n), 1) AS latency, count(*) FILTER (kinds = 1) AS stable_cases, round(avg(most / CAST(n AS DOUBLE)), 4) AS agreement FROM k GROUP BY arm")
+def _arms(s: SparkSession, d: str) -> DataFrame:
+    return evalstats.arm_summary(_observations(s, d).withColumns({"plan_ok": F.col("ok"), "tokens": F.col("latency") * 2}))
+
+
+@query("eval_plan_score", "SELECT o_orderkey AS case_id, true AS metric_ok, true AS columns_ok, o_orderkey % 2 = 0 AS grouping_ok, o_orderkey % 3 <> 0 AS filters_ok, false AS chart_ok, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS plan_ok FROM orders")
+def _plan_score(s: SparkSession, d: str) -> DataFrame:
+    k, words = F.col("o_orderkey"), lambda *x: F.array(*map(F.lit, x))
+    plan = lambda columns, group, filters, chart: F.struct(F.lit("m").alias("metric"), columns.alias("columns"), group.alias("group_by"), filters.alias("filters"), chart.alias("chart"))
+    e = plan(words("a", "b"), words("t", "c"), words("x"), F.lit("bar"))
+    p = plan(words("b", "a", "a"), F.when(k % 2 == 0, words("t", "c")).otherwise(words("c", "t")), F.when(k % 3 == 0, words("y")).otherwise(words("x")), F.lit(None).cast("string"))
+    return evalstats.plan_score(table(s, d, "orders").select(k.alias("case_id"), e.alias("e"), p.alias("p")))
+
+
+@query("redacted_samples", "WITH v AS (SELECT c_mktsegment AS value, row_number() OVER (ORDER BY min(c_custkey)) AS rank FROM customer GROUP BY 1) SELECT 'c_mktsegment' AS \"column\", string_agg(value, ',' ORDER BY rank) AS \"values\" FROM v WHERE rank <= 3 UNION ALL SELECT 'c_name', '[hidden]'")
+def _redacted(s: SparkSession, d: str) -> DataFrame:
+    found = profile.sample_values(table(s, d, "customer"), ["c_mktsegment", "c_name"], "c_custkey")
+    return redact.redacted_samples(found, {"c_mktsegment": Kind.CATEGORICAL, "c_name": Kind.TEXT}, ["c_name"]).select("column", F.array_join("values", ",").alias("values"))
+
+
 # --- an addition
 
 
 @query("windowed_metric", f"SELECT date_trunc('day', ts) AS window_start, event_type, {EXACT.format('value')} AS value, count(*) AS rows_used FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def _windowed(s: SparkSession, d: str) -> DataFrame:
     return windowed_metric(table(s, d, "events"), "sum:value", "ts", group_by=["event_type"])
-
-

@@ -66,10 +66,11 @@ def coerce(c: Column, kind: Kind, pattern: str | None = None) -> Column:
 
 
 def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]:
-    """The kind, and for dates the pattern, of every text column, from one aggregate over the table.
+    """The kind, and for dates the pattern, of every text column.
 
     Booleans by words alone come before numbers (0.8 of the values parse), dates (0.8 of the first 500), categories
     (50 values at most, half as many as rows) and text. `row` orders the rows; the sample is those with row < 500.
+    One aggregate tests all columns; a second one counts the distinct values of those that are still open.
     """
     names = [c for c in df.columns if c != row]
     words = [t for t in TRUE_TOKENS + FALSE_TOKENS if t not in "01"]
@@ -77,26 +78,27 @@ def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]
     for i, name in enumerate(names):
         c = F.col(column_name(name))
         text = clean(c)
-        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(parse_numeric(c)).alias(f"f{i}"), F.count_distinct(text).alias(f"d{i}")]
+        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(parse_numeric(c)).alias(f"f{i}")]
         seen = F.col(row) < SAMPLE
         parts += [F.count(F.when(seen, text)).alias(f"s{i}")] + [F.count(F.when(seen, parse_datetime(c, p))).alias(f"p{i}_{k}") for k, p in enumerate(DATE_PATTERNS)]
-    r = df.agg(*parts).first()
-    found = {}
+    r, found = df.agg(*parts).first(), {}
     for i, name in enumerate(names):
         n, ratios = r[f"n{i}"], [r[f"p{i}_{k}"] / max(1, r[f"s{i}"]) for k in range(len(DATE_PATTERNS))]
         best = max(range(len(ratios)), key=lambda k: (ratios[k], -k))
-        if not n:
-            found[name] = (Kind.TEXT, None)
-        elif r[f"b{i}"] == n:
+        if n and r[f"b{i}"] == n:
             found[name] = (Kind.BOOLEAN, None)
-        elif r[f"f{i}"] >= MIN_RATIO * n:
+        elif n and r[f"f{i}"] >= MIN_RATIO * n:
             found[name] = (Kind.NUMERIC, None)
-        elif ratios[best] >= MIN_RATIO:
+        elif n and ratios[best] >= MIN_RATIO:
             found[name] = (Kind.DATETIME, DATE_PATTERNS[best])
-        elif r[f"d{i}"] <= MAX_CATEGORIES and r[f"d{i}"] <= MAX_CATEGORY_RATIO * n:
-            found[name] = (Kind.CATEGORICAL, None)
         else:
             found[name] = (Kind.TEXT, None)
+    open_ = [i for i, name in enumerate(names) if found[name][0] is Kind.TEXT and r[f"n{i}"]]
+    if open_:
+        distinct = df.agg(*(F.count_distinct(clean(F.col(column_name(names[i])))) for i in open_)).first()
+        for i, d in zip(open_, distinct, strict=True):
+            if d <= MAX_CATEGORIES and d <= MAX_CATEGORY_RATIO * r[f"n{i}"]:
+                found[names[i]] = (Kind.CATEGORICAL, None)
     return found
 
 

@@ -111,6 +111,20 @@ def sections(documents: DataFrame) -> DataFrame:
     return body.select("document_id", F.col("section_index").cast("int"), F.coalesce("section", F.lit("")).alias("section"), "seq", F.lit(1).alias("page"), F.trim("line").alias("text"))
 
 
+def html_text(html: Column) -> Column:
+    """Headings, paragraphs and list items of a page as Markdown lines; scripts, styles and other tags go."""
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    parts = F.regexp_extract_all(body, F.lit(r"(?is)<(h[1-6]|p|li)\b[^>]*>.*?</\1\s*>"), F.lit(0))
+
+    def line(part: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.regexp_replace(part, "(?s)<[^>]*>", " "), r"\s+", " "))
+        for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(mark), F.lit(char))
+        return F.when(part.rlike("(?i)^<h"), F.concat(F.lit("# "), plain)).otherwise(plain)
+
+    return F.array_join(F.filter(F.transform(parts, line), lambda x: ~x.isin("", "# ")), "\n")
+
+
 def hash_vector(text: str) -> list[float]:
     """The offline embedding: words, five-letter stems and trigrams, signed and hashed to DIM places, of length 1."""
     vector = [0.0] * DIM

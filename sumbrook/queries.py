@@ -342,6 +342,11 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return text.chunk_documents(text.sections(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")))
 
 
+@query("html_chunks")
+def _html_chunks(s: SparkSession, d: str) -> DataFrame:
+    return text.chunk_documents(text.sections(table(s, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), text.html_text(F.col("html")).alias("text"))))
+
+
 @query("hash_embedding_search")
 def _hash_search(s: SparkSession, d: str) -> DataFrame:
     embedded = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), text.embed(F.col("text")).alias("embedding"))

@@ -74,6 +74,11 @@ def test_sections_and_chunk_ids(spark):
     assert got == [("d1-0000", "", "Intro text."), ("d1-0001", "One", "Body one.\nMore."), ("d1-0002", "Two", "Body two.")]
 
 
+def test_html(spark):
+    page = "<html><script>var t='</p>';</script><H1 class=x>A &amp; B</H1><p>One <b>two</b>\n three</p><ul><li>x</li></ul><p></p>"
+    assert spark.createDataFrame([(page,)], "h string").select(text.html_text(F.col("h")).alias("t")).first().t == "# A & B\nOne two three\nx"
+
+
 def test_hash_vectors(spark):
     a, b, c = (text.hash_vector(x) for x in ("количество транзакций", "Количество транзакции", "the of"))
     assert math.fsum(x * x for x in a) == pytest.approx(1) and c == [0.0] * text.DIM

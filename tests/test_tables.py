@@ -136,3 +136,15 @@ def test_calculates_on_typed_text(spark):
     df = spark.createDataFrame([(0, "1,5", "A"), (1, "2,5", "B"), (2, "x", "B"), (3, "4", "A"), (4, "1", "A")], "_row long, v string, g string")
     typed = parsing.typed(df, parsing.detect(df))
     assert [g.value for g in calculate_metric(typed.drop("_row"), "sum:v", ["g"]).rows] == [6.5, 2.5]
+
+
+def test_result_files(spark, tmp_path):
+    import hashlib
+
+    from sumbrook.sources.results import file_digests, write_json
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"abc")
+    assert [(r.length, r.sha256) for r in file_digests(spark, str(tmp_path / "in")).collect()] == [(3, hashlib.sha256(b"abc").hexdigest())]
+    write_json(spark.createDataFrame([(1, None)], "a long, b string"), str(tmp_path / "out"), "d")
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("a", "b", "input_sha256").collect()] == [(1, None, "d")]

@@ -125,4 +125,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataF
     """The rows of docs, each as often as the mix takes its words, rounded: none, once or twice."""
     taken = mix(docs, block, seed).where("size > 0").withColumn("_times", F.round(F.col("taken") / F.col("size")).cast("int"))
     times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times")).where("_times > 0")
-    return docs.join(times, docs.doc_id == times._id).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return docs.join(times, docs.doc_id.eqNullSafe(times._id)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +114,3 @@ def typed(df: DataFrame, kinds: dict[str, tuple[Kind, str | None]]) -> DataFrame
         typed_value = value.cast("long") if longs.get(str(i)) else value
         out += [typed_value.alias(name, metadata={"kind": kind.value}), (clean(c).isNotNull() & value.isNull()).alias(f"{name}__invalid")]
     return df.select(*[c for c in df.columns if c not in kinds], *out)
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

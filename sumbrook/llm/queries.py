@@ -94,4 +94,24 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op8_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+        ), windows AS (
+            SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS said, least(len(w), 13) AS n FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0
+        ), places AS (
+            SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS said FROM d, (SELECT DISTINCT n FROM windows) l, unnest(range(1, len(w) - n + 2)) t(i)
+        ), hits AS (
+            SELECT r, i, p.n, item_id FROM places p JOIN windows x ON p.said = x.said AND p.n = x.n
+        ), covered AS (
+            SELECT r, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) u(k) GROUP BY r
+        ), items AS (
+            SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
 }

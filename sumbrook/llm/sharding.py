@@ -95,7 +95,7 @@ def assign(marked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     room, ends = [q - k for q, k in zip(quota, kept, strict=True)], []
     for r in room:
         ends.append((ends or [0])[-1] + r)
-    joined = marked.join(groups, "g", "left")
+    joined = cut(marked.join(groups, "g", "left"))
     linked = running(joined.where("_n is not null"), ["g"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.lit(1), "_rank", salts)
     single = running(joined.where("_n is null").withColumn("_all", F.lit(0)), ["_all"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.lit(1), "_rank", salts).drop("_all")
     pool = F.when(F.col("_n").isNull(), F.col("_rank") + rest).otherwise(F.col("_pool") + F.col("_rank") - F.col("_kept"))
@@ -116,6 +116,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     link = F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit("second"), F.col("text"))), F.lit(" "), F.octet_length("text").cast("string"))
     marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(link, F.lit("null")).alias("g")).withColumn("_turn", F.xxhash64(F.lit("shard"), F.col("doc_id").cast("string"), F.col("g"))))
-    placed = assign(marked, shards, rounds)
+    placed = cut(assign(marked, shards, rounds))
     slotted = running(placed, ["shard"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.lit(1), "slot", buckets_for(marked.count()))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

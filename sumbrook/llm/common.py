@@ -91,5 +91,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """The column's values as bytes; null is empty."""
-    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+    """The column's values, text or bytes, as bytes; null is empty."""
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]

@@ -9,7 +9,8 @@ and the remaining words are compared one by one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +105,14 @@ def _count(index: Broadcast):
     return run
 
 
-def _match(index: Broadcast, last: bool):
-    """Adds this index's hits to the columns `hits` (begin and end of hit words, in turn) and `items`; the last drops the text."""
+def _match(index: Broadcast, state: tuple[str, str], finish: Callable[..., pa.RecordBatch]):
+    """Adds this index's hits to the two state columns (begin and end of hit words, in turn; items), then calls finish."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
         for batch in slices(batches, "text"):
             ids, begins = own.ids(texts(batch, "text"))
-            n = len(begins) - 1
-            hits, items = batch.column(batch.schema.get_field_index("hits")).to_pylist(), batch.column(batch.schema.get_field_index("items")).to_pylist()
+            hits, items = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state)
             for begin, window, document in own.matches(ids, begins):
                 edge = np.zeros(len(ids) + 1, np.int32)
                 np.add.at(edge, begin, 1)
@@ -126,27 +126,48 @@ def _match(index: Broadcast, last: bool):
                         hits[d] += [int(a - begins[d]), int(b - begins[d])]
                 for d, w in np.unique(np.stack((document, window)), axis=1).T:
                     items[d] += own.items[w]
-            kept = [c for c in batch.schema.names if c not in ("hits", "items", "n_words", *("text",) * last)]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.diff(begins), pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items] if n else [], pa.list_(pa.string()))],
-                [*kept, "n_words", "hits", "items"],
-            )
+            yield finish(batch, np.diff(begins), hits, [sorted(set(x)) for x in items])
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, n_hit, sha = batch.to_pydict(), [], []
-        for hits, items in zip(rows["hits"], rows["items"], strict=True):
-            total = reach = 0
-            for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)):
-                total += max(0, b - max(a, reach))
-                reach = max(reach, b)
-            n_hit.append(total)
-            sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("n_words")), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in rows["items"]], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+def _others(batch: pa.RecordBatch, state: tuple[str, str]) -> pa.RecordBatch:
+    return batch.select([c for c in batch.schema.names if c not in state])
+
+
+def _carry(state: tuple[str, str]):
+    """For the next index: the rows with their state."""
+
+    def finish(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        rows = _others(batch, state)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, *state])
+
+    return finish
+
+
+def _hit_words(spans: list[int]) -> int:
+    """The words in any of the spans, which may overlap."""
+    total = reach = 0
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        total += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return total
+
+
+def _digest(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    columns = [pa.array(n_words, pa.int64()), pa.array(map(_hit_words, hits), pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sha, pa.string())]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+
+def _clean(state: tuple[str, str]):
+    """The rows that are not contaminated, without their state."""
+
+    def finish(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        found = np.array(list(map(_hit_words, hits)), np.int64)
+        return _others(batch, state).filter(pa.array((found == 0) | (20 * found < n_words)))
+
+    return finish
 
 
 def _indexes(benchmark: DataFrame, most: int) -> Iterator[Index]:
@@ -162,6 +183,27 @@ def _indexes(benchmark: DataFrame, most: int) -> Iterator[Index]:
         yield Index(held)
 
 
+def _parts(text: DataFrame, benchmark: DataFrame, most: int) -> list[Broadcast]:
+    """The broadcast indexes, ready to match; each is bounded by `most` words."""
+    context, found = text.sparkSession.sparkContext, []
+    for index in _indexes(benchmark, most):
+        raw = context.broadcast(index)
+        counts = text.mapInArrow(_count(raw), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the index
+        found.append(context.broadcast(index.prefix({r.word: r.n for r in counts})))
+        raw.unpersist()
+    return found or [context.broadcast(Index([]).prefix({}))]
+
+
+def _through(rows: DataFrame, parts: list[Broadcast], last: Callable[[tuple[str, str]], Callable], schema) -> DataFrame:
+    """The rows through all indexes, one after the other, without a shuffle."""
+    mark = uuid.uuid4().hex  # so that no column of the rows has the name
+    state = (f"hits_{mark}", f"items_{mark}")
+    rows = rows.withColumns({state[0]: F.expr("cast(array() as array<long>)"), state[1]: F.expr("cast(array() as array<string>)")})
+    for part in parts[:-1]:
+        rows = rows.mapInArrow(_match(part, state, _carry(state)), rows.schema)
+    return rows.mapInArrow(_match(parts[-1], state, last(state)), schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row.
 
@@ -170,19 +212,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDE
     read in parts of `index_words` words, which bounds each broadcast; the parts are applied one after the other in
     one pass over the documents, without a shuffle. Documents of any length are processed whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    empty = "cast(0 as long) n_words", "cast(array() as array<long>) hits", "cast(array() as array<string>) items"
-    parts = []
-    for index in _indexes(benchmark, index_words):
-        raw = spark.sparkContext.broadcast(index)
-        counts = text.select("text").mapInArrow(_count(raw), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the index
-        parts.append(spark.sparkContext.broadcast(index.prefix({r.word: r.n for r in counts})))
-        raw.unpersist()
-    parts = parts or [spark.sparkContext.broadcast(Index([]).prefix({}))]
-    state = text.selectExpr("*", *empty)
-    for part in parts:
-        state = state.mapInArrow(_match(part, part is parts[-1]), state.drop("text").schema if part is parts[-1] else state.schema)
-    found = state.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    parts = _parts(text.select("text"), benchmark, index_words)
+    found = _through(text, parts, lambda _: _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+    """The rows of docs that `contamination` calls clean, unchanged; rows pass through in one step, without a join."""
+    small_batches(docs.sparkSession)
+    parts = _parts(docs.select(F.col("text").cast("binary").alias("text")), benchmark, index_words)
+    return _through(docs, parts, _clean, docs.schema)

@@ -29,6 +29,8 @@ WORD_LIMIT = 12.0
 #: A language may use a script if it makes up this share of its letters in training.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
+#: Bytes of text that are labelled at once; a worker needs some fifty times as much memory.
+PIECE = 3 << 20
 
 # fixed values: first code points of script ranges (Unicode blocks) and the script of each
 SCRIPT_STARTS = [0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00]
@@ -76,7 +78,7 @@ class Words:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE):
         found, langs = Words(texts(batch, "text")), np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object)
         which, names = pd.factorize(langs)
         of_word = np.repeat(which, found.counts)
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each learned language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             names, shares, spans = held.value.predict(texts(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array([len(x) for x in spans], pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"])
 
@@ -211,7 +213,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             names, _, _ = held.value.predict(texts(batch, "text"))
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 

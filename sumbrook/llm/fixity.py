@@ -1,8 +1,10 @@
 """Merkle audit of archives of WARC records.
 
-A record's leaf covers its range of offsets in its file and hashes that range with the record's digest. Leaves in
-offset order are joined FAN at a time into the next level, up to one root a file. Two replicas are compared at the
-roots; only children of nodes that differ are read further down, so equal files cost one row.
+A record's leaf covers its range of offsets in its file and hashes its slot with its length and digest. Slots are the
+reference's: a replica's record takes the slot of the reference's record of the same page and occurrence, so bytes that
+were added or lost don't change the leaves after them; where the replica holds a record is compared apart, as `moved`.
+Leaves in order of slots are joined FAN at a time into the next level, up to one root a file. Two replicas are compared
+at the roots; only children of nodes that differ are read further down, so equal files cost one row.
 """
 
 from __future__ import annotations
@@ -30,11 +32,26 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def archive(records_: DataFrame, files: int) -> DataFrame:
-    """file, seq, offset, length, page_id, digest of each record. A file takes the records that hash to it, by page_id, then digest."""
+    """file, seq, offset, length, page_id, digest, copy of each record. A file takes the records that hash to it, by page_id, then digest; copy numbers those of a page."""
     hashed = records_.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     filed = hashed.withColumn("file", F.pmod(F.xxhash64("page_id", F.lit("file")), F.lit(files)))
     order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    return filed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "digest")
+    return filed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "digest", F.row_number().over(W.partitionBy("file", "page_id").orderBy("digest")).alias("copy"))
+
+
+def slotted(theirs: DataFrame, mine: DataFrame) -> DataFrame:
+    """theirs, an archive, with seq the slot in mine and at the record's offset there; own stays its offset in theirs.
+
+    Records whose page, or whose copy of it, mine lacks take the slots after a file's last one; their at is null.
+    """
+    slots = mine.select(F.col("file").alias("_file"), F.col("page_id").alias("_page"), F.col("copy").alias("_copy"), F.col("seq").alias("_seq"), F.col("offset").alias("at"))
+    met = theirs.withColumnRenamed("offset", "own").drop("seq").join(slots, [F.col("file") == F.col("_file"), F.col("page_id").eqNullSafe(F.col("_page")), F.col("copy") == F.col("_copy")], "left")
+    met = cut(met.select("file", F.col("_seq").alias("seq"), "own", "at", "length", "page_id", "digest", "copy"))
+    ends = mine.groupBy("file").agg((F.max("seq") + 1).alias("_end"))
+    more = met.where("seq is null").join(ends, "file", "left")
+    number = F.row_number().over(W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "copy")) - 1
+    more = more.withColumn("seq", (F.coalesce("_end", F.lit(0)) + number).cast("long")).drop("_end")
+    return cut(met.where("seq is not null").unionByName(more))
 
 
 def _hash(*parts: Column) -> Column:
@@ -42,8 +59,11 @@ def _hash(*parts: Column) -> Column:
 
 
 def tree(placed: DataFrame) -> DataFrame:
-    """level, file, node, begin, end, hash of every node. Level 0 are the records; a file's root is on its highest level."""
-    now = placed.select(F.lit(0).alias("level"), "file", F.col("seq").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), _hash(F.col("offset").cast("string"), F.col("length").cast("string"), F.col("digest")).alias("hash"))
+    """level, file, node, begin, end, hash of every node. Level 0 are the records; a file's root is on its highest level.
+
+    A slot may be empty: leaves hash their slot. begin and end are those of the archive that placed is of.
+    """
+    now = placed.select(F.lit(0).alias("level"), "file", F.col("seq").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), _hash(F.col("seq").cast("string"), F.col("length").cast("string"), F.col("digest")).alias("hash"))
     every = now = cut(now)
     for level in range(1, _LEVELS):
         many = now.groupBy("file").count().where("count > 1").select("file")
@@ -51,7 +71,7 @@ def tree(placed: DataFrame) -> DataFrame:
             break
         child = F.struct("node", "begin", "end", "hash")
         up = now.join(many, "file", "left_semi").groupBy("file", F.floor(F.col("node") / FAN).cast("long").alias("above")).agg(F.array_sort(F.collect_list(child)).alias("c"))  # FAN children at most
-        now = cut(up.select(F.lit(level).alias("level"), "file", F.col("above").alias("node"), F.element_at("c", 1)["begin"].alias("begin"), F.element_at("c", -1)["end"].alias("end"), _hash(F.array_join("c.hash", "")).alias("hash")))
+        now = cut(up.select(F.lit(level).alias("level"), "file", F.col("above").alias("node"), F.array_min("c.begin").alias("begin"), F.array_max("c.end").alias("end"), _hash(F.array_join("c.hash", "")).alias("hash")))
         every = every.unionByName(now)
     return every
 
@@ -88,13 +108,39 @@ def _side(t: DataFrame, level: int, mark: str) -> DataFrame:
     return t.where(F.col("level") == level).select("file", "node", *(F.col(c).alias(f"{mark}_{c}") for c in ("begin", "end", "hash")))
 
 
+def _matched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """file, seq, page_id, offset, length, digest, state, moved of the differing records of left (an archive) and right (a slotted one).
+
+    Copies of a page are in order of digest, so one that changed shifts others: equal records are matched first, then what is left of each page.
+    """
+    sides = [left.select("file", "page_id", "digest", "seq", F.struct("seq", "offset", "length", "digest").alias("l")), right.select("file", "page_id", "digest", "seq", F.struct("seq", F.col("own").alias("offset"), "length", "digest").alias("r"))]
+
+    def join(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy("digest", "seq")
+        a = one.withColumn("n", F.row_number().over(order)).select("file", "page_id", "n", "digest", "l").alias("a")
+        b = other.withColumn("n", F.row_number().over(order)).select("file", "page_id", "n", "digest", "r").alias("b")
+        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "n"]]
+        return a.join(b, on, "full").select(F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.page_id", "b.page_id").alias("page_id"), "l", "r")
+
+    equal = cut(join(*sides, ["file", "page_id", "digest"]))
+    lost, new = equal.where("r is null"), equal.where("l is null")
+    rest = join(lost.select("file", "page_id", "l.digest", "l.seq", "l"), new.select("file", "page_id", "r.digest", "r.seq", "r"), ["file", "page_id"])
+    both = equal.where("l is not null and r is not null").withColumn("state", F.lit("same")).unionByName(rest.withColumn("state", F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "added").otherwise("changed")))
+    one = F.coalesce("l", "r")
+    return both.select("page_id", "file", *(one[c].alias(c) for c in ("seq", "offset", "length", "digest")), "state", F.coalesce(F.col("l.offset") != F.col("r.offset"), F.lit(False)).alias("moved"))
+
+
 def audit(pages: DataFrame, replica: DataFrame, files: int | None = None) -> DataFrame:
-    """page_id, file, seq, offset, length, digest, state of each of the pages' records: `same` or as `compare` says.
+    """page_id, file, seq, offset, length, digest, state, moved of each of the pages' records: `same`, `changed` or `missing` in the replica.
 
-    replica has the columns of pages. Records that only the replica has come with page_id, offset and so on null but for
-    file, seq and state. Repeated pages are records of their own; a null page_id sorts first. Empty tables give no rows.
+    replica has the columns of pages. Records that only the replica has are `added`, with its offset, length and digest,
+    and a seq after the file's last. moved tells that the replica holds the record at another offset, whatever its
+    state. Repeated pages are records of their own; a null page_id sorts first. Empty tables give no rows.
     """
     files = files or max(1, -(-pages.count() // RECORDS_PER_FILE))
-    mine, theirs = cut(archive(records(pages), files)), cut(archive(records(replica), files))
-    differ = compare(tree(mine), tree(theirs)).select("file", "seq", "state")
-    return mine.join(differ, ["file", "seq"], "full").select("page_id", "file", "seq", "offset", "length", "digest", F.coalesce("state", F.lit("same")).alias("state"))
+    mine = cut(archive(records(pages), files))
+    theirs = slotted(cut(archive(records(replica), files)), mine)
+    differ = cut(compare(tree(mine), tree(theirs.withColumnRenamed("own", "offset"))).select("file", "seq"))
+    found = _matched(mine.join(differ, ["file", "seq"], "left_semi"), theirs.join(differ, ["file", "seq"], "left_semi"))
+    equal = theirs.join(differ, ["file", "seq"], "left_anti")  # leaves with equal hashes are equal to mine
+    return equal.select("page_id", "file", "seq", F.col("at").alias("offset"), "length", "digest", F.lit("same").alias("state"), (F.col("at") != F.col("own")).alias("moved")).unionByName(found)

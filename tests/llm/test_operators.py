@@ -296,6 +296,29 @@ def test_fixity_of_missing_and_odd_records(spark):
     assert {r.state for r in fixity.audit(one, one.limit(0), 2).collect()} == {"missing"}
 
 
+def test_fixity_locates_added_and_lost_bytes(spark, sf_dir):
+    got = queries.op6_merkle_fixity(spark, sf_dir).collect()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r.page_id for r in pages.collect() if r.page_id % 1000 == 17}
+    assert len(got) == pages.count() and want and {(r.page_id, r.state) for r in got if r.state != "same"} == {(i, "changed") for i in want}
+    ends = {f: min(r.offset for r in got if r.file == f and r.state != "same") for f in {r.file for r in got if r.state != "same"}}
+    assert all(r.moved == (r.file in ends and r.offset > ends[r.file]) for r in got)
+    lost = [r for r in fixity.audit(pages, pages.where("page_id <> 20"), 1).collect() if r.state != "same"]
+    assert [(r.page_id, r.state) for r in lost] == [(20, "missing")]
+    new = [r for r in fixity.audit(pages.where("page_id <> 20"), pages, 1).collect() if r.state != "same"]
+    assert [(r.page_id, r.state) for r in new] == [(20, "added")]
+
+
+def test_fixity_of_damaged_copies(spark):
+    schema = "page_id long, url string, html string"
+    one = [(i, "u", "x" * i) for i in range(300)] + [(7, "u", t) for t in "abcde"] + [(None, "u", t) for t in "abc"]
+    for old, new in [("a", "z"), ("c", "0"), ("e", "")]:
+        other = [(7, "u", new) if r == (7, "u", old) else r for r in one if r != (None, "u", "b")]
+        rows = fixity.audit(spark.createDataFrame(one, schema), spark.createDataFrame(other, schema), 1).collect()
+        digest = {hashlib.sha256(r.record).hexdigest(): r.record.split(b"\r\n\r\n")[1].decode() for r in fixity.records(spark.createDataFrame(one, schema)).collect()}
+        assert len(rows) == len(one) and sorted((r.page_id or 0, r.state, digest[r.digest]) for r in rows if r.state != "same") == [(0, "missing", "b"), (7, "changed", old)]
+
+
 # --- mixing
 
 

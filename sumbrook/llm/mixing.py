@@ -121,8 +121,20 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
     return every.join(sources.select("_key", "source_size", "target"), "_key").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its words, rounded: none, once or twice."""
-    taken = mix(docs, block, seed).where("size > 0").withColumn("_times", F.round(F.col("taken") / F.col("size")).cast("int"))
-    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times")).where("_times > 0")
-    return docs.join(times, docs.doc_id.eqNullSafe(times._id)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows of docs, each none, once or twice, so that every source's words meet its target to half a document.
+
+    A row is copied as often as the target holds its whole source. The words that are then left go to the front of the
+    source's rows in a pseudorandom order: those that lie in them by half or more come once more. Rows count one by one:
+    neither a null nor a repeated doc_id ties them together.
+    """
+    turn = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text"))
+    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")).where("_words > 0")
+    sized = cut(sized.withColumn("_key", source_key(F.col("source"))).withColumn("_turn", turn))
+    sources = cut(targets(sized.select("_key", F.col("source").cast("string").alias("source"), F.col("_words").alias("size"))))
+    goal = F.round("target").cast("long")
+    goals = sources.select("_key", F.floor(goal / F.col("source_size")).cast("int").alias("_whole"), (goal % F.col("source_size")).alias("_left"))
+    placed = running(sized, ["_key"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.col("_words"), "_start", buckets_for(sized.count()))
+    more = F.when(2 * F.col("_start") + F.col("_words") <= 2 * F.col("_left"), 1).otherwise(0)
+    drawn = placed.join(goals, "_key").withColumn("_times", F.col("_whole") + more).where("_times > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

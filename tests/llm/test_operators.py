@@ -380,6 +380,19 @@ def test_shard_counts_of_the_mix_are_near_the_shares(spark, documents):
     assert max(uses.values()) <= 2
 
 
+def test_mixed_documents_meet_each_target(spark):
+    draw = random.Random(5)
+    rows = [(i, "w " * draw.randint(1500, 2500), f"s{i % 6}") for i in range(240)] + [(None, f"{i} " + "v " * 400, "s6") for i in range(60)]
+    got, size, kept, longest = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect(), Counter(), Counter(), Counter()
+    for _, text, source in rows:
+        size[source] += len(text.split())
+        longest[source] = max(longest[source], len(text.split()))
+    for r in got:
+        kept[r.source] += len(r.text.split())
+    assert set(Counter(map(tuple, got)).values()) <= {1, 2} and set(map(tuple, got)) <= set(rows)
+    assert all(abs(kept[s] - t) <= longest[s] / 2 + 1 for s, t in plain_targets(size).items())
+
+
 # --- decontamination
 
 

@@ -101,24 +101,40 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> tuple[DataFr
     return placed.unionByName(none).select("doc_id", "size", "_key", "start"), sources, _slots(sources, block, seed, max(1, n))
 
 
+def packed(placed: DataFrame, sources: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, shard, position, block, words, spans of each slot of the mix that plan_mix planned.
+
+    spans are the block's words in order, as far as the slot takes them: doc_id, start (of the document in its source's
+    stream), and begin and end (counted in the document's words).
+    """
+    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
+    met = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0).cast("long"))
+    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block).cast("long"))
+    blocks = met.groupBy("_key", "block").agg(F.array_sort(F.collect_list(F.struct(low.alias("low"), high.alias("high"), "start", "doc_id"))).alias("held"))  # `block` spans at most
+    dealt = slots.hint("merge").join(blocks, ["_key", "block"])  # both sides grow with the documents
+    begun = F.filter("held", lambda h: h.low < F.col("words"))
+
+    def span(h: Column) -> Column:
+        at = F.col("block") * block - h.start
+        return F.struct(h.doc_id.alias("doc_id"), h.start.alias("start"), (at + h.low).alias("begin"), (at + F.least(h.high, F.col("words"))).alias("end"))
+
+    return dealt.join(sources.select("_key", "source"), "_key").select("source", "shard", "position", "block", "words", F.transform(begun, span).alias("spans"))
+
+
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row: how many of its words the mix takes, repeats counted.
+    """doc_id, size, source_size, target, taken of each row: how many of its words the packed slots hold, repeats counted.
 
     A source's taken words are its target rounded; none is taken more than twice. Null and blank texts have no words
     and are never taken. A null source is a source, the last one. Repeated rows are documents of their own. Equal seeds
     give equal mixes. Columns other than doc_id, source and text are not read. No documents give no rows.
     """
     placed, sources, slots = plan_mix(docs, block, seed)
-    spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
-    low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    spans = spans.select("doc_id", "size", "_key", "start", "block", low.alias("low"), high.alias("high"))
-    uses = slots.groupBy("_key", "block").agg(F.collect_list("words").alias("uses"))  # one or two
-    met = spans.join(uses.hint("merge"), ["_key", "block"], "left")  # both sides grow with the documents
-    words = F.aggregate(F.coalesce("uses", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(F.col("high"), w) - F.col("low"), F.lit(0)))
-    drawn = met.groupBy("doc_id", "size", "_key", "start").agg(F.sum(words).alias("taken")).drop("start")
-    every = drawn.unionByName(placed.where("size = 0").select("doc_id", "size", "_key", F.lit(0).cast("long").alias("taken")))
-    return every.join(sources.select("_key", "source_size", "target"), "_key").select("doc_id", "size", "source_size", "target", "taken")
+    placed = cut(placed)
+    dealt = cut(packed(placed, sources, slots, block))
+    used = dealt.select(source_key(F.col("source")).alias("_key"), F.inline("spans")).groupBy("_key", "start").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    every = placed.join(used.hint("merge"), ["_key", "start"], "left")  # a start is one document's; rows without words have none
+    return every.join(sources.select("_key", "source_size", "target"), "_key").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:

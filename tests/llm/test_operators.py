@@ -380,6 +380,24 @@ def test_shard_counts_of_the_mix_are_near_the_shares(spark, documents):
     assert max(uses.values()) <= 2
 
 
+def test_packed_slots_hold_the_mix(spark, documents):
+    df = spark.createDataFrame(documents)
+    placed, sources, slots = mixing.plan_mix(df, 16)
+    rows, size = mixing.packed(placed, sources, slots, 16).collect(), {r.doc_id: len(BLANK.findall((r.text or "").encode())) for r in documents}
+    assert sorted(r.shard * mixing.SLOTS_PER_SHARD + r.position for r in rows) == list(range(len(rows))) and len(rows) == slots.count()
+    held, words, source_of = Counter(), Counter(), {r.doc_id: r.source for r in documents}
+    for r in rows:
+        at = r.block * 16
+        for s in r.spans:
+            assert 0 <= s.begin < s.end <= size[s.doc_id] and s.start + s.begin == at and source_of[s.doc_id] == r.source
+            at += s.end - s.begin
+            held[s.doc_id] += s.end - s.begin
+        assert at - r.block * 16 == r.words
+        words[r.source] += r.words
+    assert all(words[r.source] == round(r.target) for r in sources.collect())
+    assert all(held[r.doc_id] == r.taken for r in mixing.mix(df, 16).collect())
+
+
 def test_mixed_documents_meet_each_target(spark):
     draw = random.Random(5)
     rows = [(i, "w " * draw.randint(1500, 2500), f"s{i % 6}") for i in range(240)] + [(None, f"{i} " + "v " * 400, "s6") for i in range(60)]

@@ -1,14 +1,18 @@
 """Language-model scores of texts by a weighted backoff automaton over word n-grams.
 
-States are the histories of up to ORDER - 1 words that training has seen. A state has an arc for every word that
-followed it, with the smoothed log-probability, and a failure arc to the history that is one word shorter, with the
-log of the weight that smoothing leaves to it; the empty history knows every word. A text is traversed once: each
-word takes the arc of the longest history that has it and pays for the failure arcs before it. A state is named by a
-64-bit hash of its history, so the states of all positions of a block of texts are found in one vector step.
+States are the histories of up to ORDER - 1 words that training has seen, and the begin of a text. A state has an arc
+for every word that followed it there, with the smoothed log-probability and the state that the word leads to, and a
+failure arc to the history that is one word shorter, with the log of the weight that smoothing leaves to it. The
+empty history has an arc for every word. A text is traversed once from left to right: the state is carried from word
+to word, and a word without an arc follows failure arcs, paying for each, until it finds one.
 
 No task holds the whole automaton. Texts are dealt to blocks of bounded size; a block asks for the counts of its own
 n-grams (each once), buckets of the hash space add the blocks' counts up and answer each block, and the block then
-has exactly the arcs that its texts can take.
+builds the part of the automaton that its texts can reach. A row from a block to a bucket holds the n-grams that
+they share, so there are never more rows than n-grams asked for.
+
+Words are known by 64-bit hashes, longer n-grams by as many leading bits as keep the expected share of those that
+share a name with another one below 2 ** -SPARE_BITS; such n-grams are counted together.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, remainder, small_batches
 
-ORDER = 2
+ORDER = 3
 #: Added to each count of the unigrams.
 PRIOR = 0.1
-#: A history seen c times is taken to have about c ** GROWTH different successors; DISCOUNT of each goes to the shorter history.
-GROWTH = 0.9
+#: A history of one, two and more words that was seen c times is taken to have about c ** GROWTH different successors;
+#: DISCOUNT of each goes to the shorter history. Expecting fewer successors of longer ones tells repeated texts apart.
+GROWTH = (0.9, 0.7)
 DISCOUNT = 0.8
-#: Bytes of text that a block is meant to hold.
+#: Bytes of text that a block, and a bucket's share of the n-grams, stand for.
 BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 24 << 20
+#: See above.
+SPARE_BITS = 20
 _PIECE = 1 << 20
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -85,23 +93,92 @@ def tokens(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """The n-grams that end at each token of some documents, by order, and the distinct ones."""
+    """The n-grams that end at each token of some documents, by order; distinct ones, in the order of their names.
+
+    A text begins with one mark, so its first token ends a unigram and a bigram, the second a trigram too, and so on.
+    which is -1 where no n-gram of the order ends. sample is a place where each distinct one ends.
+    """
 
-    def __init__(self, documents: list[bytes], order: int):
+    def __init__(self, documents: list[bytes], order: int, bits: int = 64):
         hashes, self.counts = tokens(documents)
-        self.first = np.zeros(len(hashes), bool)
-        self.first[np.concatenate(([0], np.cumsum(self.counts)))[:-1]] = True
-        self.distinct, self.which, now = [], [], hashes
+        self.begins = np.cumsum(self.counts) - self.counts
+        place = np.arange(len(hashes)) - np.repeat(self.begins, self.counts)
+        self.distinct, self.which, self.sample, now = [], [], [], hashes
         for k in range(1, order + 1):
             if k > 1:
-                now = _mix(self.shift(now, _BEGIN) * np.uint64(_ODD) + hashes + np.uint64(k))
-            distinct, which = np.unique(now, return_inverse=True)
+                before = np.concatenate((now[:1], now[:-1]))
+                now = _mix(np.where(place == 0, _BEGIN, before) * np.uint64(_ODD) + hashes + np.uint64(k))
+            at = np.flatnonzero(place >= k - 2)
+            names = now[at] >> np.uint64(64 - bits) if k > 1 else now[at]
+            distinct, sample, which = np.unique(names, return_index=True, return_inverse=True)
+            all_which = np.full(len(hashes), -1, np.int32)
+            all_which[at] = which
             self.distinct.append(distinct)
-            self.which.append(which.astype(np.int32))
+            self.sample.append(at[sample])
+            self.which.append(all_which)
 
-    def shift(self, values: np.ndarray, at_first) -> np.ndarray:
-        """For each token the value of the one before it in its document."""
-        return np.where(self.first, at_first, np.concatenate((values[:1], values[:-1])))
+
+class Automaton:
+    """The states and arcs that the texts of a block can reach.
+
+    State 0 is the empty history, state 1 the begin of a text; then come the n-grams of each order below the highest.
+    An arc is known by its state and word together: its key is state times words plus word.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], begun: int, base: np.ndarray, levels: list[float]):
+        order, self.grams = len(counts), grams
+        self.words = max(1, len(counts[0]))
+        first = np.cumsum([2, *(len(c) for c in counts[:-1])])  # of each order's states
+        n_states = int(first[-1])
+        seen = np.concatenate(([0, begun], *counts[:-1])).astype(np.int64)
+        self.shorter, left = np.zeros(n_states, np.int64), np.ones(n_states)
+        left[1] = weight_left(seen[1:2], levels, 1)[0] if order > 1 else 1.0
+        every = np.arange(len(base))
+        smoothed, keys, logs = [base], [every], [np.log10(base)]
+        targets = [np.where(counts[0] > 0, first[0] + every, 0) if order > 1 else every * 0]
+        for k in range(2, order + 1):
+            at, c = grams.sample[k - 1], counts[k - 1]
+            inner = grams.which[k - 2][at]  # the (k - 1)-gram that ends at the same place
+            history = np.where(np.isin(at, grams.begins), 1, first[k - 2] + grams.which[k - 2][at - 1])
+            own = slice(first[k - 2], first[k - 1] if k < order else None)
+            left[own] = weight_left(counts[k - 2], levels, k - 1)
+            if k > 2:
+                self.shorter[own] = first[k - 3] + grams.which[k - 3][grams.sample[k - 2]]
+            share = c / np.maximum(seen[history], 1)
+            smoothed.append((1 - left[history]) * share + left[history] * smoothed[-1][inner])
+            arc = c > 0
+            keys.append(history[arc] * self.words + grams.which[0][at[arc]])
+            logs.append(np.log10(smoothed[-1][arc]))
+            targets.append(first[k - 1] + np.flatnonzero(arc) if k < order else first[k - 2] + inner[arc])
+        self.failure = np.log10(left)
+        keys = np.concatenate(keys)
+        by = np.argsort(keys)
+        self.keys, self.logs, self.targets = keys[by], np.concatenate(logs)[by], np.concatenate(targets)[by]
+
+    def traverse(self) -> np.ndarray:
+        """The log-probability of each text: one step of all texts that still run at a time, the longest first."""
+        sizes = self.grams.counts
+        by = np.argsort(-sizes, kind="stable")
+        word, begins, longest = self.grams.which[0], self.grams.begins[by], sizes[by]
+        state, score = np.ones(len(sizes), np.int64), np.zeros(len(sizes))
+        steps = int(longest[0]) if len(sizes) else 0
+        live = np.searchsorted(-longest, -np.arange(steps), "left")
+        for t in range(steps):
+            n = live[t]
+            said, todo = word[begins[:n] + t], np.arange(n)
+            while len(todo):
+                key = state[todo] * self.words + said[todo]
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[arc] == key
+                found, arc = todo[hit], arc[hit]
+                score[found] += self.logs[arc]
+                state[found] = self.targets[arc]
+                todo = todo[~hit]
+                score[todo] += self.failure[state[todo]]
+                state[todo] = self.shorter[state[todo]]
+        out = np.empty_like(score)
+        out[by] = score
+        return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -123,45 +200,51 @@ def _rows(columns: dict[str, list], types: list[tuple[str, pa.DataType]]) -> pa.
     return pa.table({k: pa.array(columns[k], t) for k, t in types})
 
 
-_ASKED = [("block", pa.int64()), ("k", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]
+_ASKED = [("block", pa.int64()), ("k", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())]
 _TOLD = [("block", pa.int64()), ("k", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("types", pa.int64()), ("total", pa.int64()), ("power", pa.float64())]
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+def _edges(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
 
 
 def _documents(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in table.column("text").to_pylist()]
 
 
-def _ask(order: int, buckets: int):
+def _ask(order: int, buckets: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        grams = Grams(_documents(table), order)
+        grams = Grams(_documents(table), order, bits)
         known = np.repeat(table.column("train").to_numpy(), grams.counts)
         block, out = table.column("block")[0].as_py(), {k: [] for k, _ in _ASKED}
         for k in range(order):
-            distinct, n = grams.distinct[k], np.bincount(grams.which[k], known, len(grams.distinct[k])).astype(np.int64)
-            cuts = [*np.searchsorted(distinct, _edges(buckets)).tolist(), len(distinct)]
-            for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    steps = np.diff(distinct[a:b], prepend=np.uint64(0))
-                    for key, value in zip(out, (block, k + 1, bucket, b - a, distinct[a:a + 1].tobytes() + _pack(steps[1:]), _pack(n[a:b])), strict=True):
-                        out[key].append(value)
+            distinct, ends = grams.distinct[k], grams.which[k] >= 0
+            n = np.bincount(grams.which[k][ends], known[ends], len(distinct)).astype(np.int64)
+            cuts = np.searchsorted(distinct, _edges(buckets, bits if k else 64))
+            used = np.flatnonzero(np.diff(cuts, append=len(distinct)))  # no row for what a bucket hasn't got
+            for bucket, a, b in zip(used.tolist(), cuts[used].tolist(), [*cuts[used[1:]].tolist(), len(distinct)], strict=True):
+                steps = np.diff(distinct[a:b], prepend=np.uint64(0))
+                for key, value in zip(out, (block, k + 1, bucket, b - a, distinct[a : a + 1].tobytes() + _pack(steps[1:]), _pack(n[a:b])), strict=True):
+                    out[key].append(value)
         return _rows(out, _ASKED)
 
     return run
 
 
-def _hashes(blob: bytes, n: int) -> np.ndarray:
+def _names(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(blob[:8], "<u8"), _unpack(blob[8:], n - 1))), dtype=np.uint64)
 
 
-def _answer(growth: float):
+def _growth(k: int) -> float:
+    return GROWTH[min(k, len(GROWTH)) - 1]
+
+
+def _answer():
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
+        growth = _growth(rows["k"][0])
         sizes = rows["n"]
-        distinct, which = np.unique(np.concatenate([_hashes(h, n) for h, n in zip(rows["hashes"], sizes, strict=True)]), return_inverse=True)
+        distinct, which = np.unique(np.concatenate([_names(h, n) for h, n in zip(rows["names"], sizes, strict=True)]), return_inverse=True)
         counts = np.concatenate([_unpack(c, n) for c, n in zip(rows["counts"], sizes, strict=True)])
         total = np.bincount(which, counts, len(distinct)).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -173,45 +256,31 @@ def _answer(growth: float):
     return run
 
 
-def weight_left(context: np.ndarray, level: float, growth: float) -> np.ndarray:
-    """What a history seen so often leaves to the shorter one: all if it was never seen."""
-    seen = np.maximum(context, 1).astype(float)
-    return np.where(context > 0, np.clip(level * seen ** (growth - 1), 1e-6, 0.999), 1.0)
+def weight_left(seen: np.ndarray, levels: list[float], k: int) -> np.ndarray:
+    """What a history of k words that was seen so often leaves to the shorter one: all if it was never seen."""
+    often = np.maximum(seen, 1).astype(float)
+    return np.where(seen > 0, np.clip(levels[k] * often ** (_growth(k) - 1), 1e-6, 0.999), 1.0)
 
 
-def _traverse(order: int, total: int, types: int, levels: list[float], growth: float):
+def _score(order: int, bits: int, total: int, types: int, levels: list[float]):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = {c: docs.column(c) for c in ("doc_id", "train")}
-        grams = Grams(_documents(docs), order)
+        grams = Grams(_documents(docs), order, bits)
         rows = told.select(["k", "bucket", "n", "counts"]).sort_by([("k", "ascending"), ("bucket", "ascending")]).to_pydict()
-        counts = []
+        counts = [np.zeros(0, np.int64)] * order
         for k in range(1, order + 1):
             parts = [_unpack(c, n) for c, n, o in zip(rows["counts"], rows["n"], rows["k"], strict=True) if o == k]
-            counts.append(np.concatenate(parts).astype(np.int64)[grams.which[k - 1]] if parts else np.zeros(0, np.int64))
-        begins = np.concatenate(([0], np.cumsum(grams.counts)))[:-1]
+            counts[k - 1] = np.concatenate(parts).astype(np.int64) if parts else counts[k - 1]
         base = (counts[0] + PRIOR) / (total + PRIOR * (types + 1))
-        smoothed, arcs, failures = [base], [], []
-        ends = counts[0][begins + grams.counts - 1].max(initial=0)  # texts learned from: how often the begin was a history
-        for k in range(2, order + 1):
-            context = grams.shift(counts[k - 2], ends)
-            left = weight_left(context, levels[k - 1], growth)
-            smoothed.append((1 - left) * counts[k - 1] / np.maximum(context, 1) + left * smoothed[-1])
-            arcs.append(counts[k - 1] > 0)
-            failures.append(np.log10(left))
-        score, open_ = np.zeros(len(base)), np.ones(len(base), bool)
-        for k in range(order - 1, 0, -1):  # from the longest history down the failure arcs
-            taken = open_ & arcs[k - 1]
-            score[taken] += np.log10(smoothed[k][taken])
-            open_ &= ~taken
-            score[open_] += failures[k - 1][open_]
-        score[open_] += np.log10(base[open_])
-        add = lambda x: np.add.reduceat(x, begins) if len(begins) else x
-        return pa.table({**out, "n_tokens": pa.array(grams.counts, pa.int64()), "n_known": pa.array(add((counts[0] > 0).astype(np.int64)), pa.int64()), "base_score": add(np.log10(base)), "score": add(score)})
+        begun = int(counts[0][grams.which[0][grams.counts[0] - 1]]) if len(grams.counts) else 0  # each text learned from has one end
+        add = lambda x: np.add.reduceat(x[grams.which[0]], grams.begins) if len(grams.begins) else x[:0]
+        score = Automaton(grams, counts, begun, base, levels).traverse()
+        return pa.table({**out, "n_tokens": pa.array(grams.counts, pa.int64()), "n_known": pa.array(add((counts[0] > 0).astype(np.int64)), pa.int64()), "base_score": add(np.log10(base)), "score": score})
 
     return run
 
 
-def score_texts(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10) of each row; learns where the column `train` is true.
 
     Null and blank texts are one end token. Repeated rows each count and come back. Without training rows every
@@ -220,15 +289,16 @@ def score_texts(docs: DataFrame, train, order: int = ORDER, block_bytes: int = B
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    bits = min(64, int(size).bit_length() + SPARE_BITS)  # there are fewer n-grams of an order than bytes
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, blocks), "block long, k int, bucket long, n long, hashes binary, counts binary")
-    told = cut(asked.groupBy("bucket", "k").applyInArrow(_answer(GROWTH), "block long, k int, bucket long, n long, counts binary, types long, total long, power double"))
+    asked = dealt.groupBy("block").applyInArrow(_ask(order, buckets, bits), "block long, k int, bucket long, n long, names binary, counts binary")
+    told = cut(asked.groupBy("bucket", "k").applyInArrow(_answer(), "block long, k int, bucket long, n long, counts binary, types long, total long, power double"))
     sums = {r.k: r for r in told.groupBy("k").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), F.sum("power").alias("power")).collect()}  # a row for each order
     total, types = (sums[1].total, sums[1].types) if sums else (0, 0)
-    levels = [0.0, *(DISCOUNT * sums[k].types / max(sums[k - 1].power, 1.0) if sums else 0.0 for k in range(2, order + 1))]
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_traverse(order, total, types, levels, GROWTH), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    levels = [0.0, *(DISCOUNT * sums[k].types / max(sums[k - 1].power, 1.0) if k in sums else 0.0 for k in range(2, order + 1))]
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, bits, total, types, levels), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 

@@ -46,30 +46,38 @@ def keyed(df):
 # --- language-model scores
 
 
-def plain_scores(rows, train, order=2):
+def plain_scores(rows, train, order=3):
+    """Walks the texts word by word through dictionaries: the longest known history first, then down its failure arcs."""
     texts = [(r, [t.lower() for t in BLANK.findall((r.text or "").encode())] + [None]) for r in rows]
     counts = [Counter() for _ in range(order)]
     for r, t in texts:
         if train(r):
-            padded = ["^"] * (order - 1) + t
-            for i in range(len(t)):
-                for k in range(order):
-                    counts[k][tuple(padded[i + order - 1 - k : i + order])] += 1
-    n, v, docs = sum(counts[0].values()), len(counts[0]), sum(train(r) for r, _ in texts)
-    levels = [0] + [scoring.DISCOUNT * len(counts[k]) / sum(c**scoring.GROWTH for c in counts[k - 1].values()) for k in range(1, order)]
+            begun = ["^", *t]
+            for i in range(1, len(begun)):
+                for k in range(min(order, i + 1)):
+                    counts[k][tuple(begun[i - k : i + 1])] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+    levels = [0] + [scoring.DISCOUNT * len(counts[k]) / max(1, sum(c ** scoring._growth(k) for c in counts[k - 1].values())) for k in range(1, order)]
+    seen = lambda h: counts[0][(None,)] if h == ("^",) else counts[len(h) - 1][h]
+
+    def left(h):
+        return min(max(levels[len(h)] * seen(h) ** (scoring._growth(len(h)) - 1), 1e-6), 0.999) if seen(h) else 1
+
+    def smoothed(h, w):
+        if not h:
+            return (counts[0][(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        return (1 - left(h)) * counts[len(h)][(*h, w)] / max(1, seen(h)) + left(h) * smoothed(h[1:], w)
+
     out = []
     for r, t in texts:
-        padded, base, score = ["^"] * (order - 1) + t, 0, 0
-        for i in range(len(t)):
-            p = (counts[0][(t[i],)] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            for k in range(1, order):
-                gram = tuple(padded[i + order - 1 - k : i + order])
-                seen = docs if i == 0 else counts[k - 1][gram[:-1]]
-                if seen:
-                    left = min(max(levels[k] * seen ** (scoring.GROWTH - 1), 1e-6), 0.999)
-                    p = (1 - left) * counts[k][gram] / seen + left * p
-            score += math.log10(p)
+        base, score, state = 0, 0, ("^",)
+        for w in t:
+            base += math.log10(smoothed((), w))
+            while state and not counts[len(state)][(*state, w)]:
+                score += math.log10(left(state))
+                state = state[1:]
+            score += math.log10(smoothed(state, w))
+            state = (*state, w)[-(order - 1) :] if counts[0][(w,)] else ()
         out.append((r.doc_id, len(t), sum(counts[0][(w,)] > 0 for w in t), n, base, score))
     return out
 
@@ -77,7 +85,7 @@ def plain_scores(rows, train, order=2):
 @pytest.mark.parametrize("order", [2, 3])
 def test_scores_equal_plain_traversal(spark, documents, order):
     docs = spark.createDataFrame(documents)
-    got = keyed(scoring.score_texts(docs, ~scoring.held_out(F.col("doc_id")), order=order, block_bytes=100_000).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    got = keyed(scoring.score_texts(docs, ~scoring.held_out(F.col("doc_id")), order=order, block_bytes=100_000, bucket_bytes=70_000).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     for doc_id, *want in plain_scores(documents, lambda r: zlib.crc32(str(r.doc_id).encode()) % 10 != 0, order):
         assert list(got[doc_id][1:4]) == want[:3]
         assert got[doc_id][4:] == pytest.approx(want[3:], rel=1e-9)
@@ -96,12 +104,37 @@ def test_held_out_scores_beat_the_base(spark, sf_dir):
     assert got[1] > got[0]
 
 
-def test_probabilities_add_up_to_one(spark):
-    rows = [(i, t) for i, t in enumerate(["a b a c", "b a", "a a b"])]
-    tests = [(10 + i, w) for i, w in enumerate(["a", "b", "c", "", "zzz"])]  # first tokens after the begin
-    got = scoring.score_texts(spark.createDataFrame(rows + tests, "doc_id long, text string"), F.col("doc_id") < 10).where("doc_id >= 10").collect()
-    plain = {r[0]: r for r in plain_scores([type("R", (), {"doc_id": i, "text": t}) for i, t in rows + tests], lambda r: r.doc_id < 10)}
-    assert all(r.score == pytest.approx(plain[r.doc_id][5]) for r in got)
+def test_probabilities_add_up_to_one():
+    texts = [b"a b a c", b"b a", b"a a b", b""]
+    grams = scoring.Grams(texts, 3)
+    counts = [np.bincount(grams.which[k][grams.which[k] >= 0], minlength=len(grams.distinct[k])) for k in range(3)]
+    base = counts[0] / counts[0].sum()
+    auto = scoring.Automaton(grams, counts, len(texts), base, [0.0, 0.6, 0.5])
+    for state in range(len(auto.failure)):
+        if state > 1 and not auto.keys[(auto.keys // auto.words) == state].size:
+            continue  # ends of texts lead nowhere
+        total = 0.0
+        for word in range(auto.words):
+            at, log = state, 0.0
+            while (hit := np.flatnonzero(auto.keys == at * auto.words + word)).size == 0:
+                log += auto.failure[at]
+                at = auto.shorter[at]
+            total += 10 ** (log + auto.logs[hit[0]])
+        assert total == pytest.approx(1)
+
+
+def test_scores_need_the_failure_arcs_and_the_carried_state():
+    texts = [b"a b c a b d", b"b c", b"c a b"]
+    grams = scoring.Grams(texts, 3)
+    counts = [np.maximum(0, np.bincount(grams.which[k][grams.which[k] >= 0], minlength=len(grams.distinct[k])) - (k > 0)) for k in range(3)]
+    base = counts[0] / counts[0].sum()
+    auto = scoring.Automaton(grams, counts, 2, base, [0.0, 0.6, 0.5])
+    want = auto.traverse()
+    for name in ("failure", "shorter", "targets"):
+        kept = getattr(auto, name)
+        setattr(auto, name, np.zeros_like(kept))
+        assert not np.allclose(auto.traverse(), want)
+        setattr(auto, name, kept)
 
 
 # --- neighbours

@@ -75,6 +75,21 @@ def running(df: DataFrame, keys: list[str], salt: Column, order: list[Column], s
     return ranked.join(offsets, by).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_salt", "_size", "_inside", "_offset")
 
 
+#: A key that holds more than one of so many rows is hot; there are fewer hot keys than this.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """rows with table's columns by key, where table has one row for each key and `held` says how many of `total` rows have it.
+
+    Hot keys, HOT at most, are broadcast, so their rows stay where they are; the others are joined by shuffle.
+    """
+    hot = F.col(held) * HOT > F.lit(total)
+    some, others = table.where(hot).drop(held), table.where(~hot).drop(held)
+    rest = rows.join(F.broadcast(some.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(some), key).unionByName(rest.join(others, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `most` bytes of `column`; a longer value comes alone."""
     for batch in batches:

@@ -3,13 +3,15 @@
 Radius r = 2: every bit position gets a nonzero vector of r + 1 = 3 bits; for each nonzero mask vector v a table keeps
 the positions whose vector has an odd product with v. Two fingerprints that differ in at most two positions put at
 most two linear conditions on v, so some nonzero v meets both and the pair collides in that table: no link is missed.
-Fingerprints that collide with nothing are done. The others are verified without pairs: two fingerprints differ in at
-most two bits exactly if some 64-bit value is within one bit of both, so each is dealt to the 65 values around it; a
-value can gather 65 different fingerprints at most, whatever the number of copies.
+A cell of two fingerprints is verified by their differing bits. Larger cells are split without pairs: their members
+agree on the table's positions, and two of them differ in at most two others exactly if some value is within one bit
+of both, so each is dealt to the values around it inside the cell; such a value gathers one fingerprint for each free
+position at most, whatever the number of copies.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches, texts
+from .common import cut, join_hot, slices, small_batches, texts
 from .components import components
 
 RADIUS = 2
@@ -58,24 +60,40 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         found = [_signed(fingerprint(t)) for t in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        others = batch.select([c for c in batch.schema.names if c != "text"])
+        yield pa.RecordBatch.from_arrays([*others.columns, pa.array(found, pa.int64())], [*others.schema.names, "fp"])
 
 
-def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row. Null and blank texts have the fingerprint 0."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def simhash(rows: DataFrame) -> DataFrame:
+    """rows without their text (bytes) and with fp, its fingerprint as a signed long. Null and blank texts have the fingerprint 0."""
+    small_batches(rows.sparkSession)
+    kept = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
+    return rows.mapInArrow(_fingerprints, kept)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints `fp` at two or fewer differing bits."""
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks()))))
+    tables = masks()
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables))))
     tabled = fps.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
-    met = tabled.groupBy("t", "key").count().where("count > 1").drop("count")
-    near = tabled.join(met, ["t", "key"], "left_semi").select("fp").distinct()
-    around = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))))
-    balls = near.select("fp", around.alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("of")).where("size(of) > 1")
-    return balls.select(F.array_min("of").alias("u"), F.explode("of").alias("v")).where("u <> v").distinct()
+    cells = tabled.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
+    pairs = cells.where("n = 2").where(close).select("u", "v")
+    members = tabled.join(cells.where("n > 2").select("t", "key"), ["t", "key"], "left_semi")
+    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1)) for m in tables))
+    around = F.transform(F.element_at(flips, F.col("t") + 1), lambda bit: F.col("fp").bitwiseXOR(bit))
+    balls = members.select("t", "fp", F.explode(around).alias("centre")).groupBy("t", "centre").agg(F.collect_list("fp").alias("of")).where("size(of) > 1")
+    split = balls.select(F.array_min("of").alias("u"), F.explode("of").alias("v")).where("u <> v").where(close)
+    return pairs.unionByName(split).distinct()
+
+
+def _placed(marked: DataFrame, least: list[str]) -> DataFrame:
+    """fp, held (rows of marked that have it), chosen: the least struct of the columns `least` in the fingerprint's component."""
+    fps = cut(marked.groupBy("fp").agg(F.min(F.struct(*least)).alias("least"), F.count("*").alias("held")))
+    roots = components(links(fps))
+    rooted = cut(fps.join(roots, fps.fp == roots.u, "left").select("fp", "held", "least", F.coalesce("root", "fp").alias("root")))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("chosen"), F.count("*").alias("members"))
+    return join_hot(rooted, chosen, "root", "members", rooted.count()).select("fp", "held", "chosen")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -85,20 +103,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     back. A null doc_id takes part; it is never the smallest, and a component of null ids only has the id null. An empty
     table gives no rows. Columns other than doc_id and text are not read.
     """
-    marked = cut(simhash(docs))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps))
-    rooted = fps.join(roots, fps.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = cut(simhash(rows))
+    placed = cut(_placed(marked.withColumn("none", F.col("doc_id").isNull()), ["none", "doc_id"]))
+    return join_hot(marked, placed.select("fp", "held", F.col("chosen.doc_id").alias("component_id")), "fp", "held", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component, the one of the smallest doc_id.
+    """The rows of docs that stay: one of each component, unchanged.
 
-    Rows with that id that are repeated are reduced to one. Documents without an id are all kept: they can't be told apart.
+    It is the one of the smallest doc_id; without an id a row comes last. Different texts with that id are told apart by
+    their hashes, of which the smallest stays, and then by their other columns; of rows that are wholly equal one stays.
+    Columns may have any names. An empty table gives no rows.
     """
-    chosen = near_copies(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    mark = uuid.uuid4().hex  # so that no column of docs has the name
+    key = [f"none_{mark}", f"id_{mark}", f"first_{mark}", f"second_{mark}", f"rest_{mark}"]
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rest = F.xxhash64(F.lit("rest"), *(F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.typeName() == "map"))
+    own = dict(zip(key, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit("second"), text), rest), strict=True))
+    marked = cut(simhash(docs.select(*(c.alias(k) for k, c in own.items()), F.col("text").cast("binary").alias("text"))))
+    chosen = _placed(marked, key).select("chosen.*").distinct()
+    return docs.withColumns(own).dropDuplicates(key).join(chosen, key, "left_semi").select(*docs.columns)

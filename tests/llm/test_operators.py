@@ -576,6 +576,17 @@ def test_links_of_random_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_links_need_every_table(spark, monkeypatch):
+    tables = simhash.masks()
+    pairs = [(0, (1 << a) | (1 << b)) for a in range(0, 64, 3) for b in range(a + 1, 64, 5)]
+    fps = spark.createDataFrame([(simhash._signed(x),) for p in pairs for x in p], "fp long").distinct()
+    count = lambda: simhash.links(fps).where("u = 0 or v = 0").count()
+    every = components.components(simhash.links(fps)).count()
+    assert every == len(pairs)
+    monkeypatch.setattr(simhash, "masks", lambda: tables[:1])
+    assert components.components(simhash.links(fps)).count() < every and count() < len(pairs)
+
+
 def test_masks_cover_every_pair():
     masks = simhash.masks()
     assert len(masks) == 7
@@ -589,6 +600,10 @@ def test_near_copies_of_odd_rows(odd, none):
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 7, 8, 9, 10]
+    rows = [(5, "a b c d e", 1, 2), (5, "f g h i j", 1, 2), (5, "a b c d e", 1, 2), (None, "f g h i j", 3, 4), (None, "k l m n o", 3, 4), (None, "k l m n o", 3, 4), (6, "a b c d e", 0, 0)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(odd.sparkSession.createDataFrame(order, "doc_id long, text string, _kept int, fp int"))
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
     assert simhash.near_copies(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows that one window partition of a salted rank is meant to hold.
-ROWS_PER_BUCKET = 10_000
+#: Salts of a key in a salted rank, at least.
+SALTS = 2048
 #: Rows in an Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 2000
 
@@ -55,7 +56,8 @@ def unit_hash(*cols: Column) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    return max(1, -(-rows // ROWS_PER_BUCKET))
+    """Salts for a table: neither a salt's rows nor a key's salts are more than the root of the rows, or SALTS."""
+    return max(SALTS, isqrt(rows))
 
 
 def running(df: DataFrame, keys: list[str], salt: Column, order: list[Column], size: Column, out: str, buckets: int) -> DataFrame:
@@ -79,15 +81,15 @@ def running(df: DataFrame, keys: list[str], salt: Column, order: list[Column], s
 HOT = 1024
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, held: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, held: str, total: int, how: str = "inner") -> DataFrame:
     """rows with table's columns by key, where table has one row for each key and `held` says how many of `total` rows have it.
 
-    Hot keys, HOT at most, are broadcast, so their rows stay where they are; the others are joined by shuffle.
+    how is inner or left. Hot keys, HOT at most, are broadcast, so their rows stay where they are; the others are joined by shuffle.
     """
     hot = F.col(held) * HOT > F.lit(total)
     some, others = table.where(hot).drop(held), table.where(~hot).drop(held)
     rest = rows.join(F.broadcast(some.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(some), key).unionByName(rest.join(others, key))
+    return rows.join(F.broadcast(some), key).unionByName(rest.join(others, key, how))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,16 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each source's documents, in a pseudorandom order, are one stream of words that is packed into blocks of fixed length.
-The slots of the mix are dealt to output shards by a pseudorandom permutation of all slots, so a shard's counts of the
-sources are a multinomial draw under the condition that the totals are exact. A slot's number within its source is
-mapped to a block by the source's own index permutation; blocks and slots are joined by that index.
+Every output shard draws how many of its slots each source gets: a multinomial draw under the condition that the
+sources' totals are exact, made by dealing one ticket for each slot through a pseudorandom permutation. A shard's
+slots of a source are numbered on from those of the shards before it; a slot's number within its source is mapped to a
+block by the source's own index permutation, and blocks and slots are joined by that index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,9 @@ MOST = 2.0
 BLOCK = 256
 SLOTS_PER_SHARD = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Slots made by one row before the next split.
+#: Slots made by one row before the next split, and documents for which a task makes slots.
 _STEP = 1 << 16
+ROWS_PER_TASK = 10_000
 
 
 def permuted(i: Column, n: Column, *key: Column) -> Column:
@@ -74,31 +77,61 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return found.select("_key", "source", "source_size", F.coalesce(F.least(F.col("_limit"), F.col("_w") * F.col("_first._level")), F.col("_limit")).alias("target"))
 
 
-def _slots(sources: DataFrame, block: int, seed: int, parts: int) -> DataFrame:
-    """_key, block, shard, position, words of each slot. An epoch takes each block once; the ragged last one comes last."""
+def _numbered(rows: DataFrame, count: str, out: str, parts: int) -> DataFrame:
+    """Each row `count` times, numbered from 0 as `out`."""
+    steps = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(_STEP).cast("long")))).repartition(parts, *(c for c in ("_key", "shard", "_from") if c in [*rows.columns, "_from"]))
+    return steps.withColumn(out, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (_STEP - 1), F.col(count) - 1)))).drop("_from")
+
+
+def wanted(sources: DataFrame, block: int) -> DataFrame:
+    """_key, source_size, taken, slots, begin of each source that is taken: its words and slots in the mix, and the slots before its own.
+
+    A source's slots are those of its first pass, which takes each block once, then those of the second.
+    """
     taken = F.round("target").cast("long")
-    epoch = F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), F.least(F.greatest(taken - e * F.col("source_size"), F.lit(0)), F.col("source_size")).alias("want")) for e in range(int(MOST)))))
-    wants = sources.select("_key", "source_size", epoch.alias("e")).select("_key", "source_size", "e.*").where("want > 0")
-    wants = wants.withColumn("slots", F.ceil(F.col("want") / block).cast("long"))
-    order = W.orderBy("_key", "epoch")
-    wants = wants.withColumn("base", F.coalesce(F.sum("slots").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("slots").over(W.partitionBy(F.lit(0))))
-    steps = wants.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_STEP).cast("long")))).repartition(parts, "_key", "epoch", "from")
-    one = steps.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (_STEP - 1), F.col("slots") - 1))))
+    first = F.least(taken, F.col("source_size"))
+    per = sources.select("_key", "source_size", taken.alias("taken"), F.ceil(first / block).cast("long").alias("first_slots"), (taken - first).alias("_more"))
+    per = per.where("taken > 0").withColumn("slots", F.col("first_slots") + F.ceil(F.col("_more") / block).cast("long")).drop("_more")
+    return per.withColumn("begin", F.coalesce(F.sum("slots").over(W.orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each source
+
+
+def draw(wants: DataFrame, seed: int, parts: int) -> DataFrame:
+    """_key, shard, count, before: the slots that each output shard draws of each source, and those of the shards before it."""
+    total = wants.agg(F.sum("slots")).first()[0] or 0
+    tickets = _numbered(wants.select("_key", "begin", "slots"), "slots", "_ticket", parts)
+    dealt = permuted(F.col("begin") + F.col("_ticket"), F.lit(total).cast("long"), F.lit("slots"), F.lit(seed))
+    counts = tickets.select("_key", F.floor(dealt / SLOTS_PER_SHARD).cast("long").alias("shard")).groupBy("_key", "shard").agg(F.count("*").alias("count"))
+    wide = max(1, isqrt(total // SLOTS_PER_SHARD))
+    return running(counts, ["_key"], F.floor(F.col("shard") / wide), [F.col("shard")], F.col("count"), "before", total // SLOTS_PER_SHARD // wide + 1)
+
+
+def _slots(wants: DataFrame, drawn: DataFrame, block: int, seed: int, parts: int) -> DataFrame:
+    """_key, block, shard, position, words of each slot of the shards' draws. The ragged last block of a source comes last in a pass."""
+    in_shard = W.partitionBy("shard")  # a row for each source
+    placed = drawn.withColumn("_base", F.sum("count").over(in_shard.orderBy("_key").rowsBetween(W.unboundedPreceding, -1))).withColumn("_all", F.sum("count").over(in_shard))
+    one = _numbered(placed.join(wants, "_key"), "count", "_i", parts)
+    number = permuted(F.col("before") + F.col("_i"), F.col("slots"), F.col("_key"), F.lit(seed))
+    one = one.withColumn("_number", number)
+    epoch = (F.col("_number") >= F.col("first_slots")).cast("long")
+    k, want = F.col("_number") - epoch * F.col("first_slots"), F.when(epoch == 0, F.least("taken", "source_size")).otherwise(F.col("taken") - F.col("source_size"))
     full = F.floor(F.col("source_size") / block).cast("long")
-    index = F.when(F.col("k") < full, permuted(F.col("k"), F.greatest(full, F.lit(1)), F.col("_key"), F.col("epoch"), F.lit(seed))).otherwise(full)
-    position = permuted(F.col("base") + F.col("k"), F.col("all"), F.lit("slots"), F.lit(seed))
-    return one.select("_key", index.alias("block"), F.floor(position / SLOTS_PER_SHARD).cast("long").alias("shard"), (position % SLOTS_PER_SHARD).alias("position"), F.least(F.lit(block).cast("long"), F.col("want") - F.col("k") * block).alias("words"))
+    # a whole pass has every block; the blocks of one that is cut short are chosen by one more permutation
+    index = F.when((k < full) & (want < F.col("source_size")), permuted(k, F.greatest(full, F.lit(1)), F.col("_key"), epoch, F.lit(seed))).otherwise(k)
+    position = permuted(F.coalesce("_base", F.lit(0)) + F.col("_i"), F.col("_all"), F.col("shard"), F.lit("position"), F.lit(seed))
+    return one.select("_key", index.alias("block"), "shard", position.alias("position"), F.least(F.lit(block).cast("long"), want - k * block).alias("words"))
 
 
 def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The placed documents (doc_id, size, _key, start), the sources' targets and the slots of the mix."""
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")).withColumn("_key", source_key(F.col("source"))))
-    n = buckets_for(sized.count())
-    sources = cut(targets(sized.select("_key", "source", "size")))
+    rows = sized.count()
+    sources, parts = cut(targets(sized.select("_key", "source", "size"))), max(1, rows // ROWS_PER_TASK)
     turn = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    placed = running(sized.where("size > 0"), ["_key"], turn, [turn, F.col("doc_id"), F.col("size")], F.col("size"), "start", n)
+    placed = running(sized.where("size > 0"), ["_key"], turn, [turn, F.col("doc_id"), F.col("size")], F.col("size"), "start", buckets_for(rows))
     none = sized.where("size = 0").withColumn("start", F.lit(None).cast("long"))
-    return placed.unionByName(none).select("doc_id", "size", "_key", "start"), sources, _slots(sources, block, seed, max(1, n))
+    wants = cut(wanted(sources, block))
+    drawn = cut(draw(wants, seed, parts))
+    return placed.unionByName(none).select("doc_id", "size", "_key", "start"), sources, _slots(wants, drawn, block, seed, parts)
 
 
 def packed(placed: DataFrame, sources: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -142,15 +175,18 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
 
     A row is copied as often as the target holds its whole source. The words that are then left go to the front of the
     source's rows in a pseudorandom order: those that lie in them by half or more come once more. Rows count one by one:
-    neither a null nor a repeated doc_id ties them together.
+    neither a null nor a repeated doc_id ties them together. Texts without words, null ones among them, are never
+    taken. Columns may have any names. No documents give no rows.
     """
-    turn = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text"))
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")).where("_words > 0")
-    sized = cut(sized.withColumn("_key", source_key(F.col("source"))).withColumn("_turn", turn))
-    sources = cut(targets(sized.select("_key", F.col("source").cast("string").alias("source"), F.col("_words").alias("size"))))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, (doc_id, source, text) = docs.toDF(*names), (F.col(names[[c.lower() for c in docs.columns].index(c)]) for c in ("doc_id", "source", "text"))
+    turn = F.xxhash64(F.lit(seed), doc_id.cast("string"), source.cast("string"), text)
+    sized = own.withColumn("_words", F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")).where("_words > 0")
+    sized = cut(sized.withColumn("_key", source_key(source)).withColumn("_turn", turn))
+    sources = cut(targets(sized.select("_key", source.cast("string").alias("source"), F.col("_words").alias("size"))))
     goal = F.round("target").cast("long")
     goals = sources.select("_key", F.floor(goal / F.col("source_size")).cast("int").alias("_whole"), (goal % F.col("source_size")).alias("_left"))
-    placed = running(sized, ["_key"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.col("_words"), "_start", buckets_for(sized.count()))
+    placed = running(sized, ["_key"], F.col("_turn"), [F.col("_turn"), doc_id], F.col("_words"), "_start", buckets_for(sized.count()))
     more = F.when(2 * F.col("_start") + F.col("_words") <= 2 * F.col("_left"), 1).otherwise(0)
     drawn = placed.join(goals, "_key").withColumn("_times", F.col("_whole") + more).where("_times > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import buckets_for, cut, running
+from .common import buckets_for, cut, join_hot, running
 
 SHARDS = 40
 ROUNDS = 8
-#: Entries that share one part of a shard's quota; a part must be large against a group.
-ENTRIES_PER_PART = 1_000_000
 
 
 def _array(values: list[int]) -> Column:
@@ -35,7 +33,7 @@ def _sums(df: DataFrame, by: str, what: str, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _round(entries: DataFrame, quota: list[int], settled: list[int], parts: int) -> tuple[DataFrame, list[int], int]:
+def _round(entries: DataFrame, quota: list[int], settled: list[int], salts: int) -> tuple[DataFrame, list[int], int]:
     """One round: entries after it, the settled documents of each shard, how many documents moved."""
     shards = len(quota)
     # a group's homes are the shards that hold most of it, as many as it needs to fit into what others leave free
@@ -55,11 +53,11 @@ def _round(entries: DataFrame, quota: list[int], settled: list[int], parts: int)
         return entries, settled, 0
     settled = [a - b for a, b in zip(load, leaving, strict=True)]
     room = [max(0, q - s) for q, s in zip(quota, settled, strict=True)]
-    # the quota of a shard is dealt over parts, so that no task has to see all that want to go there
-    salted = wants.withColumn("_salt", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("to", "_salt").orderBy(F.desc("best_n"), "g", "shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    part = F.floor(_at(room, "to") / parts).cast("long") + (F.col("_salt") < _at(room, "to") % parts).cast("long")
-    moved = salted.withColumn("go", F.greatest(F.least(part - before, F.col("n")), F.lit(0))).where("go > 0").select("g", "shard", "to", "go")
+    # those of the largest groups go first, by the power of two of their number; no task has to see all that want to go there
+    fine = salts // 64 + 1
+    order = (F.lit(63) - F.floor(F.log2("best_n"))) * fine + F.pmod(F.xxhash64("g"), F.lit(fine))
+    queued = running(wants, ["to"], order, [F.desc("best_n"), F.col("g"), F.col("shard")], F.col("n"), "before", 64 * fine)
+    moved = queued.withColumn("go", F.greatest(F.least(_at(room, "to") - F.col("before"), F.col("n")), F.lit(0))).where("go > 0").select("g", "shard", "to", "go")
     changes = moved.select("g", "shard", (-F.col("go")).alias("n")).union(moved.select("g", F.col("to").alias("shard"), F.col("go").alias("n")))
     after = cut(entries.union(changes).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
     return after, settled, _moved(entries, after)
@@ -78,9 +76,9 @@ def assign(marked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     first = marked.select("g", F.pmod("_turn", F.lit(shards)).cast("int").alias("shard")).groupBy("g", "shard").agg(F.count("*").alias("n"))
     # at most `shards` rows for each g
     entries = cut(first.withColumn("_of", F.sum("n").over(W.partitionBy("g"))).where("_of > 1").drop("_of"))
-    settled, parts = [0] * shards, 1 + entries.count() // ENTRIES_PER_PART
+    settled = [0] * shards
     for _ in range(rounds):
-        entries, settled, moved = _round(entries, quota, settled, parts)
+        entries, settled, moved = _round(entries, quota, settled, salts)
         if not moved:
             break
     held = running(entries, ["shard"], F.xxhash64("g"), [F.desc("n"), F.col("g")], F.col("n"), "_before", salts)
@@ -95,7 +93,7 @@ def assign(marked: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     room, ends = [q - k for q, k in zip(quota, kept, strict=True)], []
     for r in room:
         ends.append((ends or [0])[-1] + r)
-    joined = cut(marked.join(groups, "g", "left"))
+    joined = cut(join_hot(marked, groups.withColumn("_held", F.col("_n")), "g", "_held", total, "left"))
     linked = running(joined.where("_n is not null"), ["g"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.lit(1), "_rank", salts)
     single = running(joined.where("_n is null").withColumn("_all", F.lit(0)), ["_all"], F.col("_turn"), [F.col("_turn"), F.col("doc_id")], F.lit(1), "_rank", salts).drop("_all")
     pool = F.when(F.col("_n").isNull(), F.col("_rank") + rest).otherwise(F.col("_pool") + F.col("_rank") - F.col("_kept"))

@@ -405,19 +405,53 @@ def test_permutations(spark):
         assert sorted(got) == list(range(n)) and (n < 10 or got != list(range(n)))
 
 
-def test_shard_counts_of_the_mix_are_near_the_shares(spark, documents):
+def test_shards_draw_their_slots(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 512)
     _, sources, slots = mixing.plan_mix(spark.createDataFrame(documents), 16)
+    wants = mixing.wanted(sources, 16)
+    drawn, slots_of = mixing.draw(wants, 1, 4).collect(), {r._key: r.slots for r in wants.collect()}
+    of, total, before = Counter(), sum(slots_of.values()), Counter()
+    for r in sorted(drawn, key=lambda r: r.shard):
+        assert r.before == before[r._key]
+        before[r._key] += r["count"]
+        of[r.shard] += r["count"]
+    assert before == slots_of and [of[s] for s in range(len(of))] == [min(512, total - 512 * s) for s in range(len(of))] and len(of) > 5
+    # the counts scatter around the shares, as a multinomial draw does
+    gaps = [(r["count"] - of[r.shard] * slots_of[r._key] / total) / math.sqrt(of[r.shard] * slots_of[r._key] / total) for r in drawn if of[r.shard] == 512]
+    assert 0.5 < np.std(gaps) < 1.5 and max(map(abs, gaps)) < 6
     rows = slots.collect()
-    assert sorted(r.shard * mixing.SLOTS_PER_SHARD + r.position for r in rows) == list(range(len(rows)))
-    uses = Counter((r._key, r.block) for r in rows)
-    assert max(uses.values()) <= 2
+    assert Counter((r._key, r.shard) for r in rows) == Counter({(r._key, r.shard): r["count"] for r in drawn})
+    assert sorted((r.shard, r.position) for r in rows) == [(s, p) for s in sorted(of) for p in range(of[s])]
+    assert max(Counter((r._key, r.block) for r in rows).values()) <= 2
+
+
+def plain_taken(documents, slots, block, salts):
+    """The words that the slots take of each document, whose streams are laid out one by one."""
+    chain = lambda text: xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))
+    streams, taken = defaultdict(list), Counter()
+    for r in documents:
+        turn = simhash._signed(chain(str(r.doc_id)))
+        streams[r.source].append((turn % salts, turn, r.doc_id, len(BLANK.findall((r.text or "").encode()))))
+    for source, docs in streams.items():
+        stream = [doc_id for _, _, doc_id, n in sorted(docs) for _ in range(n)]
+        for s in slots:
+            if s._key == "=" + source:
+                taken.update(stream[s.block * block : s.block * block + s.words])
+    return taken
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_taken_words_equal_a_plain_version(spark, documents, block):
+    df = spark.createDataFrame(documents)
+    want = plain_taken(documents, mixing.plan_mix(df, block)[2].collect(), block, 2048)
+    assert {r.doc_id: r.taken for r in mixing.mix(df, block).collect()} == {r.doc_id: want[r.doc_id] for r in documents}
 
 
 def test_packed_slots_hold_the_mix(spark, documents):
     df = spark.createDataFrame(documents)
     placed, sources, slots = mixing.plan_mix(df, 16)
     rows, size = mixing.packed(placed, sources, slots, 16).collect(), {r.doc_id: len(BLANK.findall((r.text or "").encode())) for r in documents}
-    assert sorted(r.shard * mixing.SLOTS_PER_SHARD + r.position for r in rows) == list(range(len(rows))) and len(rows) == slots.count()
+    assert len(rows) == slots.count()
     held, words, source_of = Counter(), Counter(), {r.doc_id: r.source for r in documents}
     for r in rows:
         at = r.block * 16
@@ -431,6 +465,14 @@ def test_packed_slots_hold_the_mix(spark, documents):
     assert all(held[r.doc_id] == r.taken for r in mixing.mix(df, 16).collect())
 
 
+def test_mixed_documents_of_odd_rows_and_names(odd, none):
+    names = ["_times", "_copy", "_words", "_key", "_salt"]
+    clash = odd.select("doc_id", "text", "source", *(F.lit(7).alias(n) for n in names))
+    got = mixing.mixed_documents(clash)
+    assert got.columns == clash.columns and {r.doc_id for r in got.collect()} <= {4, 5, None, 7, 8, 9, 10} and {r._copy for r in got.collect()} == {7}
+    assert mixing.mixed_documents(none).count() == 0
+
+
 def test_mixed_documents_meet_each_target(spark):
     draw = random.Random(5)
     rows = [(i, "w " * draw.randint(1500, 2500), f"s{i % 6}") for i in range(240)] + [(None, f"{i} " + "v " * 400, "s6") for i in range(60)]

@@ -1,8 +1,9 @@
 """Chat formatting over reply trees.
 
-Every turn has a parent; self-joins that double their reach find each turn's path to its root in a number of rounds
-that grows with the logarithm of the depth. Leaves are ranked by the mean score of their path, and the chosen paths
-are formatted as one conversation each.
+Every turn has a parent; self-joins that double their reach find each turn's depth and the score of its path to the root
+in a number of rounds that grows with the logarithm of the depth. Leaves are ranked by the mean score of their path.
+Only the chosen leaves' paths are then enumerated, by joins that halve the jump each time: a turn keeps one pointer
+for each power of two of its depth, never its whole path. Each path is formatted as one conversation.
 
 Template of a turn: `### role: text</turn>` and a line end. In role and text the backslash, `<`, `#` and, in roles, `:`
 are written `\\b`, `\\l`, `\\h` and `\\c`, so neither can hold a mark, and every backslash begins an escape.
@@ -44,42 +45,57 @@ def chain(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
-def paths(nodes: DataFrame, most_rounds: int = 32) -> DataFrame:
-    """conv_id, node, path (nodes from the root), mean_score of each node of (conv_id, node, parent, score).
+def pointers(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """conv_id, node, depth (turns from the root, itself included), total (the sum of their scores), jumps of each node.
 
-    A node whose parent is missing is a root. Conversations may have several roots. Each round joins a node's reach to
-    that of the node where it ends, so that both double.
+    jumps holds the ancestors 1, 2, 4 and so on steps up. A node whose parent is missing is a root. Conversations may have
+    several roots. Null scores count as 0. Replies that go in a circle raise a ValueError.
     """
     known = nodes.select("conv_id", F.col("node").alias("_p")).distinct()
     joined = nodes.select("conv_id", "node", "parent", "score").alias("n").join(known.alias("k"), F.col("n.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("n.parent") == F.col("k._p")), "left")
-    reach = cut(joined.select("n.conv_id", "node", F.col("_p").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("total")))
-    for _ in range(most_rounds):
-        open_rows, circular = reach.agg(F.count("up"), F.max(F.size("path") - F.size(F.array_distinct("path")))).first()
-        if circular:
+    reach = cut(joined.select("n.conv_id", "node", F.col("_p").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"), F.when(F.col("_p").isNotNull(), F.array("_p")).otherwise(F.array().cast("array<long>")).alias("jumps")))
+    longest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for step in range(most_rounds):
+        if reach.where("up is not null").isEmpty():
+            return reach.drop("up")
+        if 1 << step > longest:
             break
-        if not open_rows:
-            return reach.select("conv_id", "node", "path", (F.col("total") / F.size("path")).alias("mean_score"))
-        above = reach.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("total").alias("_total"))
-        open_ = reach.where("up is not null").join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n")))
-        longer = open_.select("conv_id", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), (F.col("total") + F.col("_total")).alias("total"))
+        above = reach.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        met = reach.where("up is not null").join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n")))
+        jumps = F.when(F.col("_up").isNotNull(), F.concat("jumps", F.array("_up"))).otherwise(F.col("jumps"))
+        longer = met.select("conv_id", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"), jumps.alias("jumps"))
         reach = cut(longer.unionByName(reach.where("up is null")))
     raise ValueError("the replies go in a circle")
 
 
 def branches(nodes: DataFrame, most: int | None = 1) -> DataFrame:
-    """conv_id, leaf, path, branch: the root-to-leaf paths of each conversation, best mean score first, `most` of them (None: all)."""
+    """conv_id, leaf, branch, at, node: the turns of the root-to-leaf paths of each conversation, at counting from the root (0).
+
+    Paths are ranked by their mean score, the best first; ties go to the longer one, then to the smaller leaf. `most` of
+    them are given (None: all). An empty table gives no rows.
+    """
     parents = nodes.where("parent is not null").select("conv_id", F.col("parent").alias("_p")).distinct()
-    every = paths(nodes)
+    every = cut(pointers(nodes))
     leaves = every.join(parents, every.conv_id.eqNullSafe(parents.conv_id) & (every.node == parents._p), "left_anti")
-    best = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("mean_score"), F.desc(F.size("path")), "node"))
+    best = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node"))
     ranked = leaves.withColumn("branch", best)
-    return (ranked if most is None else ranked.where(F.col("branch") <= most)).select("conv_id", F.col("node").alias("leaf"), "path", "branch")
+    chosen = ranked if most is None else ranked.where(F.col("branch") <= most)
+    steps = chosen.select("conv_id", F.col("node").alias("leaf"), "branch", (F.col("depth") - 1).alias("at"), "node")
+    lifts = every.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "jumps")
+    for power in range((every.agg(F.max(F.size("jumps"))).first()[0] or 0) - 1, -1, -1):
+        # each turn found so far brings the one 2 ** power above it, so every ancestor is met once
+        met = steps.join(lifts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")))
+        both = F.array(F.struct("at", "node"), F.struct((F.col("at") - (1 << power)).alias("at"), F.get("jumps", F.lit(power)).alias("node")))
+        steps = met.select("conv_id", "leaf", "branch", F.inline(both)).where("node is not null")
+    return steps
 
 
 def format_paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """conv_id, leaf, branch, formatted, loss (first code point and length of each learned text in formatted)."""
-    steps = chosen.select("conv_id", "leaf", "branch", F.posexplode("path").alias("at", "node")).alias("s")
-    turns = steps.join(nodes.alias("n"), F.col("s.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("s.node") == F.col("n.node")))
+    """conv_id, leaf, branch, formatted, loss (first code point and length of each learned text in formatted) of chosen, as branches gives it.
+
+    Null texts and roles are empty. A conversation is one value in the result, so one task puts it together.
+    """
+    turns = chosen.alias("s").join(nodes.alias("n"), F.col("s.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("s.node") == F.col("n.node")))
     role = F.coalesce("role", F.lit(""))
     head, body = F.concat(F.lit(OPEN), escape(role, role=True), F.lit(MIDDLE)), escape(F.coalesce("text", F.lit("")))
     turn = F.struct("at", head.alias("head"), body.alias("body"), (role == LEARNED).alias("learned"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import buckets_for, cut, running
 
 FAN = 16
 #: Records that a file is meant to hold.
@@ -32,11 +32,19 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def archive(records_: DataFrame, files: int) -> DataFrame:
-    """file, seq, offset, length, page_id, digest, copy of each record. A file takes the records that hash to it, by page_id, then digest; copy numbers those of a page."""
+    """file, seq, offset, length, page_id, digest, copy of each record.
+
+    copy numbers the records of a page, in an order of their digests. A file takes the records that hash to it, by page
+    and by RECORDS_PER_FILE copies, in the order of page_id and copy: no page can fill a file.
+    """
     hashed = records_.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    filed = hashed.withColumn("file", F.pmod(F.xxhash64("page_id", F.lit("file")), F.lit(files)))
-    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    return filed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "digest", F.row_number().over(W.partitionBy("file", "page_id").orderBy("digest")).alias("copy"))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    distinct = cut(hashed.groupBy(page.alias("page"), "page_id", "length", "digest").agg(F.count("*").alias("times")))
+    counted = running(distinct, ["page"], F.xxhash64("digest"), [F.col("digest")], F.col("times"), "before", buckets_for(distinct.count()))
+    every = counted.withColumn("copy", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("times"))))
+    filed = every.withColumn("file", F.pmod(F.xxhash64("page_id", F.floor((F.col("copy") - 1) / RECORDS_PER_FILE), F.lit("file")), F.lit(files)))
+    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "copy")
+    return filed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "digest", "copy")
 
 
 def slotted(theirs: DataFrame, mine: DataFrame) -> DataFrame:
@@ -89,23 +97,25 @@ def compare(one: DataFrame, other: DataFrame) -> DataFrame:
     highest = top.agg(F.max("top")).first()[0]
     bad, found = None, None
     for level in range(highest if highest is not None else -1, -1, -1):
-        both = _side(one, level, "l").join(_side(other, level, "r"), ["file", "node"], "full")
         # begin with every file whose trees' higher root is here, and with the children of what differed above
-        start = both.join(top.where(F.col("top") == level), "file", "left_semi")
-        if bad is not None:
-            start = start.unionByName(both.join(bad, [both.file == bad.file, F.floor(both.node / FAN) == bad.node], "left_semi"))
-        differ = start.where("not (l_hash <=> r_hash)")
-        bad = cut(differ.select("file", "node", "l_begin", "l_end", "r_begin", "r_end", "l_hash", "r_hash"))
-        found = bad
-        bad = bad.select("file", "node")
+        begun = top.where(F.col("top") == level).select("file")
+        both = _side(one, level, "l", begun, bad).join(_side(other, level, "r", begun, bad), ["file", "node"], "full")
+        found = cut(both.where("not (l_hash <=> r_hash)"))
+        bad = found.select("file", "node")
     if found is None:
         return one.select("file", F.col("node").alias("seq"), "begin", "end", F.lit("").alias("state")).limit(0)
     state = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "added").otherwise("changed")
     return found.select("file", F.col("node").alias("seq"), F.coalesce("l_begin", "r_begin").alias("begin"), F.coalesce("l_end", "r_end").alias("end"), state.alias("state"))
 
 
-def _side(t: DataFrame, level: int, mark: str) -> DataFrame:
-    return t.where(F.col("level") == level).select("file", "node", *(F.col(c).alias(f"{mark}_{c}") for c in ("begin", "end", "hash")))
+def _side(t: DataFrame, level: int, mark: str, begun: DataFrame, bad: DataFrame | None) -> DataFrame:
+    """A tree's nodes of a level in the begun files or below the bad nodes; no others reach the comparison."""
+    nodes = t.where(F.col("level") == level)
+    read = nodes.join(begun, "file", "left_semi")
+    if bad is not None:
+        above = bad.select("file", F.col("node").alias("_above"))
+        read = read.unionByName(nodes.withColumn("_above", F.floor(F.col("node") / FAN)).join(above, ["file", "_above"], "left_semi").drop("_above"))
+    return read.select("file", "node", *(F.col(c).alias(f"{mark}_{c}") for c in ("begin", "end", "hash")))
 
 
 def _matched(left: DataFrame, right: DataFrame) -> DataFrame:

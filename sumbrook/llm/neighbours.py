@@ -3,6 +3,9 @@
 A vector's halves are quantised separately, so 256 centroids a half make 65,536 cells. A query takes the cells in
 order of the sum of its squared distances to the two centroids, from a heap, until they hold enough candidates. The
 entries of those cells are ranked by exact distance, in blocks of the index that meet blocks of queries.
+
+How many candidates are enough is measured on the table itself: for a bounded number of its vectors the exact
+neighbours are found by one pass over all rows, and the cells are taken far enough to hold the stated share of them.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,9 +28,9 @@ SAMPLE = 16_384
 #: Centroids of each half at most; fewer for small tables.
 CENTROIDS = 256
 ROUNDS = 12
-#: A query's cells hold this share of all vectors, and so many at least.
-VISIT_SHARE = 0.4
-VISIT_LEAST = 4000
+#: The share of exact neighbours that the cells taken are to hold, and the vectors on which it is measured.
+RECALL = 0.95
+MEASURED = 256
 #: First-half centroids whose cells make one block, and the rows of a block that meet in one group.
 GROUP = 8
 BLOCK_ROWS = 4096
@@ -95,7 +99,50 @@ def _matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int = CENTROIDS, share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
+def _nearest(probes: Broadcast, width: int, k: int):
+    """The k nearest index rows of each probe among those of one partition, with their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, q = probes.value
+        held = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, a, b = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            far = _squared(q, _matrix(batch.column(1), width))
+            far[own_ids[:, None] == ids] = np.inf
+            far, cell = np.hstack((held[0], far)), np.hstack((held[1], np.broadcast_to(a.astype(np.int64) << 32 | b, far.shape)))
+            at = np.argsort(far, 1, kind="stable")[:, :k]
+            held = np.take_along_axis(far, at, 1), np.take_along_axis(cell, at, 1)
+        which, place = np.nonzero(np.isfinite(held[0]))
+        cells = held[1][which, place]
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(held[0][which, place]), pa.array(cells >> 32, pa.int32()), pa.array(cells & 0xFFFFFFFF, pa.int32())], ["probe", "far", "a", "b"])
+
+    return run
+
+
+def enough(index: DataFrame, book: Codebook, counts: np.ndarray, k: int, recall: float = RECALL, measured: int = MEASURED) -> int:
+    """How many vectors a query's cells must hold so that they hold the share `recall` of its k nearest ones."""
+    width = book.first.shape[1] + book.second.shape[1]
+    rows = index.orderBy(F.xxhash64(F.lit("measured"), F.col("vec_id")), "vec_id").select("vec_id", "v").limit(measured).toPandas()
+    q = _matrix(rows.v, width)
+    probes = index.sparkSession.sparkContext.broadcast((rows.vec_id.to_numpy(), q))  # `measured` rows
+    near = index.mapInArrow(_nearest(probes, width, k), "probe int, far double, a int, b int")
+    best = near.withColumn("place", F.row_number().over(W.partitionBy("probe").orderBy("far", "a", "b"))).where(F.col("place") <= k).toPandas()  # k rows a probe
+    if not len(best):
+        return int(counts.sum())
+    first, second = _squared(q[:, : book.half], book.first), _squared(q[:, book.half :], book.second)
+    needed = []
+    for probe, cells in best.groupby("probe"):
+        sums = (first[probe][:, None] + second[probe]).ravel()
+        by = np.argsort(sums, kind="stable")
+        reached = np.empty(len(by), np.int64)
+        reached[by] = np.cumsum(counts.ravel()[by])
+        needed += reached[cells.a.to_numpy() * counts.shape[1] + cells.b.to_numpy()].tolist()
+    return int(np.quantile(needed, recall, method="higher"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int = CENTROIDS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest by Euclidean distance among the other rows found.
 
     The dimension is the commonest one; vectors of another take no part. Equal distances go by the smaller vec_id. Each
@@ -128,7 +175,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int =
     for r in index.groupBy("a", "b").count().toLocalIterator():  # a row for each cell at most: centroids_ squared
         counts[r.a, r.b] = r["count"]
     counted = spark.sparkContext.broadcast(counts)
-    want = max(int(share * total), min(total, least + 1))
+    want = max(enough(index, book, counts, k, recall), min(total, k + 1))  # a query is in its own cells
     groups = -(-len(book.first) // GROUP)
     cells = GROUP * counts.shape[1]
 

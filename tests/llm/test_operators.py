@@ -152,7 +152,7 @@ def test_neighbours_and_odd_vectors(spark):
     vectors |= {100 + i: vectors[20] for i in range(15)}
     bad = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [None] + [1.0] * 7), (904, [float("inf")] + [1.0] * 7), (905, [1.0] * 5), (800, None), (None, [1.0] * 8)]
     df = spark.createDataFrame([*vectors.items(), *bad], "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df.withColumn("rank", F.lit("x")).withColumn("a", F.lit(1)), F.col("vec_id") % 20 == 0, recall=1.0).collect())
     want = sorted(plain_neighbours(vectors, [i for i in vectors if i % 20 == 0], 10))
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
     assert neighbours.search(df.where("vec_id >= 900"), F.lit(True)).count() == 0
@@ -160,15 +160,32 @@ def test_neighbours_and_odd_vectors(spark):
     assert neighbours.search(df.where("vec_id in (0, 1, 2)"), F.lit(True)).count() == 6  # fewer candidates than k
 
 
+def recall_of(df, got, ids, x):
+    q = np.flatnonzero(ids % 100 == 0)
+    far = neighbours._squared(x[q], x)
+    far[np.arange(len(q)), q] = np.inf
+    want = {(int(ids[i]), int(ids[j])) for i, row in zip(q, far, strict=True) for j in np.argsort(row)[:10]}
+    found = {(r.query_id, r.vec_id) for r in got}
+    exact = {(r.query_id, r.vec_id): r.score for r in got}
+    at = {int(i): n for n, i in enumerate(ids)}
+    assert all(s == pytest.approx(math.sqrt(((x[at[a]] - x[at[b]]) ** 2).sum())) for (a, b), s in exact.items())
+    return len(found & want) / len(want)
+
+
+def test_neighbours_of_the_table(spark):
+    rows = neighbours.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    got = queries.op2_multi_index(spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 10 * (ids % 100 == 0).sum() and recall_of(spark, got, ids, x) >= 0.9
+
+
 def test_neighbours_recall_and_heap_order(spark):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(3000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 100 == 0, least=100).collect()}
-    far = ((x[::100, None, :].astype(float) - x[None]) ** 2).sum(2)
-    far[np.arange(30), np.arange(30) * 100] = np.inf
-    want = {(i * 100, int(j)) for i, row in enumerate(far) for j in np.argsort(row)[:10]}
-    assert len(got & want) >= 0.9 * len(want)
+    assert recall_of(spark, neighbours.search(df, F.col("vec_id") % 100 == 0).collect(), np.arange(3000), x.astype(float)) >= 0.9
+    half = recall_of(spark, neighbours.search(df, F.col("vec_id") % 100 == 0, recall=0.5).collect(), np.arange(3000), x.astype(float))
+    assert 0.35 < half < 0.75  # the cells decide what is found
     book = neighbours.Codebook(x.astype(float), 16)
     order = book.visit(x[0].astype(float), np.ones((16, 16), int), 256)
     a, b = neighbours._squared(x[:1, :8].astype(float), book.first)[0], neighbours._squared(x[:1, 8:].astype(float), book.second)[0]
@@ -342,6 +359,27 @@ def test_fixity_locates_added_and_lost_bytes(spark, sf_dir):
     assert [(r.page_id, r.state) for r in new] == [(20, "added")]
 
 
+def test_fixity_of_a_page_that_fills_files(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "RECORDS_PER_FILE", 20)
+    rows = [(3, "u", "same")] * 150 + [(i, "u", "x" * 50_000 if i == 9 else f"page {i}") for i in range(60)]
+    one = spark.createDataFrame([(*r, 1, "z") for r in rows], "page_id long, url string, html string, seq int, file string")
+    got = fixity.audit(one, one.where("page_id <> 40")).collect()
+    assert len(got) == len(rows) and [(r.page_id, r.state) for r in got if r.state != "same"] == [(40, "missing")]
+    assert max(Counter(r.file for r in got).values()) < 60
+    changed = one.withColumn("html", F.when(F.col("page_id") == 9, F.concat("html", F.lit("y"))).otherwise(F.col("html")))
+    assert [(r.page_id, r.state) for r in fixity.audit(one, changed).collect() if r.state != "same"] == [(9, "changed")]
+
+
+def test_fixity_reads_only_children_of_what_differs(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(400)], "page_id long, url string, html string")
+    replica = pages.withColumn("html", F.when(F.col("page_id") == 123, F.lit("other")).otherwise(F.col("html")))
+    mine = fixity.cut(fixity.archive(fixity.records(pages), 1))
+    trees = [fixity.tree(mine), fixity.tree(fixity.slotted(fixity.cut(fixity.archive(fixity.records(replica), 1)), mine).withColumnRenamed("own", "offset"))]
+    assert [tuple(r)[:2] for r in fixity.compare(*trees).collect()] == [(0, 123)]
+    none = trees[0].limit(0).select("file")
+    assert fixity._side(trees[0], 0, "l", none, spark.createDataFrame([(0, 123 // 16)], "file long, node long")).count() == 16
+
+
 def test_fixity_of_damaged_copies(spark):
     schema = "page_id long, url string, html string"
     one = [(i, "u", "x" * i) for i in range(300)] + [(7, "u", t) for t in "abcde"] + [(None, "u", t) for t in "abc"]
@@ -548,11 +586,41 @@ def test_chat_round_trip(spark, sf_dir):
 def test_reply_trees(spark):
     nodes = [(1, 0, None, 0.0), (1, 1, 0, 5.0), (1, 2, 0, 1.0), (1, 3, 1, 1.0), (1, 4, 2, 9.0), (1, 5, 4, 9.0), (1, 6, 99, 0.5), (None, 0, None, 1.0), (2, 0, None, None)]
     df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, score double")
-    got = sorted(((r.conv_id, r.branch, r.path) for r in chat.branches(df, None).collect()), key=str)
+    paths = defaultdict(list)
+    for r in sorted(chat.branches(df, None).collect(), key=lambda r: r.at):
+        assert r.at == len(paths[r.conv_id, r.branch, r.leaf])
+        paths[r.conv_id, r.branch, r.leaf].append(r.node)
+    got = sorted(((c, b, p) for (c, b, _), p in paths.items()), key=str)
     assert got == sorted([(1, 1, [0, 2, 4, 5]), (1, 2, [0, 1, 3]), (1, 3, [6]), (None, 1, [0]), (2, 1, [0])], key=str)
     assert chat.branches(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        chat.paths(spark.createDataFrame([(1, 0, 1, 0.0), (1, 1, 0, 0.0)], df.schema))
+        chat.pointers(spark.createDataFrame([(1, 0, 1, 0.0), (1, 1, 0, 0.0)], df.schema))
+
+
+def test_reply_trees_of_random_replies(spark):
+    draw, nodes = random.Random(9), []
+    for conv in range(6):
+        nodes += [(conv, i, draw.choice([i - 1, draw.randrange(i)]) if i else None, float(draw.randint(0, 5))) for i in range(draw.randint(1, 40))]
+    of, want = {(c, n): (p, s) for c, n, p, s in nodes}, {}
+    for conv in range(6):
+        parents = {p for c, _, p, _ in nodes if c == conv}
+        best = []
+        for leaf in (n for c, n, _, _ in nodes if c == conv and n not in parents):
+            path, at = [], leaf
+            while at is not None:
+                path.insert(0, at)
+                at = of[conv, at][0]
+            best.append((-sum(of[conv, n][1] for n in path) / len(path), -len(path), leaf, path))
+        want |= {(conv, b): x[3] for b, x in enumerate(sorted(best)[:3], 1)}
+    got = defaultdict(list)
+    for r in sorted(chat.branches(spark.createDataFrame(nodes, "conv_id long, node long, parent long, score double"), 3).collect(), key=lambda r: r.at):
+        got[r.conv_id, r.branch].append(r.node)
+    assert got == want
+
+
+def test_chat_of_an_empty_table(spark):
+    nodes = chat.chain(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.format_paths(nodes, chat.branches(nodes)).count() == 0
 
 
 def test_chat_of_odd_turns(spark):

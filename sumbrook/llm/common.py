@@ -21,9 +21,11 @@ ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. It is the cluster's; a local one is made only where none is set."""
+    """The folder that all executors see, which spark.checkpoint.dir names. Only local runs, such as tests, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

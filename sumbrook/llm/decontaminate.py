@@ -1,30 +1,33 @@
 """Benchmark passages in documents, by a prefix-filtered join with exact verification.
 
 A window (13 consecutive words of an item, or a whole shorter item) must be contained whole, so its necessary prefix
-is a single token: its rarest word over the corpus. Only positions of such words become candidates; the word's place
-in the window fixes where the window would begin, the document's bounds and the window's length drop what can't fit,
-and the remaining words are compared one by one.
+is a single token: its rarest word over the corpus. Windows, corpus counts and prefixes are tables that Spark joins.
+Documents are read twice: once to count the words that the benchmark has, once for candidates. A place of a document
+is a candidate if it holds a prefix word and the window, laid so that its prefix is there, lies inside the document; the
+candidate's text is then joined with the windows' texts, which verifies it word by word.
+
+Only filters of fixed size are broadcast: bitmaps of FILTER_BITS, which say of a word (and of its place and the
+window's length) that no window has it as its prefix. A bitmap that a huge benchmark fills lets more candidates
+through to the join, and loses none.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import slices, small_batches, texts
+from .common import cut, join_hot, slices, small_batches, texts
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast index; a larger benchmark is split over several that are applied in turn.
-INDEX_WORDS = 1_000_000
-#: Candidates compared at once.
-AT_ONCE = 1 << 20
+FILTER_BITS = 1 << 24
 
 #: Every byte outside the word class becomes a space, capital letters become small.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,193 +37,160 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class Index:
-    """The windows of some items. `prefix()` is called once the corpus counts of `vocabulary` are known."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + WINDOW]), set()).update(() if item is None else (item,))
-        self.items = list(windows.values())
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.words = np.full((len(windows), WINDOW), -1, np.int32)
-        for i, w in enumerate(windows):
-            self.words[i, : len(w)] = w
-
-    def prefix(self, counts: dict[int, int]) -> Index:
-        seen = np.zeros(len(self.vocabulary) + 1, np.int64)
-        for word, n in counts.items():
-            seen[word] = n
-        rarity = np.where(self.words >= 0, seen[self.words], np.iinfo(np.int64).max)
-        self.place = rarity.argmin(1)
-        token = self.words[np.arange(len(self.words)), self.place]
-        self.order = np.argsort(token, kind="stable")
-        self.first = np.searchsorted(token[self.order], np.arange(len(self.vocabulary) + 1))
-        return self
-
-    def ids(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The vocabulary ids of all words (-1: none) and where each document begins in them."""
-        get, parts, begins = self.vocabulary.get, [], [0]
-        for text in documents:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        said, sizes, items = [], [], []
+        for item, text in zip(batch.column(batch.schema.get_field_index("item_id")).to_pylist(), texts(batch, "text"), strict=True):
             found = words(text)
-            parts.append(np.fromiter((get(w, -1) for w in found), np.int32, len(found)))
-            begins.append(begins[-1] + len(found))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(begins)
-
-    def matches(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Where windows occur: begin, window, document."""
-        at = np.flatnonzero(ids >= 0)
-        fan = (self.first[1:] - self.first[:-1])[ids[at]] if len(at) else at
-        at, fan = at[fan > 0], fan[fan > 0]
-        steps = np.concatenate(([0], np.cumsum(fan)))
-        low = 0
-        while low < len(at):
-            high = max(low + 1, int(np.searchsorted(steps, steps[low] + AT_ONCE, "right")) - 1)
-            n = fan[low:high]
-            position = np.repeat(at[low:high], n)
-            window = self.order[np.repeat(self.first[ids[at[low:high]]] - (steps[low:high] - steps[low]), n) + np.arange(n.sum())]
-            begin = position - self.place[window]
-            document = np.searchsorted(begins, position, "right") - 1
-            fits = (begin >= begins[document]) & (begin + self.length[window] <= begins[document + 1])
-            begin, window, document = begin[fits], window[fits], document[fits]
-            for k in range(WINDOW):
-                same = (k >= self.length[window]) | (ids[np.minimum(begin + k, len(ids) - 1)] == self.words[window, k])
-                begin, window, document = begin[same], window[same], document[same]
-            yield begin, window, document
-            low = high
-
-
-def _count(index: Broadcast):
+            own = {b" ".join(found[i : i + WINDOW]) for i in range(max(1, len(found) - WINDOW + 1))} if found else set()
+            said += own
+            sizes += [min(len(found), WINDOW)] * len(own)
+            items += [item] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(items, pa.string())], ["said", "n", "item"])
+
+
+def windows(benchmark: DataFrame) -> DataFrame:
+    """said (the words, by spaces), n (how many), items (ids without nulls) of each distinct window."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_windows, "said string, n int, item string").groupBy("said", "n").agg(F.collect_set("item").alias("items"))
+
+
+#: Place and length that stand for any.
+_ANY = 255
+
+
+def _slot(word: bytes, place: int = _ANY, n: int = _ANY) -> int:
+    return xxhash.xxh64_intdigest(word, place << 8 | n)
+
+
+def _slots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index.value.vocabulary), np.int64)
-        for batch in slices(batches, "text"):
-            ids, _ = index.value.ids(texts(batch, "text"))
-            total += np.bincount(ids[ids >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["word", "n"])
+        for batch in batches:
+            found = [_slot(w.encode(), p, n) % bits for w, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["slot"])
 
     return run
 
 
-def _match(index: Broadcast, state: tuple[str, str], finish: Callable[..., pa.RecordBatch]):
-    """Adds this index's hits to the two state columns (begin and end of hit words, in turn; items), then calls finish."""
+def _bitmap(rows: DataFrame, bits: int) -> Broadcast:
+    """A bitmap of the rows (word, place, n), of the same size whatever their number."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    found = rows.mapInArrow(_slots(bits), "slot long").groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toPandas()  # bits / 64 rows at most
+    held = np.zeros(bits // 64, np.int64)
+    held[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return rows.sparkSession.sparkContext.broadcast(held.view(np.uint8))
+
 
+def _has(bitmap: np.ndarray, slot: int) -> bool:
+    at = slot % (8 * len(bitmap))
+    return bool(bitmap[at >> 3] >> (at & 7) & 1)
+
+
+def _count(held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = index.value
+        known = held.value
         for batch in slices(batches, "text"):
-            ids, begins = own.ids(texts(batch, "text"))
-            hits, items = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state)
-            for begin, window, document in own.matches(ids, begins):
-                edge = np.zeros(len(ids) + 1, np.int32)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + own.length[window], -1)
-                inside = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
-                # a document's end also ends a run of hit words
-                ends = np.unique(np.concatenate((np.flatnonzero(np.diff(inside)), begins)))
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    if inside[a + 1]:
-                        d = int(np.searchsorted(begins, a, "right")) - 1
-                        hits[d] += [int(a - begins[d]), int(b - begins[d])]
-                for d, w in np.unique(np.stack((document, window)), axis=1).T:
-                    items[d] += own.items[w]
-            yield finish(batch, np.diff(begins), hits, [sorted(set(x)) for x in items])
+            seen = Counter(words(b" ".join(texts(batch, "text"))))
+            seen = {w: n for w, n in seen.items() if _has(known, _slot(w))}
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
     return run
 
 
-def _others(batch: pa.RecordBatch, state: tuple[str, str]) -> pa.RecordBatch:
-    return batch.select([c for c in batch.schema.names if c not in state])
-
+def prefixes(found: DataFrame, text: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """word, place, n of each window: its rarest word in text (the first of equals), where it stands, and the window's length."""
+    spoken = found.select("said", "n", F.posexplode(F.split("said", " ")).alias("place", "word"))
+    vocabulary = cut(spoken.groupBy("word").agg(F.count("*").alias("held")))
+    held = _bitmap(vocabulary.select("word", F.lit(_ANY).alias("place"), F.lit(_ANY).alias("n")), bits)
+    counts = text.mapInArrow(_count(held), "word string, n long").groupBy("word").agg(F.sum("n").alias("seen"))
+    rarity = cut(vocabulary.join(counts, "word", "left").select("word", "held", F.coalesce("seen", F.lit(0)).alias("seen")))
+    total = rarity.agg(F.sum("held")).first()[0] or 0
+    rarest = join_hot(spoken, rarity, "word", "held", total).groupBy("said", "n").agg(F.min(F.struct("seen", "place", "word")).alias("least"))
+    return rarest.select("least.word", "least.place", "n").distinct()
 
-def _carry(state: tuple[str, str]):
-    """For the next index: the rows with their state."""
 
-    def finish(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
-        rows = _others(batch, state)
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*rows.schema.names, *state])
-
-    return finish
+def _candidates(prefix: Broadcast, placed: Broadcast, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_prefix, fits = prefix.value, placed.value
+        for batch in slices(batches, "text"):
+            n_words, out, known = [], [], {}
+            for text in texts(batch, "text"):
+                said, own = words(text), []
+                get = known.get
+                for at, word in enumerate(said):
+                    able = get(word)
+                    if able is None:  # the places and lengths that the word can have in a window
+                        able = known[word] = [(p, n) for n in sizes for p in range(n) if _has(fits, _slot(word, p, n))] if _has(is_prefix, _slot(word)) else []
+                    for place, n in able:
+                        begin = at - place
+                        if begin >= 0 and begin + n <= len(said):
+                            own.append((begin, n, b" ".join(said[begin : begin + n]).decode("utf8", "replace")))
+                n_words.append(len(said))
+                out.append(own)
+            others = batch.select([c for c in batch.schema.names if c != "text"])
+            kind = pa.list_(pa.struct([("begin", pa.int64()), ("n", pa.int32()), ("said", pa.string())]))
+            columns = [pa.array(n_words, pa.int64()), pa.array([[dict(zip(("begin", "n", "said"), x, strict=True)) for x in own] for own in out], kind)]
+            yield pa.RecordBatch.from_arrays([*others.columns, *columns], [*others.schema.names, "n_words", "found"])
 
+    return run
 
-def _hit_words(spans: list[int]) -> int:
-    """The words in any of the spans, which may overlap."""
-    total = reach = 0
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
 
+def _text_key(text: Column) -> Column:
+    """128 bits of hash and the length: equal texts have equal hits, so each is verified once."""
+    return F.when(text.isNotNull(), F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit("second"), text)), F.octet_length(text).cast("string"))).otherwise("")
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """rows (with text) as a table without text, with key and n_words; and for each key with a hit its merged spans and items."""
+    small_batches(rows.sparkSession)
+    found = cut(windows(benchmark))
+    prefix = cut(prefixes(found, rows.select("text"), bits))
+    sizes = sorted(r.n for r in prefix.select("n").distinct().collect())  # WINDOW of them at most
+    empty = F.expr("cast(array() as array<struct<begin:long,n:int,said:string>>)")
+    schema = rows.drop("text").withColumns({"n_words": F.lit(0).cast("long"), "found": empty}).schema
+    held = _bitmap(prefix.select("word", F.lit(_ANY).alias("place"), F.lit(_ANY).alias("n")), bits), _bitmap(prefix.select("word", "place", "n"), bits)
+    marked = cut(rows.mapInArrow(_candidates(*held, sizes), schema))
+    texts_ = marked.where("size(found) > 0").groupBy("key").agg(F.any_value("found").alias("found"))
+    each = cut(texts_.select("key", F.inline("found")))
+    met = cut(found.select("said", "items").join(each.groupBy("said").agg(F.count("*").alias("held")), "said"))
+    hits = cut(join_hot(each, met, "said", "held", each.count()).select("key", "begin", (F.col("begin") + F.col("n")).alias("end"), "items"))
+    by = W.partitionBy("key").orderBy("begin", "end")
+    apart = F.coalesce(F.col("begin") > F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    islands = hits.select("key", "begin", "end").distinct().withColumn("apart", apart).withColumn("island", F.sum("apart").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    spans = islands.groupBy("key", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    items = hits.select("key", F.explode_outer("items").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return marked.drop("found"), spans.join(items, "key")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_words, spans (hit words, from begin to before end), items (ids of the items with windows in the text) of each row.
 
-def _digest(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
-    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-    columns = [pa.array(n_words, pa.int64()), pa.array(map(_hit_words, hits), pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sha, pa.string())]
-    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+    Null and blank texts have no words and are clean. Repeated rows each come back. Repeated items count once; an item
+    without an id marks words but adds no item. An empty benchmark leaves every document clean. Documents of any length
+    are processed whole; other columns than doc_id, text and item_id are not read. No documents give no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    marked, hits = _hits(rows, benchmark, bits)
+    keyed = cut(hits.join(marked.groupBy("key").agg(F.count("*").alias("held")), "key"))
+    joined = join_hot(marked, keyed, "key", "held", marked.count(), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<begin:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _clean(state: tuple[str, str]):
-    """The rows that are not contaminated, without their state."""
+def hit_words(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s.end - s.begin)
 
-    def finish(batch: pa.RecordBatch, n_words: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
-        found = np.array(list(map(_hit_words, hits)), np.int64)
-        return _others(batch, state).filter(pa.array((found == 0) | (20 * found < n_words)))
 
-    return finish
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _indexes(benchmark: DataFrame, most: int) -> Iterator[Index]:
-    held, n = [], 0
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    for row in rows.toLocalIterator():
-        held.append((row.item_id, bytes(row.text)))
-        n += len(words(held[-1][1]))
-        if n >= most:
-            yield Index(held)
-            held, n = [], 0
-    if held:
-        yield Index(held)
-
-
-def _parts(text: DataFrame, benchmark: DataFrame, most: int) -> list[Broadcast]:
-    """The broadcast indexes, ready to match; each is bounded by `most` words."""
-    context, found = text.sparkSession.sparkContext, []
-    for index in _indexes(benchmark, most):
-        raw = context.broadcast(index)
-        counts = text.mapInArrow(_count(raw), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the index
-        found.append(context.broadcast(index.prefix({r.word: r.n for r in counts})))
-        raw.unpersist()
-    return found or [context.broadcast(Index([]).prefix({}))]
-
-
-def _through(rows: DataFrame, parts: list[Broadcast], last: Callable[[tuple[str, str]], Callable], schema) -> DataFrame:
-    """The rows through all indexes, one after the other, without a shuffle."""
-    mark = uuid.uuid4().hex  # so that no column of the rows has the name
-    state = (f"hits_{mark}", f"items_{mark}")
-    rows = rows.withColumns({state[0]: F.expr("cast(array() as array<long>)"), state[1]: F.expr("cast(array() as array<string>)")})
-    for part in parts[:-1]:
-        rows = rows.mapInArrow(_match(part, state, _carry(state)), rows.schema)
-    return rows.mapInArrow(_match(parts[-1], state, last(state)), schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row.
+def keep_clean(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of docs that are not contaminated, unchanged: null and blank texts stay, equal texts stay or go together.
 
-    Null and blank texts have no words and are clean. Repeated rows each come back. Repeated items count once; an item
-    without an id marks words but adds no item. An empty benchmark leaves every document clean. The benchmark is
-    read in parts of `index_words` words, which bounds each broadcast; the parts are applied one after the other in
-    one pass over the documents, without a shuffle. Documents of any length are processed whole.
+    Columns may have any names. The texts of contaminated documents are known by their hashes, and only these are joined.
     """
-    small_batches(docs.sparkSession)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = _parts(text.select("text"), benchmark, index_words)
-    found = _through(text, parts, lambda _: _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of docs that `contamination` calls clean, unchanged; rows pass through in one step, without a join."""
-    small_batches(docs.sparkSession)
-    parts = _parts(docs.select(F.col("text").cast("binary").alias("text")), benchmark, index_words)
-    return _through(docs, parts, _clean, docs.schema)
+    rows = docs.select(_text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    marked, hits = _hits(rows, benchmark, bits)
+    sizes = marked.groupBy("key").agg(F.any_value("n_words").alias("n_words"))
+    bad = cut(hits.join(sizes, "key").where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col("key").alias("_bad")))
+    return docs.join(bad, _text_key(F.col("text")) == F.col("_bad"), "left_anti").select(*docs.columns)

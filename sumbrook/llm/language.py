@@ -29,6 +29,8 @@ WORD_LIMIT = 12.0
 #: A language may use a script if it makes up this share of its letters in training.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
+#: A document is in a language that fits this share of its letters, by label and by script; the pipeline rejects others.
+FITS = 0.4
 #: Bytes of text that are labelled at once; a worker needs some fifty times as much memory.
 PIECE = 3 << 20
 
@@ -63,6 +65,12 @@ class Words:
         self.script, self.letter = script_of[self.points], is_letter[self.points]
         self.letters = np.bincount(self.word, self.letter, len(self.words)).astype(np.int64)
 
+    def main_script(self) -> np.ndarray:
+        """The script of most letters of each word."""
+        main = np.zeros((len(self.words), len(SCRIPT_NAMES)), np.int64)
+        np.add.at(main, (self.word[self.letter], self.script[self.letter]), 1)
+        return main.argmax(1)
+
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order: the word and the bucket of each n-gram. What is not a letter counts as a space."""
         points = np.where(self.letter, self.points, 32)
@@ -110,9 +118,7 @@ class Model:
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(word, self.logs[bucket, k], len(found.words))
         total = np.clip(total - total.max(1, keepdims=True), -WORD_LIMIT, 0) if self.langs else total
-        main = np.zeros((len(found.words), len(SCRIPT_NAMES)), np.int64)
-        np.add.at(main, (found.word[found.letter], found.script[found.letter]), 1)
-        able = self.uses[:, main.argmax(1)].T if len(found.words) else np.zeros((0, len(self.langs)), bool)
+        able = self.uses[:, found.main_script()].T if len(found.words) else np.zeros((0, len(self.langs)), bool)
         total = np.where(able | ~able.any(1, keepdims=True), total, -4 * WORD_LIMIT)  # no language uses it: no news
         total[found.letters == 0] = 0
         return total
@@ -154,22 +160,28 @@ class Model:
         out = chosen[place]
         return found, out
 
-    def predict(self, documents: list[bytes]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
-        """For each document its language, that language's share of the letters, and the spans (first word, end, language)."""
+    def predict(self, documents: list[bytes]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]], list[float]]:
+        """For each document its language, that language's share of the letters, the spans (first word, end, language),
+        and the share of the letters that have the language's label in a script that it uses."""
         found, label = self.labels(documents)
         letters = found.letters[found.codes].astype(float)
-        names, shares, spans, begin = [], [], [], 0
+        able = np.zeros(len(label), bool)
+        if len(self.langs) and len(label):
+            able = self.uses[label, found.main_script()[found.codes]]
+        names, shares, spans, fits, begin = [], [], [], [], 0
         for n in found.counts:
             own, weight = label[begin : begin + n], letters[begin : begin + n]
             held = np.bincount(own, weight, len(self.langs)) if n else np.zeros(len(self.langs))
             if not len(self.langs) or not held.sum():
-                names.append(UNKNOWN), shares.append(0.0), spans.append([])
+                names.append(UNKNOWN), shares.append(0.0), spans.append([]), fits.append(0.0)
             else:
-                names.append(self.langs[held.argmax()]), shares.append(float(held.max() / held.sum()))
+                best = int(held.argmax())
+                names.append(self.langs[best]), shares.append(float(held[best] / held.sum()))
+                fits.append(float((weight * (able[begin : begin + n] & (own == best))).sum() / held.sum()))
                 edge = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), int(n)]
                 spans.append([(a, b, self.langs[own[a]]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
             begin += n
-        return names, shares, spans
+        return names, shares, spans, fits
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -185,26 +197,32 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, counts)
 
 
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the language's share of the letters), n_spans of each row.
+    """doc_id, lang_pred, score (the language's share of the letters), spans (first word, end, language) of each row.
 
-    Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. Repeated rows
-    each come back, ties between languages go to the first by name, only doc_id and text are read.
+    Null texts and texts without a letter are `und` with score 0 and no spans; so is everything if nothing was learned.
+    Repeated rows each come back, ties between languages go to the first by name, only doc_id and text are read.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each learned language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            names, shares, spans = held.value.predict(texts(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array([len(x) for x in spans], pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"])
+            names, shares, spans, _ = held.value.predict(texts(batch, "text"))
+            of = [[dict(zip(("begin", "end", "lang"), s, strict=True)) for s in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(of, _SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<begin:long,end:long,lang:string>>")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text is in a learned language, unchanged; those that `identify` calls `und` go.
+def keep_known(docs: DataFrame, model: Model, fits: float = FITS) -> DataFrame:
+    """The rows of docs whose text is in a learned language, unchanged.
 
+    At least `fits` of the letters must have the predicted language's label, in a script that this language uses:
+    texts in other scripts, texts of several languages without a main one, and those that `identify` calls `und` go.
     Rows pass through in one step, without a join. Where nothing could be learned, every text with a letter stays.
     """
     if not model.langs:
@@ -214,8 +232,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            names, _, _ = held.value.predict(texts(batch, "text"))
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            names, _, _, share = held.value.predict(texts(batch, "text"))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= fits for n, s in zip(names, share, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

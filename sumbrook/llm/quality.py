@@ -96,34 +96,48 @@ class Ranking:
             self.weight -= step
             if abs(step).max() < 1e-8:
                 break
-        self.cut = float(np.quantile(z @ self.weight, 1 - good.mean()))  # so many lie below as are labelled bad
+        self.cut = float(np.quantile(z @ self.weight, 1 - good.mean()))  # so many lie below as are labelled bad; train() takes all labelled rows
 
     @staticmethod
     def _wide(x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float).reshape(-1, len(NAMES))
         return np.hstack((x, x * x))
 
-    def score(self, features: Column) -> Column:
-        """0 to 1; the threshold where the raw score is at its quantile."""
+    def raw(self, features: Column) -> Column:
         n, w = len(NAMES), self.weight / self.spread
         line, bend = (F.array(*(F.lit(float(v)) for v in part)) for part in (w[:n], w[n:]))
         parts = F.zip_with(F.zip_with(features, line, lambda x, a: F.struct(x.alias("x"), a.alias("a"))), bend, lambda s, b: s.x * (s.a + b * s.x))
-        raw = F.aggregate(parts, F.lit(float(-(w @ self.mean))), lambda a, b: a + b)
+        return F.aggregate(parts, F.lit(float(-(w @ self.mean))), lambda a, b: a + b)
+
+    def score(self, features: Column) -> Column:
+        """0 to 1; the threshold where the raw score is at its quantile."""
         shift = self.cut - float(np.log(self.threshold / (1 - self.threshold)))
-        return 1 / (1 + F.exp(-(raw - F.lit(shift))))
+        return 1 / (1 + F.exp(-(self.raw(features) - F.lit(shift))))
 
 
 def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     """Learn from labels (doc_id, quality). Null and contradictory labels and documents without text rows are left out.
 
-    `sample` bounds the labelled documents, in expectation; a document that is repeated counts once.
+    `sample` bounds the labelled documents that the weights are fitted on, in expectation; the threshold is taken from all
+    of them. A document that is repeated counts once.
     """
-    n = labels.count()
-    chosen = labels.where("doc_id is not null and quality is not null").where(unit_hash(F.lit("quality"), F.col("doc_id")) * max(n, 1) < sample)
-    agreed = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high and low in (0, 1)")
-    rows = described.join(agreed, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("low").alias("good")).toPandas().sort_values("doc_id")
+    known = labels.where("doc_id is not null and quality is not null")
+    n = known.count()
+
+    def agreed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high and low in (0, 1)")
+
+    chosen = known.where(unit_hash(F.lit("quality"), F.col("doc_id")) * max(n, 1) < sample)
+    rows = described.join(agreed(chosen), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("low").alias("good")).toPandas().sort_values("doc_id")
     x = np.array(rows.features.tolist(), float).reshape(-1, len(NAMES))
-    return Ranking(x, rows.good.to_numpy() == 1)
+    model = Ranking(x, rows.good.to_numpy() == 1)
+    if not model.weight.any():
+        return model
+    # the threshold is of all labelled rows: as many lie below it as are labelled bad
+    scored = cut(described.select("doc_id", model.raw(F.col("features")).alias("raw")).join(agreed(known), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), F.min("low").alias("low")))
+    bad = scored.agg(F.avg((F.col("low") == 0).cast("double"))).first()[0]
+    model.cut = float(scored.agg(F.percentile_approx("raw", F.lit(float(bad)), 100_000)).first()[0])
+    return model
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -32,7 +32,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"))
     found = language.identify(docs, language.train(docs.where(~out)))
-    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "n_spans")
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Hit words, items and the verdict of each document; null and blank texts have none."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"))
 
 
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

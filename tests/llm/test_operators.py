@@ -248,9 +248,16 @@ def test_language_spans_and_scripts(spark):
     rows = [(i, " ".join(draw.choices(pools[k], k=30)), k) for i, k in enumerate(["aa", "bb", "cc"] * 10)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     text = " ".join(["lama sana bana mata"] * 5 + ["krost strund wrelk blirp"] * 5)
-    names, shares, spans = model.predict([text.encode(), "слово krost".encode(), "12 34".encode(), b""])
+    names, shares, spans, fits = model.predict([text.encode(), "слово krost".encode(), "12 34".encode(), b""])
     assert spans[0] == [(0, 20, "aa"), (20, 40, "bb")] and names[0] == "bb" and shares[0] < 0.7
     assert names[2:] == ["und", "und"] and shares[2:] == [0, 0]
+    assert fits[0] == shares[0] and fits[2:] == [0, 0]
+    mixed = " ".join(["bana lama sana"] * 8 + ["krost blirp strund"] * 6 + ["мир слово дом"] * 8)
+    odd = [(1, "lama sana bana", 7), (2, "γειά σου κόσμε", 7), (3, mixed, 7), (4, "12", 7), (5, None, 7), (6, "слово дом 日", 7)]
+    got = language.keep_known(spark.createDataFrame(odd, "doc_id long, text string, n_spans int"), model)
+    assert got.columns == ["doc_id", "text", "n_spans"] and sorted(r.doc_id for r in got.collect()) == [1, 6]
+    labelled = language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [tuple(s) for s in labelled.spans] == spans[0]
     assert not model.uses[model.langs.index("cc"), language.SCRIPT_NAMES.index("latin")]
 
 
@@ -545,10 +552,15 @@ def plain_hits(docs, items):
         yield doc_id, len(t), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(t)
 
 
-@pytest.mark.parametrize("index_words", [10**6, 300])
-def test_contamination_equals_plain(spark, sf_dir, documents, index_words):
+def digest(found):
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    return found.select("doc_id", "n_words", n_hit, F.size("items"), F.sha2(F.array_join("items", ","), 256), decontaminate.is_contaminated(n_hit, F.col("n_words"))).collect()
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 1 << 10])  # a full bitmap loses nothing
+def test_contamination_equals_plain(spark, sf_dir, documents, bits):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = decontaminate.contamination(spark.createDataFrame(documents), benchmark, index_words).collect()
+    got = digest(decontaminate.contamination(spark.createDataFrame(documents), benchmark, bits))
     want = list(plain_hits([(r.doc_id, r.text) for r in documents], [tuple(r) for r in benchmark.collect()]))
     assert sorted(map(tuple, got)) == sorted(want) and any(x[5] for x in want)
 
@@ -557,12 +569,17 @@ def test_contamination_of_odd_rows(spark, odd, none):
     words = "a b c d e f g h i j k l m n o p a b c d e f g h i j k l m n o p".split()
     items = [(1, " ".join(words)), (2, "cat sat"), (3, None), (4, "!!"), (None, "mat AND so"), (2, "cat sat"), (11, "word " * 13), (9, "日本語")]
     docs = odd.union(spark.createDataFrame([(50 + i, " ".join(words[i : i + 20]), None, None, 0, None, 0, None) for i in range(12)], SCHEMA))
-    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    docs = docs.withColumn("key", F.lit("k")).withColumn("said", F.lit(1))
+    got = digest(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
     want = list(plain_hits([(r.doc_id, r.text) for r in docs.collect()], items))
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, want))
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert not any(r.contaminated for r in decontaminate.contamination(odd, bench).collect())
+    assert not any(r.spans or r.items for r in decontaminate.contamination(odd, bench).collect())
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert spans[4] == [(1, 3), (5, 8)] and spans[8] == [(0, 40_000)] and spans[9] == []
+    bad = {i for i, r in zip((r.doc_id for r in docs.collect()), want, strict=True) if r[5]}
+    assert Counter(r.doc_id for r in decontaminate.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == Counter(r.doc_id for r in docs.collect() if r.doc_id not in bad)
     assert decontaminate.contamination(none, bench).count() == 0
 
 

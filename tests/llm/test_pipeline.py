@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
+from sumbrook.llm import language
 from sumbrook.llm.common import cut
 
 from .test_operators import ODD, SCHEMA, check_shards, plain_components, plain_fingerprint, plain_hits
@@ -31,8 +32,18 @@ def test_names_and_columns(stages):
     assert all(list(rows[0].asDict()) == COLUMNS for rows in stages[:-1])
 
 
-def test_language_stage_keeps_every_text_with_letters(stages):
-    assert ids(stages[1]) == sorted(r.doc_id for r in stages[0] if r.text and any(c.isalpha() for c in r.text))
+def test_language_stage_keeps_what_a_learned_language_fits(spark, sf_dir, stages):
+    model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    names, _, _, fits = model.predict([(r.text or "").encode() for r in stages[0]])
+    assert ids(stages[1]) == sorted(r.doc_id for r, n, f in zip(stages[0], names, fits, strict=True) if n != "und" and f >= language.FITS)
+    assert len(stages[1]) >= 0.95 * sum(any(c.isalpha() for c in r.text or "") for r in stages[0])
+
+
+def test_language_stage_rejects_other_scripts_and_jumbles(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    strange = spark.createDataFrame([(-1, "καλημέρα κόσμε τι κάνεις σήμερα", None, "s", 1), (-2, "今日は良い天気ですね", None, "s", 1), (-3, "123 456", None, "s", 1), (-4, None, "en", "s", 1)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(strange), sf_dir)
+    assert kept.where("doc_id < 0").count() == 0
 
 
 def test_one_document_of_each_group_stays(stages):

@@ -37,7 +37,7 @@ DISCOUNT = 0.8
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
 #: See above.
-SPARE_BITS = 20
+SPARE_BITS = 16
 _PIECE = 1 << 20
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -151,9 +151,11 @@ class Automaton:
             logs.append(np.log10(smoothed[-1][arc]))
             targets.append(first[k - 1] + np.flatnonzero(arc) if k < order else first[k - 2] + inner[arc])
         self.failure = np.log10(left)
+        del smoothed, left, seen
         keys = np.concatenate(keys)
         by = np.argsort(keys)
-        self.keys, self.logs, self.targets = keys[by], np.concatenate(logs)[by], np.concatenate(targets)[by]
+        self.keys, self.logs = keys[by], np.concatenate(logs)[by]
+        self.targets = np.concatenate([t.astype(np.int32) for t in targets])[by]
 
     def traverse(self) -> np.ndarray:
         """The log-probability of each text: one step of all texts that still run at a time, the longest first."""

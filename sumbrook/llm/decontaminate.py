@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,19 +114,18 @@ def _candidates(prefix: Broadcast, placed: Broadcast, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_prefix, fits = prefix.value, placed.value
         for batch in slices(batches, "text"):
-            n_words, out, known = [], [], {}
-            for text in texts(batch, "text"):
-                said, own = words(text), []
-                get = known.get
-                for at, word in enumerate(said):
-                    able = get(word)
-                    if able is None:  # the places and lengths that the word can have in a window
-                        able = known[word] = [(p, n) for n in sizes for p in range(n) if _has(fits, _slot(word, p, n))] if _has(is_prefix, _slot(word)) else []
-                    for place, n in able:
+            listed = [words(text) for text in texts(batch, "text")]
+            heads = [w for w in set(chain.from_iterable(listed)) if _has(is_prefix, _slot(w))]
+            # the places and lengths that such a word can have in a window
+            able = {w: found for w in heads if (found := [(p, n) for n in sizes for p in range(n) if _has(fits, _slot(w, p, n))])}
+            n_words, out = list(map(len, listed)), []
+            for said in listed:
+                own = []
+                for at in [at for at, word in enumerate(said) if word in able]:
+                    for place, n in able[said[at]]:
                         begin = at - place
                         if begin >= 0 and begin + n <= len(said):
                             own.append((begin, n, b" ".join(said[begin : begin + n]).decode("utf8", "replace")))
-                n_words.append(len(said))
                 out.append(own)
             others = batch.select([c for c in batch.schema.names if c != "text"])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("n", pa.int32()), ("said", pa.string())]))

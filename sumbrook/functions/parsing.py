@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +68,10 @@ def coerce(c: Column, kind: Kind, pattern: str | None = None) -> Column:
 def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]:
     """The kind, and for dates the pattern, of every text column.
 
-    Booleans by words alone come before numbers (0.8 of the values parse), dates (0.8 of the first 500), categories
-    (50 values at most, half as many as rows) and text. `row` orders the rows; the sample is those with row < 500.
-    One aggregate tests all columns; a second one counts the distinct values of those that are still open.
+    Booleans by words alone come before numbers (0.8 of the values parse), dates (0.8 of the first 500 values in order of
+    `row`), categories (50 values at most, half as many as rows) and text. One aggregate tests all columns; of those that
+    are still open it takes the first values, tries the dates on them, and counts the distinct values where an estimate
+    leaves a doubt.
     """
     names = [c for c in df.columns if c != row]
     words = [t for t in TRUE_TOKENS + FALSE_TOKENS if t not in "01"]
@@ -76,22 +79,20 @@ def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]
     for i, name in enumerate(names):
         c = F.col(column_name(name))
         text = clean(c)
-        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(parse_numeric(c)).alias(f"f{i}")]
-        seen = F.col(row) < SAMPLE
-        parts += [F.count(F.when(seen, text)).alias(f"s{i}")] + [F.count(F.when(seen, parse_datetime(c, p))).alias(f"p{i}_{k}") for k, p in enumerate(DATE_PATTERNS)]
+        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(parse_numeric(c)).alias(f"f{i}"), F.approx_count_distinct(text).alias(f"d{i}")]
     r, found = df.agg(*parts).first(), {}
     for i, name in enumerate(names):
-        n, ratios = r[f"n{i}"], [r[f"p{i}_{k}"] / max(1, r[f"s{i}"]) for k in range(len(DATE_PATTERNS))]
-        best = max(range(len(ratios)), key=lambda k: (ratios[k], -k))
-        if n and r[f"b{i}"] == n:
-            found[name] = (Kind.BOOLEAN, None)
-        elif n and r[f"f{i}"] >= MIN_RATIO * n:
-            found[name] = (Kind.NUMERIC, None)
-        elif n and ratios[best] >= MIN_RATIO:
-            found[name] = (Kind.DATETIME, DATE_PATTERNS[best])
-        else:
-            found[name] = (Kind.TEXT, None)
+        n = r[f"n{i}"]
+        found[name] = (Kind.BOOLEAN, None) if n and r[f"b{i}"] == n else (Kind.NUMERIC, None) if n and r[f"f{i}"] >= MIN_RATIO * n else (Kind.TEXT, None)
     open_ = [i for i, name in enumerate(names) if found[name][0] is Kind.TEXT and r[f"n{i}"]]
+    if open_:
+        firsts = [df.where(clean(F.col(column_name(names[i]))).isNotNull()).orderBy(row).limit(SAMPLE).select(F.lit(i).alias("i"), F.col(column_name(names[i])).alias("v")) for i in open_]
+        tried = reduce(DataFrame.union, firsts).groupBy("i").agg(F.count("*").alias("n"), *(F.count(parse_datetime(F.col("v"), p)).alias(f"p{k}") for k, p in enumerate(DATE_PATTERNS)))
+        for t in tried.collect():  # a row for each column
+            best = max(range(len(DATE_PATTERNS)), key=lambda k: (t[f"p{k}"], -k))
+            if t[f"p{best}"] >= MIN_RATIO * t.n:
+                found[names[t.i]] = (Kind.DATETIME, DATE_PATTERNS[best])
+    open_ = [i for i in open_ if found[names[i]][0] is Kind.TEXT and r[f"d{i}"] <= 2 * MAX_CATEGORIES]
     if open_:
         distinct = df.agg(*(F.count_distinct(clean(F.col(column_name(names[i])))) for i in open_)).first()
         for i, d in zip(open_, distinct, strict=True):

@@ -11,11 +11,11 @@ MULTIPLIERS = {"млрд": 1e9, "млн": 1e6, "тыс": 1e3, "bn": 1e9, "m": 1e
 STRONG_CAUSE = r"(?iu)вызван|вызвал|вызыва|из-за|привел|привёл|приводит|обусловлен|по вине|следстви|в результате|caused|because|due to|led to|result of"
 WEAK_CAUSE = r"(?iuU)причин\w*\s*(?:—|-|:|является|являются|был[аио]?|состо\w+|заключа\w+)|(?:основн|главн|вероятн|возможн)\w*\s+причин"
 DISCLAIMER = r"(?iuU)не\s+(?:доказыва|доказан|подтвержд|означа|установлен|определен|определён|объясня|позвол|следует)|нельзя\s+утвержд|неизвестн|не\s+известн|без\s+подтвержд|невозможно"
-NEGATED_CAUSE = r"(?iuU)\bне\s+\w*\s*(?:вызван|вызвал|вызыва|из-за|привел|привёл|приводит|обусловлен|по вине|следстви|в результате)"
+NEGATED_BEFORE = r"(?iuU)\bне\s+\w*\s*$"
 NEGATION = r"(?iuU)\bне\b|\bнет\b"
 RISE = r"(?iuU)\bрост\w*|\bвыр[оа]с\w*|\bувелич\w*|\bповыс\w*|\bприрост\w*|\brose\b|\bgrew\b|\bincreas\w*"
 DECLINE = r"(?iuU)\bсниж\w*|\bснизил\w*|\bупал\w*|\bпадени\w*|\bсократ\w*|\bуменьш\w*|\bпросе[лд]\w*|\bпросадк\w*|\bfell\b|\bdecreas\w*|\bdeclin\w*"
-MONTHS = ["январ", "феврал", "март", "апрел", "ма[йяе]", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр"]
+MONTHS = ["январ", "феврал", "март", "апрел", "ма[йяе]\\b", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр"]
 SENTENCE = r"(?<=[.!?;])\s+"
 
 
@@ -50,7 +50,9 @@ def ungrounded(text: Column, allowed: Column) -> Column:
 def causal(text: Column) -> Column:
     """The sentences that claim a cause without a disclaimer or a negation."""
     strong = lambda s: s.rlike(STRONG_CAUSE)
-    claims = lambda s: (strong(s) & ~s.rlike(NEGATED_CAUSE)) | (~strong(s) & s.rlike(WEAK_CAUSE) & ~s.rlike(NEGATION))
+    # only a negation right before the first word of cause clears the sentence
+    before = lambda s: F.element_at(F.split(s, STRONG_CAUSE, 2), 1)
+    claims = lambda s: (strong(s) & ~before(s).rlike(NEGATED_BEFORE)) | (~strong(s) & s.rlike(WEAK_CAUSE) & ~s.rlike(NEGATION))
     return F.transform(F.filter(F.split(text, SENTENCE), lambda s: ~s.rlike(DISCLAIMER) & claims(s)), F.trim)
 
 

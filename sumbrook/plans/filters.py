@@ -73,8 +73,8 @@ def number(value: Any, column: str) -> float | int:
 
 
 def date_range(value: Any, column: str) -> tuple[datetime, datetime]:
-    """The half-open range that a date literal covers, at its own precision: month, day, minute or second."""
-    match = _DATE.fullmatch(value) if isinstance(value, str) else None
+    """The half-open range that a date literal covers: its month, its day, or the second that a time names."""
+    match = _DATE.fullmatch(value.strip()) if isinstance(value, str) else None
     try:
         if not match:
             raise ValueError

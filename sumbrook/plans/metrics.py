@@ -91,19 +91,15 @@ def metric(name: object) -> Metric:
 
 def source_columns(m: Metric, kinds: dict[str, Kind]) -> dict[str, str]:
     """The table's column for each source of the metric, found without regard to case; it must be numeric."""
-    by_fold: dict[str, list[str]] = {}
-    for name in kinds:
-        by_fold.setdefault(name.casefold(), []).append(name)
+    by_fold = {name.casefold(): name for name in kinds}  # of names that differ by case alone the last one counts
     found = {}
     for wanted in m.columns:
-        exact = [wanted] if wanted in kinds else by_fold.get(wanted.casefold(), [])
-        if not exact:
+        own = wanted if wanted in kinds else by_fold.get(wanted.casefold())
+        if own is None:
             raise AnalyticsError(f"Metric {m.name} needs the column {wanted!r}; the table has {', '.join(kinds)}.")
-        if len(exact) > 1:
-            raise AnalyticsError(f"Column {wanted!r} is ambiguous: {', '.join(exact)}.")
-        if kinds[exact[0]] is not Kind.NUMERIC:
-            raise AnalyticsError(f"Column {exact[0]!r} is not numeric.")
-        found[wanted] = exact[0]
+        if kinds[own] is not Kind.NUMERIC:
+            raise AnalyticsError(f"Column {own!r} is not numeric.")
+        found[wanted] = own
     return found
 
 

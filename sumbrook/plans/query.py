@@ -19,8 +19,10 @@ from .metrics import Metric, metric, source_columns
 MAX_GROUP_BY = 3
 MAX_GROUPS = 200
 MAX_EXAMPLES = 8
-#: Decimal places of money and other fixed-point doubles whose sums are exact.
-SUM_SCALE = 6
+#: A double is summed in three whole parts: before the point, and twice so many binary places behind it.
+SUM_BITS = 60
+#: Doubles from here on are whole.
+_WHOLE = float(2**53)
 
 
 @dataclass(frozen=True)
@@ -41,12 +43,22 @@ class MetricResult:
 
 
 def exact_sum(c: Column, of: T.DataType) -> Column:
-    """A sum that doesn't depend on the order of the rows: whole numbers as decimals, doubles rounded to SUM_SCALE places."""
+    """A sum that doesn't depend on the order of the rows: whole numbers as decimals, doubles without loss down to 2 ** -120.
+
+    A double is cut into whole numbers, whose sums are exact; only the three sums are rounded, when they are put
+    together. Doubles may reach 1e37.
+    """
     if isinstance(of, T.IntegralType):
         return F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
     if isinstance(of, T.DecimalType):
         return F.sum(c)
-    return F.sum(c.cast(f"decimal(28,{SUM_SCALE})"))
+    x, step = c.cast("double"), F.lit(float(2**SUM_BITS))
+    small = F.abs(x) < _WHOLE
+    whole = F.when(small, x.cast("long").cast("decimal(38,0)")).otherwise(x.cast("decimal(38,0)"))
+    behind = F.when(small, (x - x.cast("long")) * step).otherwise(F.when(x.isNotNull(), 0.0))
+    finer = (behind - behind.cast("long")) * step
+    parts = [F.sum(p.cast("long").cast("decimal(20,0)")).cast("double") for p in (behind, finer)]
+    return F.sum(whole).cast("double") + (parts[0] + parts[1] / step) / step
 
 
 def _usable(df: DataFrame, sources: dict[str, str]) -> Column:
@@ -70,8 +82,8 @@ class MetricQuery:
     kinds: dict[str, Kind]
 
     @classmethod
-    def build(cls, df: DataFrame, name: str, group_by: list[str] | None = None, filters: Any = None, sensitive: frozenset[str] = frozenset()) -> MetricQuery:
-        m, of, groups = metric(name), kinds(df), list(group_by or [])
+    def build(cls, df: DataFrame, name: str, group_by: list[str] | str | None = None, filters: Any = None, sensitive: frozenset[str] = frozenset()) -> MetricQuery:
+        m, of, groups = metric(name), kinds(df), [group_by] if isinstance(group_by, str) and group_by else list(group_by or [])
         if len(groups) > MAX_GROUP_BY:
             raise AnalyticsError(f"Grouping by {len(groups)} columns is too much; the limit is {MAX_GROUP_BY}.")
         if len(set(groups)) < len(groups):
@@ -180,5 +192,5 @@ def key_text(c: Column, month_start: bool = False) -> Column:
     return F.when(c == F.date_trunc("day", c), F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
 
 
-def calculate_metric(df: DataFrame, name: str, group_by: list[str] | None = None, filters: Any = None, sensitive: frozenset[str] = frozenset()) -> MetricResult:
+def calculate_metric(df: DataFrame, name: str, group_by: list[str] | str | None = None, filters: Any = None, sensitive: frozenset[str] = frozenset()) -> MetricResult:
     return MetricQuery.build(df, name, group_by, filters, sensitive).run()

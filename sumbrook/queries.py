@@ -110,6 +110,14 @@ def _rows_matched(s: SparkSession, d: str) -> DataFrame:
     return MetricQuery.build(_holes(s, d), "ratio:price/n").overall()
 
 
+def _tiny(s: SparkSession, d: str) -> DataFrame:
+    """Lines with quantities that are whole multiples of 2 ** -40, far below six decimal places."""
+    return table(s, d, "lineitem").select("l_returnflag", (F.col("l_quantity").cast("double") / float(2**40)).alias("tiny"))
+
+
+_metric("metric_tiny_values", _tiny, "lineitem", "sum:tiny", "CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 1099511627776", ["l_returnflag"])
+
+
 # --- filters: a count and a sum of what each leaves
 
 _SUM = EXACT.format("o_totalprice")
@@ -263,14 +271,25 @@ _SERIES = f"(SELECT strftime(month, '%Y-%m-%d %H:%M:%S') AS t, {EXACT.format('o_
     UNION ALL (SELECT 'min', value, t FROM p ORDER BY value, t LIMIT 1) UNION ALL (SELECT 'max', value, t FROM p ORDER BY value DESC, t LIMIT 1)
     UNION ALL SELECT 'change', l.value - f.value, f.t || ' → ' || l.t FROM f, l UNION ALL SELECT 'change_pct', (l.value - f.value) / f.value * 100, f.t || ' → ' || l.t FROM f, l
     UNION ALL (SELECT 'drop', step, pair FROM s WHERE step < 0 ORDER BY step, t LIMIT 1) UNION ALL (SELECT 'rise', step, pair FROM s WHERE step > 0 ORDER BY step DESC, t LIMIT 1)
-    UNION ALL SELECT 'periods', CAST(n AS DOUBLE), NULL FROM n""")
+    UNION ALL SELECT 'periods', CAST(n AS DOUBLE), NULL FROM n UNION ALL SELECT 'overall', {EXACT.format('o_totalprice')}, NULL FROM orders""")
 def _facts_time(s: SparkSession, d: str) -> DataFrame:
-    return facts.time_facts(MetricQuery.build(_orders(s, d), "sum:o_totalprice", ["month"]).grouped().withColumnRenamed("month", "t"))
+    q = MetricQuery.build(_orders(s, d), "sum:o_totalprice", ["month"])
+    return facts.time_facts(q.grouped().withColumnRenamed("month", "t"), total=q.overall())
+
+
+@query("facts_notable", f"""
+    WITH p AS {_SERIES}, s AS (SELECT *, value - lag(value) OVER (ORDER BY t) AS step, lag(t) OVER (ORDER BY t) || ' → ' || t AS pair FROM p), top AS (SELECT max(value) AS top FROM p),
+    f AS (SELECT * FROM p ORDER BY t LIMIT 1), l AS (SELECT * FROM p ORDER BY t DESC LIMIT 1),
+    every AS (SELECT 'change' AS fact, l.value - f.value AS value, f.t || ' → ' || l.t AS "of" FROM f, l
+    UNION ALL (SELECT 'drop', step, pair FROM s WHERE step < 0 ORDER BY step, t LIMIT 1) UNION ALL (SELECT 'rise', step, pair FROM s WHERE step > 0 ORDER BY step DESC, t LIMIT 1))
+    SELECT fact, value, "of" FROM every, top WHERE value <> 0 AND abs(value) >= 0.1 * abs(top)""")
+def _facts_notable(s: SparkSession, d: str) -> DataFrame:
+    return facts.notable(facts.time_facts(MetricQuery.build(_orders(s, d), "sum:o_totalprice", ["month"]).grouped().withColumnRenamed("month", "t")))
 
 
 @query("facts_category", f"""
     WITH g AS (SELECT o_orderpriority AS key, {EXACT.format('o_totalprice')} AS value FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY value DESC, key) AS i FROM g), t AS (SELECT {EXACT.format('o_totalprice')} AS total FROM orders)
-    SELECT 'cat' || i || '_value' AS fact, value, key AS "of" FROM r WHERE i <= 12 UNION ALL SELECT 'cat' || i || '_share', value / total * 100, key FROM r, t WHERE i <= 12 UNION ALL SELECT 'categories', CAST(count(*) AS DOUBLE), NULL FROM g""")
+    SELECT 'cat' || i || '_value' AS fact, value, key AS "of" FROM r WHERE i <= 12 UNION ALL SELECT 'cat' || i || '_share', value / total * 100, key FROM r, t WHERE i <= 12 UNION ALL SELECT 'categories', CAST(count(*) AS DOUBLE), NULL FROM g UNION ALL SELECT 'overall', total, NULL FROM t""")
 def _facts_category(s: SparkSession, d: str) -> DataFrame:
     q = MetricQuery.build(_orders(s, d), "sum:o_totalprice", ["o_orderpriority"])
     return facts.category_facts(q.grouped().withColumnRenamed("o_orderpriority", "key"), q.overall())
@@ -339,18 +358,18 @@ def _sentence_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_documents")
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return text.chunk_documents(text.sections(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")))
+    return text.chunk_texts(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
 @query("html_chunks")
 def _html_chunks(s: SparkSession, d: str) -> DataFrame:
-    return text.chunk_documents(text.sections(table(s, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), text.html_text(F.col("html")).alias("text"))))
+    return text.chunk_texts(table(s, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), text.html_text(F.col("html")).alias("text")))
 
 
 @query("hash_embedding_search")
 def _hash_search(s: SparkSession, d: str) -> DataFrame:
     embedded = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), text.embed(F.col("text")).alias("embedding"))
-    return retrieval.search(embedded, text.hash_vector("the of and"), 10).select("chunk_id", "score", "relevant")
+    return retrieval.search(embedded, text.hash_vector("the main question and its answer"), 10).select("chunk_id", "score", "relevant")
 
 
 @query("evidence_quotes", "SELECT CAST(b.item_id AS VARCHAR) AS evidence_id, CAST(b.item_id AS VARCHAR) AS chunk_id, b.item_id % 2 = 0 AS verified FROM benchmark b")
@@ -365,9 +384,18 @@ def _hits(s: SparkSession, d: str) -> DataFrame:
     return retrieval.hit_at(table(s, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") % 5).alias("found"), (F.col("l_orderkey") % 5).alias("expected")))
 
 
-@query("document_rollup", "SELECT source AS filename, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
+@query("document_rollup", """
+    WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_returnflag AS VARCHAR) AS section, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag) AS first, l_shipdate FROM lineitem),
+    f AS (SELECT DISTINCT l_orderkey, first, section FROM c)
+    SELECT CAST(l_orderkey AS VARCHAR) AS document_id, count(*) AS chunks, CAST(max(l_linenumber) AS INTEGER) AS pages, (SELECT string_agg(section, '|' ORDER BY first, section) FROM f WHERE f.l_orderkey = c.l_orderkey) AS sections, max(l_shipdate) AS indexed_at
+    FROM c GROUP BY l_orderkey""")
 def _rollup(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").groupBy(F.col("source").alias("filename")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+    """Orders as documents, their lines as chunks in sections by return flag."""
+    chunks = table(s, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.lit("f").alias("filename"), F.col("l_linenumber").cast("int").alias("chunk_index"), F.col("l_linenumber").cast("int").alias("page_end"),
+        F.col("l_returnflag").alias("section"), F.col("l_shipdate").alias("indexed_at"),
+    )
+    return retrieval.rollup_documents(chunks).select("document_id", "chunks", "pages", F.array_join("sections", "|").alias("sections"), "indexed_at")
 
 
 # --- text checks and questions
@@ -403,7 +431,7 @@ def _intents(s: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").where("l_orderkey % 50 < 25 or l_orderkey % 50 >= 25").select(
+    return table(s, d, "lineitem").select(
         F.when(F.col("l_linenumber") % 2 == 1, "A").otherwise("B").alias("arm"), F.ceil(F.col("l_linenumber") / 2).cast("int").alias("repeat"), (F.col("l_orderkey") % 40).alias("case_id"), F.col("l_returnflag").alias("group"),
         (F.col("l_quantity") > 20).alias("ok"), F.col("l_quantity").alias("latency"), F.col("l_linestatus").alias("signature"),
     )

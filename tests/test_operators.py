@@ -20,6 +20,10 @@ def shown(df):
 def test_time_facts_take_the_earlier_of_equals(spark):
     df = spark.createDataFrame([("01", 97.5), ("02", 97.8), ("03", 92.0), ("04", 97.9), ("05", None)], "t string, value double")
     got = shown(facts.time_facts(df, percent=True))
+    last = df.sparkSession.createDataFrame([(None, 5.0), ("2026-01", 1.0), ("2026-02", 3.0)], "t string, value double")
+    nulls = {r.fact: r for r in facts.time_facts(last, total=last.limit(1)).collect()}
+    assert (nulls["first"].value, nulls["first"].of, nulls["last"].value, nulls["change"].value, nulls["overall"].value) == (1.0, "2026-01", 5.0, 4.0, 5.0)
+    assert sorted(r.fact for r in facts.notable(facts.time_facts(last)).collect()) == ["change", "rise"]
     assert got == {"first": (97.5, "01"), "last": (97.9, "04"), "min": (92.0, "03"), "max": (97.9, "04"), "change": (0.4, "01 → 04"), "drop": (-5.8, "02 → 03"), "rise": (5.9, "03 → 04"), "periods": (4.0, None)}
     two = shown(facts.time_facts(spark.createDataFrame([("a", 5.0), ("b", 5.0)], "t string, value double")))
     assert "drop" not in two and two["min"] == (5.0, "a") and two["change_pct"] == (0.0, "a → b")
@@ -30,7 +34,7 @@ def test_category_facts(spark):
     df = spark.createDataFrame([("API", 100.0), ("Mobile", 300.0), (None, None)], "key string, value double")
     total = spark.createDataFrame([(400.0,)], "value double")
     got = shown(facts.category_facts(df, total))
-    assert got == {"cat1_value": (300.0, "Mobile"), "cat1_share": (75.0, "Mobile"), "cat2_value": (100.0, "API"), "cat2_share": (25.0, "API"), "categories": (2.0, None)}
+    assert got == {"cat1_value": (300.0, "Mobile"), "cat1_share": (75.0, "Mobile"), "cat2_value": (100.0, "API"), "cat2_share": (25.0, "API"), "categories": (2.0, None), "overall": (400.0, None)}
     assert not any("share" in f for f in shown(facts.category_facts(df, total, additive=False)))
 
 
@@ -70,13 +74,41 @@ def test_chunks_hold_every_sentence(spark, seed):
 
 def test_sections_and_chunk_ids(spark):
     docs = spark.createDataFrame([("d1", "Intro text.\n# One\nBody one.\n\n12\nMore.\n## Two\nBody two."), ("d2", "")], "document_id string, text string")
-    got = [(r.chunk_id, r.section, r.text) for r in text.chunk_documents(text.sections(docs)).orderBy("chunk_id").collect()]
+    got = [(r.chunk_id, r.section, r.text) for r in text.chunk_texts(docs).orderBy("chunk_id").collect()]
     assert got == [("d1-0000", "", "Intro text."), ("d1-0001", "One", "Body one.\nMore."), ("d1-0002", "Two", "Body two.")]
+    rows = [("d1", 1, "One", 2, 3, "More."), ("d1", 0, "", 0, 1, "Intro text."), ("d1", 1, "One", 1, 2, "Body one."), ("d1", 2, "Two", 3, 3, "Body two.")]
+    pages = text.chunk_documents(spark.createDataFrame(rows, "document_id string, section_index int, section string, seq int, page int, text string")).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.section, r.text) for r in pages] == got and [(r.page, r.page_end) for r in pages] == [(1, 1), (2, 3), (3, 3)]
+
+
+def plain_chunks(paragraphs, most, overlap):
+    """Sentence by sentence, with the sentences of the chunk so far in a list."""
+    units = []
+    for page, said in paragraphs:
+        for i, s in enumerate(text._sentences(said, most)):
+            units.append((page, s, "\n" if i == 0 else " "))
+    chunks, own, fresh = [], [], 0
+    for u in units:
+        if fresh and sum(len(x[1]) + 1 for x in own) + len(u[1]) + 1 > most:
+            chunks.append(own)
+            tail = next(t for t in range(len(own) + 1) if sum(len(x[1]) + 1 for x in own[t:]) <= overlap + 1)
+            own, fresh = own[tail:], 0
+        own, fresh = [*own, u], fresh + 1
+    chunks += [own] if fresh else []
+    return [(c[0][0], c[-1][0], "".join(x[2] + x[1] for x in c)[1:]) for c in chunks]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chunks_equal_a_plain_version(seed):
+    draw = random.Random(seed)
+    said = [(p, " ".join(" ".join("x" * draw.randint(1, 9) for _ in range(draw.randint(1, 50))) + draw.choice([".", "!", "…", ""]) for _ in range(draw.randint(1, 9)))) for p in range(12)]
+    for most, overlap in ((60, 20), (200, 0), (120, 119)):
+        assert text.chunk_paragraphs(said, most, overlap) == plain_chunks(said, most, overlap)
 
 
 def test_html(spark):
-    page = "<html><script>var t='</p>';</script><H1 class=x>A &amp; B</H1><p>One <b>two</b>\n three</p><ul><li>x</li></ul><p></p>"
-    assert spark.createDataFrame([(page,)], "h string").select(text.html_text(F.col("h")).alias("t")).first().t == "# A & B\nOne two three\nx"
+    page = "<html><script>var t='</p>';</script><H1 class=x>A &amp; B</H1><p>One <b>two</b>\n three</p><ul><li>x</li></ul><p></p><div>lost?</div><table><tr><td>cell</td><td>two</td></tr></table><pre>code</pre><!-- <p>no</p> -->tail"
+    assert spark.createDataFrame([(page,)], "h string").select(text.html_text(F.col("h")).alias("t")).first().t == "# A & B\nOne two three\nx\nlost?\ncell\ntwo\ncode\ntail"
 
 
 def test_hash_vectors(spark):

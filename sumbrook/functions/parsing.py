@@ -23,17 +23,23 @@ MAX_CATEGORY_RATIO = 0.5
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _ROW = "_row"
+# fixed values: the characters that Unicode calls blank
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def clean(c: Column) -> Column:
     """Trimmed text; tokens of a missing value are null."""
-    text = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    text = F.btrim(c.cast("string"), F.lit(_BLANKS))
     return F.when(~F.lower(text).isin(NULL_TOKENS), text)
 
 
 def parse_numeric(c: Column) -> Column:
     """Blanks, currency and percent signs go; with both marks the comma groups thousands, alone it is the decimal mark."""
-    text = F.regexp_replace(clean(c), "[\\s  ₸$€£₽%]", "")
+    return _numeric(clean(c))
+
+
+def _numeric(cleaned: Column) -> Column:
+    text = F.regexp_replace(cleaned, "[\\s  ₸$€£₽%]", "")
     plain = F.when(text.contains(",") & text.contains("."), F.replace(text, F.lit(","), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
     return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
 
@@ -77,10 +83,10 @@ def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]
     words = [t for t in TRUE_TOKENS + FALSE_TOKENS if t not in "01"]
     parts: list[Column] = []
     for i, name in enumerate(names):
-        c = F.col(column_name(name))
-        text = clean(c)
-        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(parse_numeric(c)).alias(f"f{i}"), F.approx_count_distinct(text).alias(f"d{i}")]
-    r, found = df.agg(*parts).first(), {}
+        text = F.col(f"t{i}")
+        parts += [F.count(text).alias(f"n{i}"), F.count_if(F.lower(text).isin(words)).alias(f"b{i}"), F.count(_numeric(text)).alias(f"f{i}"), F.approx_count_distinct(text).alias(f"d{i}")]
+    cleaned = df.select(*(clean(F.col(column_name(name))).alias(f"t{i}") for i, name in enumerate(names)))  # each value is cleaned once
+    r, found = cleaned.agg(*parts).first(), {}
     for i, name in enumerate(names):
         n = r[f"n{i}"]
         found[name] = (Kind.BOOLEAN, None) if n and r[f"b{i}"] == n else (Kind.NUMERIC, None) if n and r[f"f{i}"] >= MIN_RATIO * n else (Kind.TEXT, None)

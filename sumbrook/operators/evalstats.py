@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 SAMPLES, SEED, ALPHA = 10_000, 20260927, 0.05
 REL, ABS = 1e-9, 1e-6
@@ -58,18 +59,30 @@ def case_differences(observations: DataFrame, a: str, b: str, value: str) -> Dat
 def bootstrap(differences: DataFrame, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """mean, low, high, n of the mean difference over cases: resampled with a hash as the source of chance.
 
-    Every sample draws n of the n cases; the draws are rows, joined to the numbered cases, so any number of samples is
-    dealt over the cluster. Cases number in the hundreds, so they are one array.
+    Every sample draws n of the n cases; the draws are rows that meet the numbered cases by their number, so neither the
+    cases nor the samples are gathered in one place: only one mean for each sample is.
     """
-    cases = differences.agg(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "diff"))), lambda s: s["diff"]).alias("d"))
-    n = F.size("d")
-    drawn = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("d", (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), n) + 1).cast("int")))
-    spark = differences.sparkSession
-    means = spark.range(samples).crossJoin(F.broadcast(cases)).where(n > 0).select("d", (F.aggregate(drawn, F.lit(0.0), lambda s, v: s + v) / n).alias("m"))
-    total = F.aggregate(F.first("d"), F.lit(0.0), lambda s, v: s + v) / F.size(F.first("d"))
-    sorted_means = F.sort_array(F.collect_list("m"))
-    pick = lambda i: F.element_at(sorted_means, i + 1)  # noqa: E731  as many numbers as samples
-    return means.agg(total.alias("mean"), pick(int(samples * alpha / 2)).alias("low"), pick(min(samples - 1, int(samples * (1 - alpha / 2)))).alias("high"), F.size(F.first("d")).alias("n")).where("n is not null and n > 0")
+    numbered = differences.select(F.row_number().over(W.orderBy("case_id")).cast("long").alias("i"), "diff")
+    total = numbered.agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).where("n > 0")
+    each = differences.sparkSession.range(samples).crossJoin(F.broadcast(total.select("n")))  # one row
+    draws = each.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "n")
+    drawn = draws.select("id", (F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.col("n")) + 1).alias("i")).join(numbered, "i")
+    means = drawn.groupBy("id").agg(F.avg("diff").alias("m")).agg(F.sort_array(F.collect_list("m")).alias("means"))  # as many numbers as samples
+    pick = lambda i: F.element_at("means", i + 1)
+    low, high = pick(int(samples * alpha / 2)), pick(min(samples - 1, int(samples * (1 - alpha / 2))))
+    return total.crossJoin(F.broadcast(means)).select("mean", low.alias("low"), high.alias("high"), "n")  # one row each
+
+
+def compare_arms(observations: DataFrame, a: str, b: str, value: str, higher_is_better: bool = True) -> DataFrame:
+    """cases, mean_a, mean_b, difference, low, high, verdict of a flag or number: means over cases, b less a, with its interval.
+
+    Cases that only one arm has are left out of the difference; no common case gives no row.
+    """
+    means = observations.where(F.col("arm").isin(a, b)).groupBy("arm", "case_id").agg(F.avg(F.col(value).cast("double")).alias("m")).where("m is not null")
+    sides = means.agg(*(F.round(F.avg(F.when(F.col("arm") == arm, F.col("m"))), 4).alias(name) for arm, name in ((a, "mean_a"), (b, "mean_b"))))
+    found = bootstrap(case_differences(observations, a, b, value)).crossJoin(F.broadcast(sides))  # one row each
+    told = verdict(F.col("mean"), F.col("low"), F.col("high"), higher_is_better)
+    return found.select(F.col("n").alias("cases"), "mean_a", "mean_b", F.round("mean", 4).alias("difference"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), told.alias("verdict"))
 
 
 def verdict(mean: Column, low: Column, high: Column, higher_is_better: bool = True) -> Column:

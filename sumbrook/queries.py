@@ -11,8 +11,9 @@ from .functions import formatting, parsing, pii
 
 from .kinds import Kind
 from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, verify
-from .plans import questions
+from .plans import questions, records
 from .plans.query import MetricQuery, key_text
+from .plans.summary import summarise
 from .streaming.metrics import windowed_metric
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +428,18 @@ def _intents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", questions.intent(asked).alias("intent"), questions.metric_of(asked).alias("metric"))
 
 
+@query("metadata_records", "SELECT 'dataset' AS entry_type, CAST(NULL AS VARCHAR) AS column_name UNION ALL SELECT 'column', column_name FROM (DESCRIBE orders)")
+def _metadata_records(s: SparkSession, d: str) -> DataFrame:
+    return records.dataset_records(s, summarise(table(s, d, "orders")), "o", "orders").select("entry_type", "column_name")
+
+
+@query("metadata_search")
+def _metadata_search(s: SparkSession, d: str) -> DataFrame:
+    """The column that the orders' records offer for the price."""
+    found = records.search_metadata(records.dataset_records(s, summarise(table(s, d, "orders")), "o", "orders"), "totalprice цена стоимость", 1, "o", "column")
+    return found.groupBy("column_name").agg(F.count("*").cast("int").alias("hits"))
+
+
 # --- evaluation: orders as cases, lines as repeats of two arms
 
 
@@ -440,6 +453,13 @@ def _observations(s: SparkSession, d: str) -> DataFrame:
 OBSERVATIONS = "(SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'A' ELSE 'B' END AS arm, CAST(ceil(l_linenumber / 2.0) AS INTEGER) AS repeat, l_orderkey % 40 AS case_id, l_returnflag AS \"group\", l_quantity > 20 AS ok, l_quantity AS latency, l_linestatus AS signature FROM lineitem)"
 
 
+@query("eval_compare_arms", f"""
+    WITH m AS (SELECT arm, case_id, avg(latency) AS m FROM {OBSERVATIONS} GROUP BY 1, 2), p AS (SELECT a.case_id, a.m AS a, b.m AS b FROM m a JOIN m b ON a.case_id = b.case_id AND a.arm = 'A' AND b.arm = 'B')
+    SELECT count(*) AS cases, (SELECT round(avg(m), 4) FROM m WHERE arm = 'A') AS mean_a, (SELECT round(avg(m), 4) FROM m WHERE arm = 'B') AS mean_b, round(avg(b - a), 4) AS difference FROM p""")
+def _compare_arms(s: SparkSession, d: str) -> DataFrame:
+    return evalstats.compare_arms(_observations(s, d), "A", "B", "latency", False).select("cases", "mean_a", "mean_b", "difference")
+
+
 @query("eval_ratio", f'SELECT "group", CAST(grouping("group") AS INTEGER) AS is_total, count(*) FILTER (ok) AS hits, count(ok) AS total, round(count(*) FILTER (ok) / CAST(count(ok) AS DOUBLE), 4) AS rate FROM {OBSERVATIONS} GROUP BY GROUPING SETS (("group"), ())')
 def _eval_ratio(s: SparkSession, d: str) -> DataFrame:
     return evalstats.by_group_and_overall(_observations(s, d), "group", *evalstats.ratio(F.col("ok")))

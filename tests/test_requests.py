@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumbrook.operators import verify
+from sumbrook.operators.evalstats import compare_arms
 from sumbrook.plans.query import calculate_metric
+from sumbrook.plans.records import dataset_records, search_metadata
 from sumbrook.plans.requests import Draft, finalise, overview_charts
 from sumbrook.plans.steps import run_plan
 from sumbrook.plans.summary import summarise
@@ -55,6 +57,24 @@ def test_overview_charts(summary):
     assert overview_charts(summary) == [("histogram", "Orders", None, None), ("bar", "Channel", None, None), ("line", "Month", "Orders", "Channel"), ("scatter", "Orders", "Revenue", "Channel")]
 
 
+def test_records_and_their_search(spark, sales, summary):
+    every = dataset_records(spark, summary, "d1", "sales").cache()
+    assert [r.record_id for r in every.orderBy("record_id").collect()] == [f"col-d1-{i:03d}" for i in range(5)] + ["ds-d1"]
+    assert search_metadata(every, "channel канал источник", 1, "d1", "column").first().column_name == "Channel"
+    assert search_metadata(every, "  ").count() == 0 and search_metadata(every, "sales", 9, entry_type="dataset").count() == 1 and search_metadata(every, "sales", 9, "d2").count() == 0
+    people = spark.createDataFrame([("Ann", 1)], "customer_email string, n long")
+    assert "may hold personal data" in dataset_records(spark, summarise(people), "p", "people").where("column_name = 'customer_email'").first().text
+
+
+def test_arms_are_compared_with_a_verdict(spark):
+    rows = [(arm, c, r, 100.0 + c + (20 if arm == "B" else 0)) for arm in "AB" for c in range(30) for r in range(2)] + [("A", 99, 0, 5.0), ("B", 98, 0, None)]
+    df = spark.createDataFrame(rows, "arm string, case_id long, repeat int, latency double")
+    got = compare_arms(df, "A", "B", "latency", higher_is_better=False).first()
+    assert (got.cases, got.difference, got.low, got.high, got.verdict) == (30, 20.0, 20.0, 20.0, "confirmed_worse")
+    assert compare_arms(df, "A", "B", "latency").first().verdict == "confirmed_better"
+    assert compare_arms(df.where("case_id > 90"), "A", "B", "latency").count() == 0
+
+
 def test_sums_equal_fsum(spark):
     draw = random.Random(3)
     cases = [[1e-7] * 10, [0.1] * 10, [1e22, 1.0, -1e22], [1e23, 2.5], [1e-12 * draw.random() for _ in range(50)], [draw.choice([1, -1]) * 10 ** draw.uniform(-12, 22) for _ in range(200)], [-0.3, 0.1, 0.2], [-1e-9, 2**53 + 2.0]]

@@ -66,15 +66,17 @@ def running(df: DataFrame, keys: list[str], salt: Column, order: list[Column], s
     """Add `out`: the sum of `size` over the rows before this one among those with equal keys.
 
     A key may hold any share of the rows, so each key is dealt over `buckets` salts; the order is by salt, then by
-    `order`. Only one row for each (key, salt) goes through the window that adds the salts' totals up.
+    `order`. The salts' totals are added up in two steps, so a window never holds more than the root of a key's salts.
     Keys must not be null.
     """
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(buckets)).cast("int")).withColumn("_size", size.cast("long"))
     by = [*keys, "_salt"]
     inside = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    across = W.partitionBy(*keys).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    totals = salted.groupBy(*by).agg(F.sum("_size").alias("_total"))
-    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
+    totals = salted.groupBy(*by).agg(F.sum("_size").alias("_total")).withColumn("_coarse", F.floor(F.col("_salt") / (isqrt(buckets) + 1)))
+    before = lambda keys, place: F.coalesce(F.sum("_total").over(W.partitionBy(*keys).orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = totals.groupBy(*keys, "_coarse").agg(F.sum("_total").alias("_total")).select(*keys, "_coarse", before(keys, "_coarse").alias("_before"))
+    fine = totals.select(*by, "_coarse", before([*keys, "_coarse"], "_salt").alias("_within"))
+    offsets = fine.join(coarse, [*keys, "_coarse"]).select(*by, (F.col("_before") + F.col("_within")).alias("_offset"))
     ranked = salted.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     return ranked.join(offsets, by).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_salt", "_size", "_inside", "_offset")
 

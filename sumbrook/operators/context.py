@@ -28,6 +28,12 @@ def event_context(hits: DataFrame, used: DataFrame, n: int = EVENTS) -> DataFram
     return hits.where("relevant").join(used.select("chunk_id"), "chunk_id", "left_anti").orderBy("rank", "chunk_id").limit(n)
 
 
+def query_hits(hits: DataFrame, only_relevant: bool = True) -> DataFrame:
+    """rank, chunk_id, quote, score of the hits of a search, in their order: the relevant ones, or all."""
+    kept = hits.where("relevant") if only_relevant else hits
+    return kept.select("rank", "chunk_id", F.substring("text", 1, QUOTE).alias("quote"), "score").orderBy("rank", "chunk_id")
+
+
 def event_sentences(text: Column) -> Column:
     """The sentences that name an event and a time."""
     return F.filter(F.split(text, SENTENCE), lambda s: s.rlike(EVENT_WORDS) & s.rlike(TIME_WORDS))

@@ -127,17 +127,52 @@ def arm_summary(observations: DataFrame) -> DataFrame:
     )
 
 
-def decide(arms: DataFrame, a: str, b: str) -> DataFrame:
-    """One row, arm, reason: the better accuracy wins, then the more stable, then the cheaper; a is kept on a tie."""
-    pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
-    gaps = arms.agg(*((pick(b, c) - pick(a, c)).alias(c) for c in ("rate", "agreement", "tokens")))
-    reason = F.when(F.col("rate") != 0, "accuracy").when(F.col("agreement") != 0, "stability").when(F.col("tokens") != 0, "cost").otherwise("tie")
-    better = F.when(F.col("rate") != 0, F.col("rate") > 0).when(F.col("agreement") != 0, F.col("agreement") > 0).otherwise(F.col("tokens") < 0)
-    return gaps.select(F.when(better, b).otherwise(a).alias("arm"), reason.alias("reason"))
+def arm_groups(observations: DataFrame) -> DataFrame:
+    """arm, group, is_total, hits, total, rate, tokens, latency of each arm by group and over all its groups, in one shuffle."""
+    kept = observations.groupingSets([[F.col("arm"), F.col("group")], [F.col("arm")]], "arm", "group")
+    means = [F.round(F.avg(c), 1).alias(c) for c in ("tokens", "latency")]
+    return kept.agg(F.grouping("group").cast("int").alias("is_total"), *ratio(F.col("plan_ok")), *means)
+
+
+def decide(comparisons: DataFrame, a: str, b: str) -> DataFrame:
+    """arm, rule, caveats from comparisons (measure, mean_a, mean_b, verdict), as compare_arms gives them, of accuracy, agreement, latency, tokens.
+
+    Rule 1: a confirmed difference of accuracy. Rule 2: the greater agreement. Rule 3: the lower latency, then fewer
+    tokens; a stays on a tie. Caveats: an agreement whose interval holds zero, and costs that are confirmed to be higher.
+    """
+    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, F.col(c)))
+    gap = lambda measure: F.coalesce(of(measure, "mean_b") - of(measure, "mean_a"), F.lit(0.0))
+    row = comparisons.agg(of("accuracy", "verdict").alias("v"), of("agreement", "verdict").alias("steady"), gap("agreement").alias("g"), *(x for m in ("latency", "tokens") for x in (gap(m).alias(m), of(m, "verdict").alias(f"{m}_verdict"))))
+    confirmed, differs = F.coalesce(F.col("v").isin("confirmed_better", "confirmed_worse"), F.lit(False)), F.abs("g") > 1e-9
+    cheaper = (F.col("latency") < 0) | ((F.col("latency") == 0) & (F.col("tokens") < 0))
+    takes_b = F.when(confirmed, F.col("v") == "confirmed_better").when(differs, F.col("g") > 0).otherwise(cheaper)
+    chosen = row.withColumn("b", takes_b).withColumn("rule", F.when(confirmed, 1).when(differs, 2).otherwise(3))
+    unsure = F.when((F.col("rule") == 2) & ~F.coalesce(F.col("steady").isin("confirmed_better", "confirmed_worse"), F.lit(False)), F.lit("agreement-not-confirmed"))
+    dearer = [F.when(F.col(f"{m}_verdict") == F.when(F.col("b"), "confirmed_worse").otherwise("confirmed_better"), F.lit(f"{m}-confirmed-higher")) for m in ("latency", "tokens")]
+    return chosen.select(F.when(F.col("b"), b).otherwise(a).alias("arm"), "rule", F.array_compact(F.array(unsure, *dearer)).alias("caveats"))
+
+
+def conclude(comparison: DataFrame, what: str, little_room: float = 5.0) -> DataFrame:
+    """verdict, claim, statements of a compare_arms row of rates: better is claimed only where the interval lies above zero.
+
+    Without that, two more sentences may follow: how little arm a left to gain, and that nothing shown is no proof of nothing.
+    """
+    points = lambda c: F.format_string("%+.1f", F.round(F.col(c) * 100, 1))
+    head = F.when(F.col("verdict") == "confirmed_better", f"{what} is confirmed to be better.").when(F.col("verdict") == "confirmed_worse", f"{what} is confirmed to be worse.").when(F.col("verdict") == "no_difference", f"{what} makes no difference.").otherwise(f"{what} is not confirmed to be better.")
+    claim, room = F.col("verdict") == "confirmed_better", F.round((1 - F.col("mean_a")) * 100, 1)
+    told = F.concat(F.lit("The difference is "), points("difference"), F.lit(" points, interval "), points("low"), F.lit(" to "), points("high"), F.lit(", over "), F.col("cases").cast("string"), F.lit(" cases."))
+    narrow = F.when(~claim & (room <= little_room), F.concat(F.lit("At most "), F.format_string("%.1f", room), F.lit(" points were left to gain.")))
+    return comparison.select("verdict", claim.alias("claim"), F.array_compact(F.array(head, told, narrow, F.when(~claim, F.lit("A difference that is not confirmed may still exist.")))).alias("statements"))
+
+
+def case_rates(observations: DataFrame, arm: str, group: str) -> DataFrame:
+    """case_id, hits, total of an arm in a group: of the plan, or of the behaviour where no plan was due."""
+    fits = F.coalesce(F.col("plan_ok"), F.col("behavior_ok"), F.lit(False))
+    return observations.where((F.col("arm") == arm) & (F.col("group") == group)).groupBy("case_id").agg(F.count_if(fits).alias("hits"), F.count("*").alias("total"))
 
 
 def history(observations: DataFrame) -> DataFrame:
-    """run, hits, total, rate of each run, and case rates beside it through `by_group_and_overall`."""
+    """run, hits, total, rate of each run, in their order."""
     return observations.groupBy("run").agg(*ratio(F.col("plan_ok"))).orderBy("run")
 
 

@@ -86,8 +86,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return same.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def quality_issues(stats: DataFrame, duplicates: DataFrame | None = None, invalid: DataFrame | None = None) -> DataFrame:
-    """issue, column, severity, count from column_stats, duplicate_rows and a table (column, invalid, present)."""
+def quality_issues(stats: DataFrame, duplicates: DataFrame | None = None, invalid: DataFrame | None = None, personal: list[str] | None = None) -> DataFrame:
+    """issue, column, severity, count from column_stats, duplicate_rows, a table (column, invalid, present) and the personal columns."""
     none = F.lit(None).cast("string")
     severity = F.when(F.col("missing_pct") >= MISSING_ERROR, "error").when(F.col("missing_pct") >= MISSING_WARNING, "warning").otherwise("info")
     shown = lambda issue, of, level, n: F.struct(F.lit(issue).alias("issue"), of.alias("column"), level.alias("severity"), n.cast("long").alias("count"))
@@ -97,6 +97,7 @@ def quality_issues(stats: DataFrame, duplicates: DataFrame | None = None, invali
         F.when(~empty & (F.col("missing") > 0), shown("missing_values", F.col("column"), severity, F.col("missing"))),
         F.when((F.col("distinct") == 1) & (F.col("rows") > 1), shown("constant_column", F.col("column"), F.lit("info"), F.lit(1))),
         F.when(F.col("column").rlike(r"^Unnamed: \d+$"), shown("unnamed_column", F.col("column"), F.lit("warning"), F.lit(1))),
+        F.when(F.col("column").isin(personal or []), shown("possible_personal_data", F.col("column"), F.lit("info"), F.col("rows") - F.col("missing"))),
     ]
     found = stats.select(F.explode(F.array_compact(F.array(*tests))).alias("i")).select("i.*")
     if duplicates is not None:
@@ -105,3 +106,8 @@ def quality_issues(stats: DataFrame, duplicates: DataFrame | None = None, invali
         level = F.when(F.col("invalid") * 100.0 >= INVALID_ERROR * F.col("present"), "error").otherwise("warning")
         found = found.unionByName(invalid.where("invalid > 0").select(F.concat(F.lit("invalid_"), F.col("kind")).alias("issue"), "column", level.alias("severity"), F.col("invalid").cast("long").alias("count")))
     return found
+
+
+def head(df: DataFrame, row: str, n: int) -> DataFrame:
+    """The first n rows in the order of the table; only n rows of each task meet."""
+    return df.orderBy(row).limit(n)

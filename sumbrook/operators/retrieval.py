@@ -69,6 +69,14 @@ def resolve(candidates: DataFrame, query: str, k: int = TOP, min_score: float =
     return kept.orderBy(F.desc("score"), "column_name").limit(k).select("column_name", "score", "exact", "relevant", "status")
 
 
+def confirm(resolved: DataFrame, column: str) -> DataFrame:
+    """The candidate that a person chose, with status confirmed; one that was not offered is an error. A resolution holds few rows."""
+    chosen = resolved.where(F.col("column_name") == column).limit(1)
+    if chosen.isEmpty():
+        raise AnalyticsError(f"{column} is none of the candidates.")
+    return chosen.withColumn("status", F.lit("confirmed"))
+
+
 def rollup_documents(chunks: DataFrame) -> DataFrame:
     """document_id, filename, chunks, pages, sections of the indexed documents, newest first."""
     seen = F.transform(F.array_sort(F.collect_set(F.struct("section_first", "section"))), lambda s: s.section)

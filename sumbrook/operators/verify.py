@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import quotes_found
+
 # fixed values: numbers in text with their multiplier words, and the words of causes, disclaimers, trends and months
 NUMBER = r"(?<![\p{L}\p{N}_.,])(?:\d{1,3}(?:[   ]\d{3})+|\d+)(?:[.,]\d+)?(?:[  ]?(?:млрд|млн|тыс|bn|m|k)(?![\p{L}]))?"
 MULTIPLIERS = {"млрд": 1e9, "млн": 1e6, "тыс": 1e3, "bn": 1e9, "m": 1e6, "k": 1e3}
@@ -17,6 +19,8 @@ RISE = r"(?iuU)\bрост\w*|\bвыр[оа]с\w*|\bувелич\w*|\bповыс\
 DECLINE = r"(?iuU)\bсниж\w*|\bснизил\w*|\bупал\w*|\bпадени\w*|\bсократ\w*|\bуменьш\w*|\bпросе[лд]\w*|\bпросадк\w*|\bfell\b|\bdecreas\w*|\bdeclin\w*"
 MONTHS = ["январ", "феврал", "март", "апрел", "ма[йяе]\\b", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр"]
 SENTENCE = r"(?<=[.!?;])\s+"
+FACT_IDS = r"\s*\((?:[a-z_]+\.[a-z_0-9]+(?:,\s*)?)+\)"
+MAX_TITLE = 120
 
 
 def masked(text: Column, labels: list[str]) -> Column:
@@ -87,3 +91,44 @@ def check_insights(insights: DataFrame, facts: DataFrame, months: list[int] | No
     trend = trend_violation(F.col("text"), F.col("change"))
     found.append(F.when(trend.isNotNull(), F.struct(trend.alias("rule"), F.lit("").alias("detail"))))
     return joined.select("insight_id", F.explode(F.array_compact(F.array(*found))).alias("v")).select("insight_id", "v.rule", "v.detail")
+
+
+def for_readers(text: Column) -> Column:
+    """The text without the ids of facts in brackets."""
+    return F.regexp_replace(text, FACT_IDS, "")
+
+
+def without_quotes(answers: DataFrame, fragments: DataFrame) -> DataFrame:
+    """answers (answer_id, text) with the sentences of their fragments (answer_id, text) blanked out, longer ones first.
+
+    A sentence that stands word for word in a document is that document's; checks of numbers and causes leave it alone.
+    """
+    said = fragments.select("answer_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("s")).where("trim(s) <> ''").distinct()
+    quotes = said.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("s")).alias("size"), "s"))).alias("_quotes"))
+    blank = F.aggregate(F.coalesce("_quotes", F.array().cast("array<struct<size:int,s:string>>")), F.col("text"), lambda t, q: F.replace(t, q.s, F.lit(" ")))
+    return answers.join(quotes, "answer_id", "left").withColumn("text", blank).drop("_quotes")
+
+
+def assemble(drafts: DataFrame, facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """insight_id, title, text, evidence, context, issues of drafts (insight_id, title, text, evidence, chunk_id, quote) that others wrote.
+
+    evidence: the cited facts that exist, each once, in the order cited; context: the chunk whose words the quote is, else
+    null. issues: unknown-evidence and evidence-required for the facts, context-not-in-source for the quote.
+    """
+    cited = drafts.select("insight_id", F.posexplode("evidence").alias("at", "fact")).groupBy("insight_id", "fact").agg(F.min("at").alias("at"))
+    met = cited.join(facts.select("fact", F.lit(True).alias("known")), "fact", "left").groupBy("insight_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("at", "fact")))).alias("known"), F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("fact")))).alias("unknown")
+    )
+    quotes = quotes_found(drafts.where("chunk_id is not null").select(F.col("insight_id").alias("evidence_id"), "chunk_id", F.coalesce("quote", F.lit("")).alias("quote")), chunks)
+    joined = drafts.join(met, "insight_id", "left").join(quotes.select(F.col("evidence_id").alias("insight_id"), "verified"), "insight_id", "left")
+    kept = F.coalesce(F.transform("known", lambda k: k.fact), F.array().cast("array<string>"))
+    strange = F.coalesce("unknown", F.array().cast("array<string>"))
+    issue = lambda when, name: F.when(when, F.lit(name))
+    issues = F.array_compact(F.array(issue(F.size(strange) > 0, "unknown-evidence"), issue((F.size(strange) == 0) & (F.size(kept) == 0), "evidence-required"), issue(F.col("chunk_id").isNotNull() & ~F.coalesce("verified", F.lit(False)), "context-not-in-source")))
+    return joined.select("insight_id", F.substring(F.trim("title"), 1, MAX_TITLE).alias("title"), F.trim("text").alias("text"), kept.alias("evidence"), F.when(F.col("verified"), F.col("chunk_id")).alias("context"), issues.alias("issues"))
+
+
+def settle(attempts: DataFrame, violations: DataFrame, by_rule: DataFrame) -> DataFrame:
+    """insight_id, text, attempt: the first attempt (insight_id, attempt, text) without a violation, else the rule's text and null."""
+    clean = attempts.join(violations.select("insight_id", "attempt"), ["insight_id", "attempt"], "left_anti").groupBy("insight_id").agg(F.min(F.struct("attempt", "text")).alias("best"))
+    return by_rule.join(clean, "insight_id", "left").select("insight_id", F.coalesce("best.text", "text").alias("text"), "best.attempt")

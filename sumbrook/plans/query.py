@@ -194,3 +194,9 @@ def key_text(c: Column, month_start: bool = False) -> Column:
 
 def calculate_metric(df: DataFrame, name: str, group_by: list[str] | str | None = None, filters: Any = None, sensitive: frozenset[str] = frozenset()) -> MetricResult:
     return MetricQuery.build(df, name, group_by, filters, sensitive).run()
+
+
+def month_totals(df: DataFrame, time: str, measures: list[str]) -> DataFrame:
+    """month (yyyy-MM) and the exact sum of each measure; rows without a time make up the month null. One shuffle of partial sums."""
+    sums = [exact_sum(F.col(column_name(m)), df.schema[m].dataType).alias(m) for m in measures]
+    return df.groupBy(F.date_format(F.col(column_name(time)), "yyyy-MM").alias("month")).agg(*sums)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from .query import MetricResult
+from .steps import MAX_STEPS
 from .summary import Summary
 
 TABLE_ROWS, FINDINGS = 30, 5
@@ -55,6 +56,19 @@ def narrative(facts: dict[str, tuple[float, str | None]], label: str, unit: str)
     return out
 
 
+def check_result(summary: Summary, table_columns: int, kpis: list[tuple[str, str]], results: list[MetricResult], insights: list[dict[str, Any]], failed_checks: int) -> dict[str, bool]:
+    """Seven tests of a finished result's shape. insights: evidence and source of each; failed_checks: violations that were found."""
+    return {
+        "summary_covers_all_columns": len(summary.columns) == table_columns,
+        "has_kpis": bool(kpis),
+        "has_insights": bool(insights),
+        "charts_carry_their_data": all(r.rows for r in results),
+        "at_most_four_charts": len(results) <= MAX_STEPS,
+        "every_insight_has_evidence": all(i.get("evidence") and i.get("source") for i in insights),
+        "insights_passed_verification": failed_checks == 0,
+    }
+
+
 def findings(found: list[tuple[str, str]]) -> list[str]:
     return [text for _, text in sorted(found, key=lambda x: ORDER.index(x[0]))[:FINDINGS]]
 

@@ -12,7 +12,7 @@ from .functions import formatting, parsing, pii
 from .kinds import Kind
 from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, verify
 from .plans import questions, records
-from .plans.query import MetricQuery, key_text
+from .plans.query import MetricQuery, key_text, month_totals
 from .plans.summary import summarise
 from .streaming.metrics import windowed_metric
 
@@ -572,6 +572,67 @@ def _redacted(s: SparkSession, d: str) -> DataFrame:
     return redact.redacted_samples(found, {"c_mktsegment": Kind.CATEGORICAL, "c_name": Kind.TEXT}, ["c_name"]).select("column", F.array_join("values", ",").alias("values"))
 
 
+@query("eval_arm_groups", f'SELECT arm, "group", CAST(grouping("group") AS INTEGER) AS is_total, count(*) FILTER (plan_ok) AS hits, count(plan_ok) AS total, round(count(*) FILTER (plan_ok) / CAST(count(plan_ok) AS DOUBLE), 4) AS rate, round(avg(tokens), 1) AS tokens, round(avg(latency), 1) AS latency FROM {ARMS} GROUP BY GROUPING SETS ((arm, "group"), (arm))')
+def _arm_groups(s: SparkSession, d: str) -> DataFrame:
+    return evalstats.arm_groups(_observations(s, d).withColumns({"plan_ok": F.col("ok"), "tokens": F.col("latency") * 2}))
+
+
+@query("eval_case_rates", f"SELECT case_id, count(*) FILTER (coalesce(CASE WHEN repeat > 1 THEN ok END, latency > 30)) AS hits, count(*) AS total FROM {OBSERVATIONS} WHERE arm = 'A' AND \"group\" = 'R' GROUP BY case_id")
+def _case_rates(s: SparkSession, d: str) -> DataFrame:
+    return evalstats.case_rates(_observations(s, d).withColumns({"plan_ok": F.when(F.col("repeat") > 1, F.col("ok")), "behavior_ok": F.col("latency") > 30}), "A", "R")
+
+
+@query("eval_history", f"SELECT signature AS run, count(*) FILTER (ok) AS hits, count(ok) AS total, round(count(*) FILTER (ok) / CAST(count(ok) AS DOUBLE), 4) AS rate FROM {OBSERVATIONS} GROUP BY 1")
+def _history(s: SparkSession, d: str) -> DataFrame:
+    return evalstats.history(_observations(s, d).select(F.col("signature").alias("run"), F.col("ok").alias("plan_ok")))
+
+
+@query("settled_texts", """
+    WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag || l_linestatus AS t, max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) > 20 AS bad FROM lineitem WHERE l_linenumber <= 2),
+    a AS (SELECT k, n, t FROM l WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY k ORDER BY n, t) = 1)
+    SELECT o_orderkey AS insight_id, coalesce(t, o_orderpriority) AS text, n AS attempt FROM orders LEFT JOIN a ON k = o_orderkey""")
+def _settled(s: SparkSession, d: str) -> DataFrame:
+    """Lines as attempts at an order's text, great quantities as violations."""
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("insight_id"), F.col("l_linenumber").alias("attempt"), F.concat("l_returnflag", "l_linestatus").alias("text"), "l_quantity").where("attempt <= 2")
+    rules = table(s, d, "orders").select(F.col("o_orderkey").alias("insight_id"), F.col("o_orderpriority").alias("text"))
+    return verify.settle(lines.drop("l_quantity"), lines.where("l_quantity > 20"), rules)
+
+
+@query("assembled_drafts", """
+    WITH p AS (SELECT l_orderkey AS k, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS n FROM lineitem),
+    c AS (SELECT k, f, min(n) AS n FROM p GROUP BY 1, 2)
+    SELECT k AS insight_id, coalesce(string_agg(f, ',' ORDER BY n) FILTER (f <> 'N'), '') AS evidence, CASE WHEN count(*) FILTER (f = 'N') > 0 THEN 'unknown-evidence' ELSE '' END AS issues FROM c GROUP BY k""")
+def _assembled(s: SparkSession, d: str) -> DataFrame:
+    """Orders as drafts that cite the flags of their lines; the flag N is no fact."""
+    cited = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("insight_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x.l_returnflag).alias("evidence"))
+    none = F.lit(None).cast("string")
+    drafts = cited.select("insight_id", F.lit("t").alias("title"), F.lit("t").alias("text"), "evidence", none.alias("chunk_id"), none.alias("quote"))
+    facts = s.createDataFrame([("A",), ("R",)], "fact string")
+    chunks = s.createDataFrame([], "chunk_id string, text string")
+    return verify.assemble(drafts, facts, chunks).select("insight_id", F.array_join("evidence", ",").alias("evidence"), F.array_join("issues", ",").alias("issues"))
+
+
+@query("context_query_hits", "SELECT item_id AS rank, CAST(item_id AS VARCHAR) AS chunk_id, substr(text, 1, 500) AS quote, CAST(item_id AS DOUBLE) AS score FROM benchmark WHERE item_id % 2 = 0")
+def _query_hits(s: SparkSession, d: str) -> DataFrame:
+    return context.query_hits(table(s, d, "benchmark").select(F.col("item_id").alias("rank"), F.col("item_id").cast("string").alias("chunk_id"), "text", F.col("item_id").cast("double").alias("score"), (F.col("item_id") % 2 == 0).alias("relevant")))
+
+
+@query("head_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
+def _head(s: SparkSession, d: str) -> DataFrame:
+    return profile.head(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5)
+
+
+@query("month_totals", f"SELECT strftime(l_shipdate, '%Y-%m') AS month, {EXACT.format('l_quantity')} AS l_quantity, {EXACT.format('l_extendedprice')} AS l_extendedprice FROM lineitem GROUP BY 1")
+def _month_totals(s: SparkSession, d: str) -> DataFrame:
+    return month_totals(table(s, d, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice"])
+
+
+@query("quality_personal_data", "SELECT 'possible_personal_data' AS issue, 'c_name' AS \"column\", 'info' AS severity, count(c_name) AS count FROM customer")
+def _personal(s: SparkSession, d: str) -> DataFrame:
+    stats = profile.column_stats(table(s, d, "customer"))
+    return profile.quality_issues(stats, personal=["c_name"]).where("issue = 'possible_personal_data'")
+
+
 # --- an addition
 
 

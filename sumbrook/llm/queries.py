@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fixity, language, mixing, neighbours, quality, scoring, sharding, simhash
+from . import chat, decontaminate, fixity, language, mixing, negatives, neighbours, quality, scoring, secrets, sharding, simhash, variants
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,12 +78,63 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.whole_vectors(_table(spark, sf_dir, "embeddings"))
+    swapped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", swapped), F.col("vec_id") % 100 == 0)
+
+
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as first versions: every blob is scanned once and the findings joined back to all documents."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", ["doc_id"])
+    count = lambda r: F.size(F.filter("spans", lambda s: s.rule == r.key)).cast("long").alias(f"n_{r.name}")
+    return found.select(F.col("path.doc_id").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.listed(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.listed(F.col("spans"), secrets.RULES).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_backoff_scores, op2_multi_index, op3_label_sharding, op4_language, op5_quality, op6_merkle_fixity, op7_mixing, op8_decontamination, op9_reply_trees, op10_covering_simhash)
+    found = (op1_backoff_scores, op2_multi_index, op3_label_sharding, op4_language, op5_quality, op6_merkle_fixity, op7_mixing, op8_decontamination, op9_reply_trees, op10_covering_simhash, op11_spelling_variants, op12_hard_negatives, op13_secret_ledger)
     return {f.__name__: f for f in found}
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": r"""
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS other, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", other AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+    """,
+    "op13_secret_ledger": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+        ), rules(k, kind, pattern, part, least) AS (
+            VALUES (1, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+                   (2, 'access', '()(AKIA[A-Z0-9]+)', 2, 18), (3, 'hex', '()([0-9a-f]{16,})', 2, 16), (4, 'forge', '()(gh[pousr]_[A-Za-z0-9]{36,})', 2, 1), (5, 'chat', '()(xox[abprs]-[A-Za-z0-9-]{10,})', 2, 1),
+                   (6, 'jwt', '()(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', 2, 1), (7, 'private', '()(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)', 2, 1)
+        ), cut AS (
+            SELECT r, k, kind, least, regexp_extract_all(text, pattern, 0) AS said, regexp_extract_all(text, pattern, 2) AS part, string_split_regex(text, pattern) AS gaps FROM d, rules WHERE regexp_matches(text, pattern)
+        ), each AS (
+            SELECT r, k, kind, least, i, length(said[i]) AS size, length(part[i]) AS held, length(gaps[i]) AS gap FROM cut, unnest(range(1, len(said) + 1)) t(i)
+        ), placed AS (
+            SELECT *, CAST(sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS upto FROM each
+        ), fit AS (
+            SELECT r, k, kind, upto - size AS since, kind || ':' || (upto - size) || ':' || upto AS said FROM placed WHERE held >= least
+        ), told AS (
+            SELECT r, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+                   string_agg(said, ',' ORDER BY since, k) FILTER (k <= 3) AS base, string_agg(said, ',' ORDER BY since, k) AS spans FROM fit GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
+    """,
     "op9_reply_trees": r"""
         WITH every AS (
             SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, coalesce(text, '') AS text FROM conversations

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kinds import Kind, column_name
+from ..operators.firsts import first_values
+from ..operators.selection import distinct_counts
 
 # fixed values: tokens that mean a missing value, truth and falsehood
 NULL_TOKENS = ["", "-", "—", "–", "n/a", "na", "nan", "null", "none", "н/д"]
@@ -75,9 +75,8 @@ def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]
     """The kind, and for dates the pattern, of every text column.
 
     Booleans by words alone come before numbers (0.8 of the values parse), dates (0.8 of the first 500 values in order of
-    `row`), categories (50 values at most, half as many as rows) and text. One aggregate tests all columns; of those that
-    are still open it takes the first values, tries the dates on them, and counts the distinct values where an estimate
-    leaves a doubt.
+    `row`), categories (50 values at most, half as many as rows) and text. One aggregate tests all columns; one pass takes the first
+    values of those that are still open, on which the dates are tried; one more counts distinct values where an estimate leaves a doubt.
     """
     names = [c for c in df.columns if c != row]
     words = [t for t in TRUE_TOKENS + FALSE_TOKENS if t not in "01"]
@@ -92,17 +91,18 @@ def detect(df: DataFrame, row: str = _ROW) -> dict[str, tuple[Kind, str | None]]
         found[name] = (Kind.BOOLEAN, None) if n and r[f"b{i}"] == n else (Kind.NUMERIC, None) if n and r[f"f{i}"] >= MIN_RATIO * n else (Kind.TEXT, None)
     open_ = [i for i, name in enumerate(names) if found[name][0] is Kind.TEXT and r[f"n{i}"]]
     if open_:
-        firsts = [df.where(clean(F.col(column_name(names[i]))).isNotNull()).orderBy(row).limit(SAMPLE).select(F.lit(i).alias("i"), F.col(column_name(names[i])).alias("v")) for i in open_]
-        tried = reduce(DataFrame.union, firsts).groupBy("i").agg(F.count("*").alias("n"), *(F.count(parse_datetime(F.col("v"), p)).alias(f"p{k}") for k, p in enumerate(DATE_PATTERNS)))
+        firsts = first_values(df, {names[i]: clean(F.col(column_name(names[i]))) for i in open_}, row, SAMPLE)
+        tried = firsts.groupBy("column").agg(F.count("*").alias("n"), *(F.count(parse_datetime(F.col("value"), p)).alias(f"p{k}") for k, p in enumerate(DATE_PATTERNS)))
         for t in tried.collect():  # a row for each column
             best = max(range(len(DATE_PATTERNS)), key=lambda k: (t[f"p{k}"], -k))
             if t[f"p{best}"] >= MIN_RATIO * t.n:
-                found[names[t.i]] = (Kind.DATETIME, DATE_PATTERNS[best])
+                found[t.column] = (Kind.DATETIME, DATE_PATTERNS[best])
     open_ = [i for i in open_ if found[names[i]][0] is Kind.TEXT and r[f"d{i}"] <= 2 * MAX_CATEGORIES]
     if open_:
-        distinct = df.agg(*(F.count_distinct(clean(F.col(column_name(names[i])))) for i in open_)).first()
-        for i, d in zip(open_, distinct, strict=True):
-            if d <= MAX_CATEGORIES and d <= MAX_CATEGORY_RATIO * r[f"n{i}"]:
+        texts = df.select(*(clean(F.col(column_name(names[i]))).alias(names[i]) for i in open_))
+        counts = {d["column"]: d["distinct"] for d in distinct_counts(texts, texts.columns).collect()}
+        for i in open_:
+            if counts.get(names[i], 0) <= MAX_CATEGORIES and counts.get(names[i], 0) <= MAX_CATEGORY_RATIO * r[f"n{i}"]:
                 found[names[i]] = (Kind.CATEGORICAL, None)
     return found
 

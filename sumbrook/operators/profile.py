@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..kinds import Kind, column_name, kinds
+from .firsts import first_values
+from .selection import distinct_counts, medians
 
 TOP_VALUES = 12
 SAMPLES = 5
@@ -21,43 +23,50 @@ def _text(c: Column) -> Column:
     return F.substring(c.cast("string"), 1, VALUE_LENGTH)
 
 
+STATS = "column string, kind string, rows long, missing long, missing_pct double, distinct long, low double, high double, mean double, median double, std double, first string, last string"
+
+
 def column_stats(df: DataFrame) -> DataFrame:
     """column, kind, rows, missing, missing_pct, distinct, low, high, mean, median, std of each column.
 
     Numbers only for numeric columns, low and high also for dates (as text). Null and NaN are missing. Values marked by
-    `<name>__invalid` are not missing.
+    `<name>__invalid` are not missing. One aggregate without distinct counts, one pass that makes values distinct, and the
+    passes that narrow the medians: see selection.py. The driver holds a row for each column.
     """
     names = [c for c in df.columns if not c.endswith("__invalid")]
     of = kinds(df.select(*map(column_name, names)))
-    parts = None
+    column = {}
+    for name in names:
+        c = F.col(column_name(name))
+        column[name] = F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
+    found: dict[str, dict] = {}
     for at in range(0, len(names), COLUMNS_AT_ONCE):
-        some, aggs, shown = names[at : at + COLUMNS_AT_ONCE], [F.count(F.lit(1)).alias("rows")], []
+        some, aggs = names[at : at + COLUMNS_AT_ONCE], [F.count(F.lit(1)).alias("rows")]
         for i, name in enumerate(some):
-            c = F.col(column_name(name))
-            if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-                c = F.when(~F.isnan(c), c)
+            c = column[name]
             invalid = F.count_if(column_name(f"{name}__invalid")) if f"{name}__invalid" in df.columns else F.lit(0)
-            aggs += [F.count(c).alias(f"n{i}"), invalid.alias(f"i{i}"), F.count_distinct(c).alias(f"d{i}")]
-            number, none = of[name] is Kind.NUMERIC, F.lit(None).cast("double")
-            if number:
+            aggs += [F.count(c).alias(f"n{i}"), invalid.alias(f"i{i}")]
+            if of[name] is Kind.NUMERIC:
                 v = c.cast("double")
-                aggs += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.avg(v).alias(f"m{i}"), F.median(v).alias(f"q{i}"), F.stddev_samp(v).alias(f"s{i}")]
+                aggs += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
             elif of[name] is Kind.DATETIME:
                 aggs += [F.date_format(F.min(c), "yyyy-MM-dd HH:mm:ss").alias(f"l{i}"), F.date_format(F.max(c), "yyyy-MM-dd HH:mm:ss").alias(f"h{i}")]
-            dated = of[name] is Kind.DATETIME
-            missing = F.col("rows") - F.col(f"n{i}") - F.col(f"i{i}")
-            shown.append(
-                F.struct(
-                    F.lit(name).alias("column"), F.lit(of[name].value).alias("kind"), F.col("rows").alias("rows"), missing.alias("missing"),
-                    F.round(F.coalesce(F.try_divide(missing * 100.0, F.col("rows")), F.lit(0.0)), 2).alias("missing_pct"), F.col(f"d{i}").alias("distinct"),
-                    (F.col(f"l{i}") if number else none).alias("low"), (F.col(f"h{i}") if number else none).alias("high"), (F.col(f"m{i}") if number else none).alias("mean"),
-                    (F.col(f"q{i}") if number else none).alias("median"), (F.col(f"s{i}") if number else none).alias("std"),
-                    (F.col(f"l{i}") if dated else F.lit(None).cast("string")).alias("first"), (F.col(f"h{i}") if dated else F.lit(None).cast("string")).alias("last"),
-                )
-            )
-        rows = df.agg(*aggs).select(F.explode(F.array(*shown)).alias("p")).select("p.*")
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+        r = df.agg(*aggs).first()
+        for i, name in enumerate(some):
+            missing = r["rows"] - r[f"n{i}"] - r[f"i{i}"]
+            found[name] = {"column": name, "kind": of[name].value, "rows": r["rows"], "missing": missing, "n": r[f"n{i}"], "distinct": 0}
+            if of[name] is Kind.NUMERIC:
+                found[name] |= {"low": r[f"l{i}"], "high": r[f"h{i}"], "mean": r[f"m{i}"], "std": r[f"s{i}"]}
+            elif of[name] is Kind.DATETIME:
+                found[name] |= {"first": r[f"l{i}"], "last": r[f"h{i}"]}
+    numbers = {name: (p["n"], p["low"], p["high"]) for name, p in found.items() if of[name] is Kind.NUMERIC}
+    for name, median in medians(df, {name: column[name] for name in numbers}, numbers).items():
+        found[name]["median"] = median
+    for r in distinct_counts(df, names).collect() if names else []:  # a row for each column
+        found[r["column"]]["distinct"] = r["distinct"]
+    fields = [f.split()[0] for f in STATS.split(", ")]
+    rows = df.sparkSession.createDataFrame([tuple(0.0 if f == "missing_pct" else p.get(f) for f in fields) for p in found.values()], STATS)
+    return rows.withColumn("missing_pct", F.round(F.coalesce(F.try_divide(F.col("missing") * 100.0, F.col("rows")), F.lit(0.0)), 2))
 
 
 def _values(df: DataFrame, columns: list[str], row: str) -> DataFrame:
@@ -76,8 +85,24 @@ def top_values(df: DataFrame, columns: list[str], row: str, n: int = TOP_VALUES)
 
 
 def sample_values(df: DataFrame, columns: list[str], row: str, n: int = SAMPLES) -> DataFrame:
-    """column, rank, value: the first n distinct values of each column."""
-    return _first_n(_values(df, columns, row), n, F.col("_first")).select("column", "rank", "value")
+    """column, rank, value: the first n distinct values of each column, from one pass and without counting the others."""
+    return first_values(df, {c: _text(F.col(column_name(c))) for c in columns}, row, n, distinct=True)
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row, duplicates: the rows beyond the first of each set of equal rows; nulls are equal.
+
+    Rows are told apart by 128 bits of fingerprint, so what is shuffled doesn't grow with their texts; two different rows are taken
+    for equal with a chance of one in 2 ** 128.
+    """
+    columns = [F.col(column_name(c)) for c in df.columns]
+    if not columns:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicates"))
+    # xxhash64 skips nulls, so where they stand is hashed too
+    holes = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))
+    marks = [F.xxhash64(*columns, holes).alias("_a"), F.xxhash64(F.lit(1), *columns, holes).alias("_b")]
+    shared = df.select(*marks).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return shared.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -15,14 +15,15 @@ from ..errors import AnalyticsError
 from ..kinds import Kind, column_name, kinds
 from .filters import Condition, compile_filters, known_column
 from .metrics import Metric, metric, source_columns
+from .shared import run_together
 
 MAX_GROUP_BY = 3
 MAX_GROUPS = 200
 MAX_EXAMPLES = 8
 #: A double is summed in three whole parts: before the point, and twice so many binary places behind it.
 SUM_BITS = 60
-#: Doubles from here on are whole.
-_WHOLE = float(2**53)
+#: Doubles from here on are whole, and from there on too large for a sum of decimals.
+_WHOLE, _LARGE = float(2**53), float(2**80)
 
 
 @dataclass(frozen=True)
@@ -46,22 +47,25 @@ def exact_sum(c: Column, of: T.DataType) -> Column:
     """A sum that doesn't depend on the order of the rows: whole numbers as decimals, doubles without loss down to 2 ** -120.
 
     A double is cut into whole numbers, whose sums are exact; only the three sums are rounded, when they are put
-    together. Doubles may reach 1e37.
+    together. Doubles of 2 ** 80 and more, infinities with them, are added up as doubles: inf and -inf make NaN. NaN is left out.
     """
     if isinstance(of, T.IntegralType):
         return F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
     if isinstance(of, T.DecimalType):
         return F.sum(c)
     x, step = c.cast("double"), F.lit(float(2**SUM_BITS))
-    small = F.abs(x) < _WHOLE
-    whole = F.when(small, x.cast("long").cast("decimal(38,0)")).otherwise(x.cast("decimal(38,0)"))
-    behind = F.when(small, (x - x.cast("long")) * step).otherwise(F.when(x.isNotNull(), 0.0))
+    small, fitting = F.abs(x) < _WHOLE, F.abs(x) < _LARGE
+    whole = F.when(small, x.cast("long").cast("decimal(38,0)")).otherwise(F.when(fitting, x).cast("decimal(38,0)"))
+    behind = F.when(small, (x - x.cast("long")) * step).otherwise(F.when(fitting, 0.0))
     finer = (behind - behind.cast("long")) * step
     parts = [F.sum(p.cast("long").cast("decimal(20,0)")).cast("double") for p in (behind, finer)]
-    return F.sum(whole).cast("double") + (parts[0] + parts[1] / step) / step
+    exact = F.sum(whole).cast("double") + (parts[0] + parts[1] / step) / step
+    large = F.sum(F.when(~fitting & ~F.isnan(x), x))
+    return F.when(large.isNull(), exact).otherwise(large + F.coalesce(exact, F.lit(0.0)))
 
 
-def _usable(df: DataFrame, sources: dict[str, str]) -> Column:
+def usable_rows(df: DataFrame, sources: dict[str, str]) -> Column:
+    """Whether a row has all the metric's sources; NaN is missing."""
     parts = []
     for name in dict.fromkeys(sources.values()):
         c = F.col(column_name(name))
@@ -71,7 +75,7 @@ def _usable(df: DataFrame, sources: dict[str, str]) -> Column:
 
 @dataclass(frozen=True)
 class MetricQuery:
-    """A checked query over a table. `grouped()` and `overall()` are lazy plans; `run()` collects at most MAX_GROUPS groups."""
+    """A checked query over a table. `grouped()` and `overall()` are lazy plans, whose sums of whole numbers must fit into a long; `run()` collects at most MAX_GROUPS groups."""
 
     df: DataFrame
     metric: Metric
@@ -113,14 +117,14 @@ class MetricQuery:
     def grouped(self) -> DataFrame:
         """The group columns, value, rows_used; one partial aggregate before the only shuffle."""
         keys = [F.col(column_name(g)) for g in self.group_by]
-        return self.matched().where(_usable(self.df, self.sources)).groupBy(*keys).agg(*self._aggregates()).select(*keys, self._value(False).alias("value"), "rows_used")
+        return self.matched().where(usable_rows(self.df, self.sources)).groupBy(*keys).agg(*self._aggregates()).select(*keys, self._value(False).alias("value"), "rows_used")
 
     def sorted(self) -> DataFrame:
         return self.grouped().orderBy(*(F.col(column_name(g)).asc_nulls_last() for g in self.group_by))
 
     def overall(self) -> DataFrame:
         """One row: value, rows_used, rows_matched; of no rows a sum is 0 and a ratio null."""
-        usable = _usable(self.df, self.sources)
+        usable = usable_rows(self.df, self.sources)
         marked = self.matched().select(*(F.when(usable, F.col(column_name(c))).alias(c) for c in dict.fromkeys(self.sources.values())), usable.alias("_usable"))
         sums = [exact_sum(F.col(column_name(c)), self.df.schema[c].dataType).alias(f"sum_{i}") for i, c in enumerate(self.sources.values())]
         return marked.agg(*sums, F.count_if("_usable").alias("rows_used"), F.count(F.lit(1)).alias("rows_matched")).select(self._value(True).alias("value"), "rows_used", "rows_matched")
@@ -130,45 +134,31 @@ class MetricQuery:
         if not self.group_by:
             return self.overall().select(F.lit(1).cast("int").alias("is_total"), "value", "rows_used")
         keys = [F.col(column_name(g)) for g in self.group_by]
-        usable = self.matched().where(_usable(self.df, self.sources))
+        usable = self.matched().where(usable_rows(self.df, self.sources))
         total = F.when(F.grouping_id() > 0, 1).otherwise(0).cast("int")
         found = usable.groupingSets([keys, []], *keys).agg(*self._aggregates(), total.alias("is_total"))
         return found.select(*keys, "is_total", self._value(False).alias("value"), "rows_used")
 
-    def month_start(self) -> dict[str, bool]:
-        """For each grouped datetime column whether all its values, filtered or not, are the first of a month at midnight."""
-        dates = [g for g in self.group_by if self.kinds[g] is Kind.DATETIME]
-        if not dates:
-            return {}
-        tests = [F.bool_and(F.col(column_name(g)) == F.date_trunc("month", F.col(column_name(g)))).alias(f"m{i}") for i, g in enumerate(dates)]
-        row = self.df.agg(*tests).first()
-        return {g: bool(row[i]) for i, g in enumerate(dates)}
-
     def run(self) -> MetricResult:
-        total = self.overall().first()
-        rows, warnings = [], []
-        if self.group_by:
-            found = self.sorted().limit(MAX_GROUPS + 1).collect()
-            if len(found) > MAX_GROUPS:
-                raise AnalyticsError(f"There are more than {MAX_GROUPS} groups. Filter, or group by another column.")
-            months = self.month_start()
-            rows = [Group({g: format_key(r[g], months.get(g, False)) for g in self.group_by}, r.value, r.rows_used) for r in found]
-        if left_out := total.rows_matched - total.rows_used:
-            warnings.append(f"{left_out} rows were left out: a value of {', '.join(self.sources.values())} is missing.")
-        if not total.rows_matched:
-            warnings.append("No rows match the filters.")
-        if self.metric.denominator and total.rows_used and total.value is None:
-            warnings.append(f"The sum of {self.metric.denominator} is 0: the metric has no value.")
-        warnings += self._unknown_values()
-        return MetricResult(self.metric, self.group_by, rows, Group({}, total.value, total.rows_used), total.rows_matched, warnings)
-
-    def _unknown_values(self) -> list[str]:
+        """Groups, total, month test and unknown filter values from one scan. Sums of whole numbers may leave 64 bits here."""
+        found = run_together([self], MAX_GROUPS)[0]
+        if isinstance(found, AnalyticsError):
+            raise found
+        return found
+
+    def warnings(self, overall: Group, matched: int, known: dict[str, set]) -> list[str]:
+        """What a reader must know of the result; known has the filters' values that the table holds."""
         out = []
+        if left_out := matched - overall.rows_used:
+            out.append(f"{left_out} rows were left out: a value of {', '.join(self.sources.values())} is missing.")
+        if not matched:
+            out.append("No rows match the filters.")
+        if self.metric.denominator and overall.rows_used and overall.value is None:
+            out.append(f"The sum of {self.metric.denominator} is 0: the metric has no value.")
         for f in self.conditions:
             if self.kinds[f.column] in (Kind.CATEGORICAL, Kind.TEXT) and f.op in ("eq", "in"):
                 values, c = f.value if isinstance(f.value, list) else [f.value], F.col(column_name(f.column))
-                known = {r[0] for r in self.df.where(c.isin(values)).select(c).distinct().collect()}  # at most the filter's values
-                if missing := [v for v in values if v not in known]:
+                if missing := [v for v in values if v not in known.get(f.column, set())]:
                     some = [r[0] for r in self.df.where(c.isNotNull()).select(c).distinct().orderBy(c).limit(MAX_EXAMPLES).collect()]
                     out.append(f"Column {f.column!r} has no {', '.join(map(repr, missing))}; it has for example {', '.join(map(repr, some))}.")
         return out

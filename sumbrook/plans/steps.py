@@ -5,7 +5,7 @@ The interactive part of planning (approval, choices, retries) is no Spark work a
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,8 @@ from ..kinds import Kind
 from ..operators.charts import fit_chart
 from ..operators.facts import category_facts, series_facts, time_facts
 from .metrics import NAMED, metric
-from .query import MetricQuery, MetricResult
+from .query import MAX_GROUPS, MetricQuery, MetricResult
+from .shared import run_together
 from .summary import Summary
 
 MAX_STEPS = 4
@@ -92,29 +93,32 @@ def rules_plan(found: list[Candidate], selected: list[str] | None = None, choice
 
 
 def run_plan(df: DataFrame, steps: list[Step], summary: Summary) -> Outcome:
-    """Each step's result. A step that is refused is left out with a warning; the others go on."""
-    out = Outcome()
+    """Each step's result; all steps share one scan of the table. A step that is refused is left out with a warning; the others go on."""
+    out, queries = Outcome(), []
     for step in steps[:MAX_STEPS]:
         try:
-            found = MetricQuery.build(df, step.metric, list(step.group_by), step.filters, frozenset(summary.sensitive)).run()
+            queries.append((step, MetricQuery.build(df, step.metric, list(step.group_by), step.filters, frozenset(summary.sensitive))))
         except SumbrookError as e:
             out.warnings.append(f"{step.title or step.metric}: {e}")
+    for (step, _), found in zip(queries, run_together([q for _, q in queries], MAX_GROUPS), strict=True):
+        if isinstance(found, SumbrookError):
+            out.warnings.append(f"{step.title or step.metric}: {found}")
             continue
         timed = bool(step.group_by) and summary.columns[step.group_by[0]] is Kind.DATETIME
-        out.results.append((Step(step.metric, step.group_by, step.filters, fit_chart(timed, step.chart, len(found.rows)), step.title), found))
+        out.results.append((replace(step, chart=fit_chart(timed, step.chart, len(found.rows))), found))
         out.warnings += found.warnings
     return out
 
 
 def step_facts(df: DataFrame, step: Step, summary: Summary) -> DataFrame:
-    """The facts of a step: of a series, of several, or of categories; no facts for other shapes."""
+    """The facts of a step, `overall` among them: of a series, of several, of categories; without groups, or with other ones, the total alone."""
     q = MetricQuery.build(df, step.metric, list(step.group_by), step.filters, frozenset(summary.sensitive))
-    percent = q.metric.unit == "%"
-    timed = bool(step.group_by) and summary.columns[step.group_by[0]] is Kind.DATETIME
-    if timed and len(step.group_by) == 1:
-        return time_facts(q.grouped().withColumnRenamed(step.group_by[0], "t"), percent)
-    if timed and len(step.group_by) == 2:
-        return series_facts(q.grouped().withColumnRenamed(step.group_by[0], "t").withColumnRenamed(step.group_by[1], "series"), percent)
-    if len(step.group_by) == 1:
-        return category_facts(q.grouped().withColumnRenamed(step.group_by[0], "key"), q.overall(), q.metric.additive)
-    return q.overall().select(F.lit("overall").alias("fact"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("of")).limit(0)
+    percent, total, axes = q.metric.unit == "%", q.overall(), step.group_by
+    timed = bool(axes) and summary.columns[axes[0]] is Kind.DATETIME
+    if timed and len(axes) == 1:
+        return time_facts(q.grouped().withColumnRenamed(axes[0], "t"), percent, total)
+    if timed and len(axes) == 2:
+        return series_facts(q.grouped().withColumnRenamed(axes[0], "t").withColumnRenamed(axes[1], "series"), percent, total)
+    if len(axes) == 1:
+        return category_facts(q.grouped().withColumnRenamed(axes[0], "key"), total, q.metric.additive)
+    return total.where("value is not null").select(F.lit("overall").alias("fact"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("of"))

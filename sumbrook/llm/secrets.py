@@ -110,7 +110,7 @@ def scan(versions: DataFrame, ledger: str, path: list[str], text: str = "text",
     present = F.filter("spans", lambda s: s.rule.isin([r.key for r in rules]))
     told = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode(present).alias("span")).groupBy("blob").agg(F.collect_set("span").alias("spans"))
     held = addressed.groupBy("blob").agg(F.count("*").alias("held"))
-    joined = join_hot(addressed, told.join(held, "blob"), "blob", "held", addressed.count(), "left")
+    joined = join_hot(addressed, held.join(told, "blob", "left"), "blob", "held", addressed.count())  # a hot blob without findings is hot too
     return joined.select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
 

@@ -26,8 +26,9 @@ from .common import cut, small_batches, unit_hash
 
 #: Rows that the space partition is fitted on, in expectation.
 SAMPLE = 16_384
-#: Candidates and anchors of a block, about; rows of a leaf inside a task.
-BLOCK_ROWS = 2048
+#: Candidates of a block, about: a share of the table between these. Anchors of a block; rows of a leaf inside a task.
+BLOCK_ROWS = (256, 8192)
+BLOCKS = 64
 BLOCK_ANCHORS = 512
 LEAF = 128
 #: Levels of the space partition, and of its top, at most: 1024 leaves, 64 top nodes.
@@ -56,13 +57,14 @@ class Node:
         self.length = float(np.sqrt((self.centre**2).sum()))
 
 
-def grow(x: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> Node:
-    """The tree over the rows of x: nodes are halved at the median of their widest dimension."""
+def grow(x: np.ndarray, labels: np.ndarray) -> Node:
+    """The tree over the rows of x: nodes are halved at the median of their widest dimension, down to LEAF rows."""
     root = Node(x, labels, np.arange(len(x)))
     stack = [root]
     while stack:
         node = stack.pop()
-        if len(node.at) > leaf and x.shape[1] and (widest := int((node.high - node.low).argmax())) is not None and node.high[widest] > node.low[widest]:
+        widest = int((node.high - node.low).argmax()) if x.shape[1] else -1
+        if len(node.at) > LEAF and widest >= 0 and node.high[widest] > node.low[widest]:
             by = node.at[np.argsort(x[node.at, widest], kind="stable")]
             node.children = tuple(Node(x, labels, part) for part in (by[: len(by) // 2], by[len(by) // 2 :]))
             stack += node.children
@@ -291,8 +293,9 @@ def _at(values: list[int], index: Column) -> Column:
 class Index:
     """Candidates (row, vec_id, label, v) dealt over blocks along the space partition."""
 
-    def __init__(self, rows: DataFrame, width: int, total: int, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS):
+    def __init__(self, rows: DataFrame, width: int, total: int, block_rows: int | None = None, sample: int = SAMPLE):
         spark = rows.sparkSession
+        block_rows = block_rows or min(max(total // BLOCKS, BLOCK_ROWS[0]), BLOCK_ROWS[1])
         levels = min(LEVELS, max(0, round(log2(max(1, total / block_rows)))))
         drawn = rows.where(unit_hash(F.lit(SEED), F.col("row")) * total < sample).select("v").toArrow() if levels else None
         parts = spark.sparkContext.broadcast(Partition(_matrix(drawn, width) if levels else np.zeros((0, width)), levels))
@@ -351,7 +354,7 @@ def search(index: Index, requests: DataFrame, anchors: int, same: bool, k: int)
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_rows: int | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: hard negatives of each anchor and positive.
 
     vectors: vec_id, label, v (whole numbers), as `whole_vectors` gives them. An anchor's positives are the first `positives` other rows of its label by

@@ -1,7 +1,12 @@
-"""The catalogue's plan: which analyses stay, on which axis and chart, and what a person's decision leaves of it."""
+"""The catalogue's plan: which analyses stay, on which axis and chart, and what a person's decision leaves of it.
+
+Each analysis has a state: what it could be grouped by, the axis it has, whether its metric is defined or confirmed, and whether it is approved.
+A decision changes states; the plan that one sees is derived from them by one function.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from ..errors import WorkflowError
@@ -23,6 +28,43 @@ class Proposal:
     title: str = ""
 
 
+@dataclass(frozen=True)
+class State:
+    """Where an analysis stands. charts: the chart that suits each axis, and None the one while the axis is open."""
+
+    candidate: Candidate
+    title: str
+    charts: dict[str | None, str]
+    axis: str | None = None
+    defined: bool = False
+    confirmed: bool = False
+    approved: bool = True
+    #: whether a person has decided: only then an undefined metric is excluded
+    decided: bool = False
+
+    @property
+    def step(self) -> Step:
+        return Step(self.candidate.metric, (self.axis,) if self.axis else (), None, self.charts[self.axis], self.title)
+
+    @property
+    def undefined(self) -> str:
+        return f"{self.candidate.metric} has no document, and its formula ({metric(self.candidate.metric).formula}) is not confirmed"
+
+    @property
+    def where(self) -> str:
+        return next(place for place, here in PLACES if here(self))
+
+
+#: The first that holds says where a state belongs.
+PLACES: tuple[tuple[str, Callable[[State], bool]], ...] = (
+    ("unavailable", lambda s: not s.candidate.available),
+    ("left out", lambda s: not s.approved),
+    ("open", lambda s: s.axis is None),
+    ("undefined", lambda s: s.decided and not s.defined and not s.confirmed),
+    ("ready", lambda s: True),
+)
+
+
 @dataclass
 class CataloguePlan:
     #: by analysis; a step whose axis is open groups by nothing yet
@@ -32,6 +74,16 @@ class CataloguePlan:
     #: metrics that no document defines
     gaps: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    states: dict[str, State] = field(default_factory=dict)
+
+
+def derive(states: Iterable[State], notes: list[str]) -> CataloguePlan:
+    """The plan that states make up."""
+    by = {s.candidate.id: s for s in states}
+    shown = {i: s for i, s in by.items() if s.where in ("open", "ready")}
+    excluded = {i: "; ".join(s.candidate.reasons) if s.where == "unavailable" else s.undefined for i, s in by.items() if s.where in ("unavailable", "undefined")}
+    gaps = list(dict.fromkeys(s.candidate.metric for s in shown.values() if not s.defined))
+    return CataloguePlan({i: s.step for i, s in shown.items()}, {i: s.candidate.axes for i, s in shown.items() if s.axis is None}, excluded, gaps, notes, by)
 
 
 def selection(requested: list[str] | None, found: list[Candidate]) -> list[str]:
@@ -40,10 +92,11 @@ def selection(requested: list[str] | None, found: list[Candidate]) -> list[str]:
     return [r for r in requested or [] if r in known] or [c.id for c in found if c.available]
 
 
-def _charted(candidate: Candidate, axes: tuple[str, ...], asked: str | None, summary: Summary) -> str:
-    """The chart that suits the axis; while several are possible, the one with the most values decides."""
-    timed = candidate.axes == tuple(summary.times)
-    return fit_chart(timed, asked or candidate.chart, max((summary.statistics[a].get("distinct") or 0 for a in axes), default=0))
+def _charts(candidate: Candidate, asked: str | None, summary: Summary) -> dict[str | None, str]:
+    """The chart for each axis; while the axis is open, the one with the most values decides."""
+    sizes = {a: summary.statistics[a].get("distinct") or 0 for a in candidate.axes}
+    timed = bool(candidate.axes) and set(candidate.axes) <= set(summary.times)
+    return {a: fit_chart(timed, asked or candidate.chart, n) for a, n in (*sizes.items(), (None, max(sizes.values(), default=0)))}
 
 
 def finalise_catalogue(found: list[Candidate], proposals: list[Proposal], summary: Summary, selected: list[str] | None = None, documented: frozenset[str] = frozenset(), choices: dict[str, str] | None = None) -> CataloguePlan:
@@ -51,41 +104,27 @@ def finalise_catalogue(found: list[Candidate], proposals: list[Proposal], summar
 
     An axis is chosen, else proposed, else the only one, else open. documented: metrics with a definition in a document.
     """
-    plan, wanted, first = CataloguePlan(), set(selection(selected, found)), {}
-    for p in proposals:
-        if first.setdefault(p.analysis, p) is not p:
-            plan.notes.append(f"{p.analysis} was proposed twice; the first proposal counts.")
-    for c in (c for c in found if c.id in wanted):
-        if not c.available:
-            plan.excluded[c.id] = "; ".join(c.reasons)
-            continue
-        if len(plan.steps) == MAX_STEPS:
-            plan.notes.append(f"A plan has {MAX_STEPS} charts at most; {c.id} is left out.")
-            continue
-        p = first.get(c.id, Proposal(c.id))
-        axis = next((a for a in ((choices or {}).get(c.id), p.axis) if a in c.axes), c.axes[0] if len(c.axes) == 1 else None)
-        chart = _charted(c, (axis,) if axis else c.axes, p.chart, summary)
-        title = (p.title.strip() or c.id)[:MAX_TITLE]
-        if p.chart and chart != p.chart:
-            plan.notes.append(f"{title}: {chart} instead of {p.chart}.")
-        if axis is None:
-            plan.open[c.id] = c.axes
-        plan.steps[c.id] = Step(c.metric, (axis,) if axis else (), None, chart, title)
-    plan.gaps = [m for m in dict.fromkeys(s.metric for s in plan.steps.values()) if m not in documented]
-    return plan
+    by = {p.analysis: p for p in reversed(proposals)}  # the first one counts
+    notes = [f"{p.analysis} was proposed twice; the first proposal counts." for p in proposals if by[p.analysis] is not p]
+    wanted, states = set(selection(selected, found)), []
+    for c in found:
+        if c.id in wanted:
+            p = by.get(c.id, Proposal(c.id))
+            preferred = [a for a in ((choices or {}).get(c.id), p.axis, *(c.axes if len(c.axes) == 1 else ())) if a in c.axes]
+            states.append(State(c, (p.title.strip() or c.id)[:MAX_TITLE], _charts(c, p.chart, summary), next(iter(preferred), None), c.metric in documented))
+    ready = [s for s in states if s.candidate.available]
+    notes += [f"A plan has {MAX_STEPS} charts at most; {s.candidate.id} is left out." for s in ready[MAX_STEPS:]]
+    late = {s.candidate.id for s in ready[MAX_STEPS:]}
+    notes += [f"{s.title}: {s.step.chart} instead of {by[s.candidate.id].chart}." for s in ready[:MAX_STEPS] if s.candidate.id in by and by[s.candidate.id].chart not in (None, "", s.step.chart)]
+    return derive([replace(s, approved=s.candidate.id not in late) for s in states], notes)
 
 
 def choose(plan: CataloguePlan, choices: dict[str, str], summary: Summary) -> CataloguePlan:
     """The plan with open axes chosen; a choice for a step that isn't open changes nothing, one that doesn't fit is an error."""
-    taken = {i: a for i, a in choices.items() if i in plan.open}
-    wrong = [f"{plan.steps[i].title}: {a} is none of {', '.join(plan.open[i])}." for i, a in taken.items() if a not in plan.open[i]]
+    wrong = [f"{plan.steps[i].title}: {choices[i]} is none of {', '.join(axes)}." for i, axes in plan.open.items() if i in choices and choices[i] not in axes]
     if wrong:
         raise WorkflowError(" ".join(wrong))
-    steps = dict(plan.steps)
-    for i, axis in taken.items():
-        chart = fit_chart(axis in summary.times, steps[i].chart, summary.statistics[axis].get("distinct") or 0)
-        steps[i] = replace(steps[i], group_by=(axis,), chart=chart)
-    return replace(plan, steps=steps, open={i: axes for i, axes in plan.open.items() if i not in taken})
+    return derive((replace(s, axis=choices[i]) if i in plan.open and i in choices else s for i, s in plan.states.items()), plan.notes)
 
 
 def approve(plan: CataloguePlan, approved: list[str], summary: Summary, choices: dict[str, str] | None = None, confirmed: frozenset[str] = frozenset()) -> CataloguePlan:
@@ -93,24 +132,18 @@ def approve(plan: CataloguePlan, approved: list[str], summary: Summary, choices:
 
     A metric that no document defines stays only if its formula is confirmed.
     """
-    plan = choose(plan, choices or {}, summary)
-    steps = {i: s for i, s in plan.steps.items() if i in approved}
-    if not steps:
+    chosen = choose(plan, choices or {}, summary)
+    if not set(approved) & set(chosen.steps):
         raise WorkflowError("No chart is approved.")
-    still = {i: axes for i, axes in plan.open.items() if i in steps}
-    if still:
-        return replace(plan, open=still)
-    unknown = {i for i, s in steps.items() if s.metric in plan.gaps and s.metric not in confirmed}
-    kept = {i: s for i, s in steps.items() if i not in unknown}
-    if not kept:
+    asked = {i: axes for i, axes in chosen.open.items() if i in approved}
+    if asked:
+        return replace(chosen, open=asked)
+    decided = derive((replace(s, decided=True, approved=s.approved and i in approved, confirmed=s.candidate.metric in confirmed) for i, s in chosen.states.items()), chosen.notes)
+    if not decided.steps:
         raise WorkflowError("No document defines the metrics and no formula is confirmed.")
-    excluded = plan.excluded | {i: f"{steps[i].metric} has no document, and its formula ({metric(steps[i].metric).formula}) is not confirmed" for i in unknown}
-    used = {s.metric for s in kept.values()}
-    return replace(plan, steps=kept, open={}, excluded=excluded, gaps=[m for m in plan.gaps if m in used])
+    return decided
 
 
 def behaviour(plan: CataloguePlan) -> str:
     """answer, if some step can run; clarify, if only open ones are there; else reject."""
-    if any(i not in plan.open for i in plan.steps):
-        return "answer"
-    return "clarify" if plan.open else "reject"
+    return "answer" if plan.steps.keys() - plan.open.keys() else "clarify" if plan.open else "reject"

@@ -1,6 +1,7 @@
 """Finalised requests, overview charts, exact sums and the text rules that were once wrong."""
 
 import math
+from dataclasses import replace
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sumbrook.operators import verify
 from sumbrook.operators.evalstats import compare_arms
 from sumbrook.plans.query import calculate_metric
+from sumbrook.plans import records
 from sumbrook.plans.records import dataset_records, search_metadata
 from sumbrook.plans.requests import Draft, finalise, overview_charts
 from sumbrook.plans.steps import run_plan
@@ -92,3 +94,42 @@ def test_causes_and_months(spark):
     said = ["Падение вызвано сбоем, а не вызвано сезоном.", "Спад не вызван сезоном.", "Рост из-за акции.", "Маяк стоит в мае.", "Майский маяк."]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i long, s string").select("i", verify.causal(F.col("s")).alias("c"), verify.months_named(F.col("s")).alias("m")).orderBy("i").collect()
     assert [len(r.c) for r in df] == [1, 0, 1, 0, 0] and [r.m for r in df][3:] == [[5], []]
+
+
+@pytest.mark.parametrize("request_", ["Падение выручки по каналам", "как менялась выручка", "выручка растёт", "снижение продаж", "revenue decline by channel"])
+def test_words_of_change_add_the_time_axis(sales, summary, request_):
+    assert finalise(sales, [Draft("sum:Revenue", ("Channel",))], summary, request_).steps[0].group_by == ("Month", "Channel")
+    both = finalise(sales, [Draft("sum:Revenue", ("Channel",)), Draft("sum:Orders", ("Region",))], summary, request_)
+    assert [s.group_by for s in both.steps] == [("Channel",), ("Region",)]  # the words belong to a step only if it is the only one
+
+
+@pytest.mark.parametrize("request_", ["выручка по сегментам", "по разрезам", "продажи по срезам", "по группам"])
+def test_unnamed_groups_are_left_open(sales, summary, request_):
+    assert finalise(sales, [Draft("sum:Revenue", ("Channel",))], summary, request_).open == {0: tuple(summary.dimensions)}
+    assert finalise(sales, [Draft("sum:Revenue")], summary, "revenue", ambiguous=True).open == {0: tuple(summary.dimensions)}
+
+
+def test_another_metric_under_a_documented_name_is_refused(spark, sales, summary):
+    texts = [("Return Rate is Returns divided by Orders.", "metrics, page 2"), ("The average order value is Revenue divided by Orders.", "metrics, page 1"), (None, None)]
+    definitions = spark.createDataFrame(texts, "text string, source string")
+    able = replace(summary, metrics=[*summary.metrics, "ratio:Revenue/Orders"])
+    plan = lambda term, metric: finalise(sales, [Draft(metric, ("Channel",), term=term)], able, definitions=definitions)
+    wrong = plan("return rate", "ratio:Revenue/Orders")
+    assert not wrong.steps and "metrics, page 2" in wrong.refused[0][1] and wrong.unsupported == [f"Step 1: {wrong.refused[0][1]}"]
+    fine = [("Average Order Value", "ratio:Revenue/Orders"), ("turnover", "sum:Revenue"), ("sum of Revenue", "sum:Revenue"), ("", "sum:Orders")]
+    assert all(len(plan(*x).steps) == 1 for x in fine)
+
+
+def test_what_is_not_met_is_listed(sales, summary):
+    plan = finalise(sales, [Draft(" None "), Draft("sum:Profit", title="Profit")], summary, unsupported=(" EBITDA ", "EBITDA", ""))
+    assert not plan.steps and plan.unsupported == ["EBITDA", f"Profit: {plan.refused[0][1]}"] and len(plan.refused) == 1
+    assert finalise(sales, [Draft("-")], summary).unsupported != [] and finalise(sales, [], summary).unsupported != []
+
+
+def test_records_name_values(spark, sales, summary):
+    numbered = sales.withColumn("_row", F.monotonically_increasing_id())
+    values = records.shown_values(numbered, summary, "_row")
+    assert values == {"Channel": ["Web", "Mobile"], "Region": ["North", "South"]}
+    found = search_metadata(dataset_records(spark, summary, "s", "sales", values=values), "Mobile Web", 1).first()
+    assert found.column_name == "Channel" and "Values: Web, Mobile." in found.text
+    assert "North" not in records.column_text("sales", "Region", replace(summary, sensitive=["Region"]), values["Region"])

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from ..errors import CorruptFileError, EmptyFileError, NoDataError, UnsupportedFormatError
 from ..kinds import column_name
+from .csv_ranges import header, layout, read_ranges
 
 HEAD = 4096
 DELIMITERS = (",", ";", "\t", "|")
 TABLES, IMAGES, PDFS = (".csv", ".xlsx"), (".png", ".jpg", ".jpeg", ".webp"), (".pdf",)
 MAX_ROWS, MAX_COLUMNS = 500, 40
-CYRILLIC = "windows-1251"
-#: The upper half of bytes as Latin-1 and as Windows-1251.
-_HIGH = tuple(bytes(range(128, 256)).decode(c, "replace") for c in ("latin-1", "cp1251"))
+CYRILLIC = "cp1251"
 
 
 def file_kind(name: str) -> str:
@@ -25,10 +24,17 @@ def file_kind(name: str) -> str:
     return next((kind for kind, endings in (("table", TABLES), ("image", IMAGES), ("pdf", PDFS)) if ending in endings), "unknown")
 
 
-def head(spark: SparkSession, path: str) -> tuple[int, bytes]:
-    """Length and first bytes of a file, through Spark's own reader; the rest is not brought to the driver."""
-    row = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEAD).alias("head")).first()
-    return (row.length, bytes(row.head)) if row else (0, b"")  # the reader leaves empty files out
+def head(spark: SparkSession, path: str, most: int = HEAD) -> tuple[int, bytes]:
+    """Length and first bytes of a file, of any size, through Hadoop's file systems."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    length = files.getFileStatus(place).getLen()
+    stream = files.open(place)
+    try:
+        return length, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(most, length)))
+    finally:
+        stream.close()
 
 
 def detect_format(name: str, length: int, first: bytes) -> str:
@@ -46,17 +52,8 @@ def detect_format(name: str, length: int, first: bytes) -> str:
 
 
 def encoding(first: bytes) -> str:
-    """UTF-16 by its mark, else UTF-8 if the head is (a character may be cut at its end), else Windows-1251."""
-    if first.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "UTF-16"
-    for cut in range(4):
-        try:
-            first[: len(first) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            if len(first) < HEAD:
-                break
-    return CYRILLIC
+    """UTF-16 by its mark; else UTF-8, which all of the file must bear out, or Windows-1251."""
+    return "UTF-16" if first.startswith((b"\xff\xfe", b"\xfe\xff")) else "UTF-8"
 
 
 def delimiter(text: str) -> str:
@@ -77,30 +74,42 @@ def headers(names: list[str | None]) -> list[str]:
     return out
 
 
-def clean_frame(df: DataFrame) -> DataFrame:
-    """Trimmed headers, no rows or unnamed columns that are empty; a table without rows or columns is an error."""
+def clean_frame(df: DataFrame, row: str | None = None) -> DataFrame:
+    """Trimmed headers, no rows or unnamed columns that are empty; a table without rows or columns is an error. row: a column that doesn't count."""
     named = df.toDF(*headers(df.columns))
     blank = [c for c in named.columns if re.fullmatch(r"Unnamed: \d+", c)]
     if blank:
         filled = named.agg(*(F.count(F.nullif(F.trim(F.col(column_name(c)).cast("string")), F.lit(""))).alias(str(i)) for i, c in enumerate(blank))).first()
         named = named.drop(*(c for i, c in enumerate(blank) if not filled[i]))
-    kept = named.na.drop(how="all") if named.columns else named
-    if not named.columns or kept.isEmpty():
+    data = [c for c in named.columns if c != row]
+    kept = named.na.drop(how="all", subset=data) if data else named
+    if not data or kept.isEmpty():
         raise NoDataError("The table has no data.")
     return kept
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text. A row of another length than the header is an error. Quoted fields may hold line ends."""
+def read_csv(spark: SparkSession, path: str, row: str | None = None) -> DataFrame:
+    """All columns as text, by as many tasks as the file has splits. A row longer than the header is an error, a shorter one is filled with nulls.
+
+    Quoted fields may hold line ends. UTF-8 or, if any line of the file isn't that, Windows-1251; a file in UTF-16 is read by one
+    task. row: the name of a column that numbers the rows in the file's order; not for UTF-16.
+    """
     length, first = head(spark, path)
     detect_format(path, length, first)
-    code = encoding(first)
-    sep = delimiter(first.decode(code, "ignore").lstrip("﻿"))
-    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", "ISO-8859-1" if code == CYRILLIC else code).option("mode", "FAILFAST")
-    df = reader.option("multiLine", True).csv(path)
-    if code == CYRILLIC:  # read byte by byte, as Spark's reader doesn't know the encoding
-        df = df.select(*(F.translate(F.col(column_name(c)), *_HIGH).alias(c.translate(str.maketrans(*_HIGH))) for c in df.columns))
-    return clean_frame(df.toDF(*("" if c == f"_c{i}" else c for i, c in enumerate(df.columns))))  # Spark's name of a blank header
+    if encoding(first) == "UTF-16":
+        sep = delimiter(first.decode("UTF-16", "ignore"))
+        df = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", "UTF-16").option("mode", "FAILFAST").option("multiLine", True).csv(path)
+        return clean_frame(df.toDF(*("" if c == f"_c{i}" else c for i, c in enumerate(df.columns))))  # Spark's name of a blank header
+    sep = delimiter(first.decode("latin-1").removeprefix("ï»¿"))  # delimiters are the same in both encodings
+    of = layout(spark, path, sep, "\r" if b"\r" in first and b"\n" not in first else "\n", CYRILLIC)
+    names = None
+    while (names := header(first if len(first) < length else first + of.end.encode(), of)) is None and len(first) < length:
+        first = head(spark, path, 16 * len(first))[1]  # a header of many columns
+    if names is None:
+        raise NoDataError("The table has no data.")
+    found = headers(names)
+    rows = read_ranges(spark, of, found)
+    return clean_frame(rows.select(*([F.col("row").alias(row)] if row else []), *(F.col(f"c{i}").alias(n) for i, n in enumerate(found))), row)
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

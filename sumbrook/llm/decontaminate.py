@@ -13,6 +13,7 @@ through to the join, and loses none.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, join_hot, slices, small_batches, texts
+from .common import HOT, cut, join_hot, slices, small_batches, texts
 
 WINDOW = 13
 FILTER_BITS = 1 << 24
@@ -187,10 +188,17 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of docs that are not contaminated, unchanged: null and blank texts stay, equal texts stay or go together.
 
-    Columns may have any names. The texts of contaminated documents are known by their hashes, and only these are joined.
+    Columns may have any names. Texts are known by their hashes. Rows of a hot text, null among them, are judged where they lie; the
+    others are joined with the contaminated texts alone.
     """
     rows = docs.select(_text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     marked, hits = _hits(rows, benchmark, bits)
-    sizes = marked.groupBy("key").agg(F.any_value("n_words").alias("n_words"))
-    bad = cut(hits.join(sizes, "key").where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col("key").alias("_bad")))
-    return docs.join(bad, _text_key(F.col("text")) == F.col("_bad"), "left_anti").select(*docs.columns)
+    sizes = cut(marked.groupBy("key").agg(F.any_value("n_words").alias("n_words"), F.count("*").alias("held")))
+    bad = cut(hits.join(sizes, "key").where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select("key"))
+    total = sizes.agg(F.sum("held")).first()[0] or 0
+    key = f"key_{uuid.uuid4().hex}"  # so that no column of docs has the name
+    hot = cut(sizes.where(F.col("held") * HOT > total).select("key").join(bad.withColumn("bad", F.lit(True)), "key", "left").select(F.col("key").alias(key), F.col("bad").isNull().alias("clean")))
+    keyed = docs.withColumn(key, _text_key(F.col("text")))
+    stay = keyed.join(F.broadcast(hot.where("clean").select(key)), key, "left_semi")  # hot: fewer than HOT rows
+    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(bad.withColumnRenamed("key", key), key, "left_anti")
+    return stay.unionByName(rest).drop(key)

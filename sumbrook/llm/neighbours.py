@@ -108,7 +108,7 @@ def _nearest(probes: Broadcast, width: int, k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, a, b = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            ids, a, b = (batch.column(c).to_numpy() for c in (2, 3, 4))
             far = _squared(q, _matrix(batch.column(1), width))
             far[own_ids[:, None] == ids] = np.inf
             far, cell = np.hstack((held[0], far)), np.hstack((held[1], np.broadcast_to(a.astype(np.int64) << 32 | b, far.shape)))
@@ -124,9 +124,9 @@ def _nearest(probes: Broadcast, width: int, k: int):
 def enough(index: DataFrame, book: Codebook, counts: np.ndarray, k: int, recall: float = RECALL, measured: int = MEASURED) -> int:
     """How many vectors a query's cells must hold so that they hold the share `recall` of its k nearest ones."""
     width = book.first.shape[1] + book.second.shape[1]
-    rows = index.orderBy(F.xxhash64(F.lit("measured"), F.col("vec_id")), "vec_id").select("vec_id", "v").limit(measured).toPandas()
+    rows = index.orderBy(F.xxhash64(F.lit("measured"), F.col("vec_id")), "vec_id", "row").select("row", "v").limit(measured).toPandas()
     q = _matrix(rows.v, width)
-    probes = index.sparkSession.sparkContext.broadcast((rows.vec_id.to_numpy(), q))  # `measured` rows
+    probes = index.sparkSession.sparkContext.broadcast((rows.row.to_numpy(), q))  # `measured` rows
     near = index.mapInArrow(_nearest(probes, width, k), "probe int, far double, a int, b int")
     best = near.withColumn("place", F.row_number().over(W.partitionBy("probe").orderBy("far", "a", "b"))).where(F.col("place") <= k).toPandas()  # k rows a probe
     if not len(best):
@@ -145,9 +145,8 @@ def enough(index: DataFrame, book: Codebook, counts: np.ndarray, k: int, recall:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int = CENTROIDS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest by Euclidean distance among the other rows found.
 
-    The dimension is the commonest one; vectors of another take no part. Equal distances go by the smaller vec_id. Each
-    vec_id should be unique: rows with the query's own id are not candidates for it, and repeated candidates come
-    back repeated. An empty table, or one without usable queries, gives no rows.
+    The dimension is the commonest one; vectors of another take no part. Equal distances go by the smaller vec_id. A repeated
+    vec_id is several rows: each is a query of its own, with ranks of its own, and a candidate for the others. An empty table, or one without usable queries, gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -168,9 +167,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int =
         for batch in batches:
             if batch.num_rows:
                 a, b = held.value.cells(_matrix(batch.column(1), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["vec_id", "v", "a", "b"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["vec_id", "v", "row", "a", "b"])
 
-    index = cut(fine.mapInArrow(encode, "vec_id long, v array<double>, a int, b int"))
+    index = cut(fine.withColumn("row", F.monotonically_increasing_id()).mapInArrow(encode, "vec_id long, v array<double>, row long, a int, b int"))
     counts = np.zeros((len(book.first), max(1, len(book.second))), np.int64)
     for r in index.groupBy("a", "b").count().toLocalIterator():  # a row for each cell at most: centroids_ squared
         counts[r.a, r.b] = r["count"]
@@ -181,16 +180,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int =
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), _matrix(batch.column(1), width) if batch.num_rows else []
-            for query, q in zip(ids, rows, strict=True):
+            rows, ids, vectors_ = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(2), width) if batch.num_rows else []
+            for row, query, q in zip(rows, ids, vectors_, strict=True):
                 seen = np.zeros((groups, cells), bool)
                 for a, b in held.value.visit(q, counted.value, want):
                     seen[a // GROUP, a % GROUP * counts_width + b] = True
                 at = np.flatnonzero(seen.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array([query] * len(at), pa.int64()), pa.array([q] * len(at), pa.list_(pa.float64())), pa.array(at, pa.int32()), pa.array([np.packbits(seen[g]).tobytes() for g in at], pa.binary())], ["query_id", "q", "g", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array([query] * len(at), pa.int64()), pa.array([q] * len(at), pa.list_(pa.float64())), pa.array(at, pa.int32()), pa.array([np.packbits(seen[g]).tobytes() for g in at], pa.binary())], ["own", "query_id", "q", "g", "cells"])
 
     counts_width = counts.shape[1]
-    asked = cut(fine.where(is_query).repartition(max(8, spark.sparkContext.defaultParallelism), "vec_id").mapInArrow(visit, "query_id long, q array<double>, g int, cells binary"))
+    queries = index.where(is_query).select("row", "vec_id", "v").repartition(max(8, spark.sparkContext.defaultParallelism), "row")
+    asked = cut(queries.mapInArrow(visit, "own long, query_id long, q array<double>, g int, cells binary"))
     rows_of = {r.g: r["count"] for r in index.groupBy(F.floor(F.col("a") / GROUP).cast("int").alias("g")).count().collect()}
     asked_of = {r.g: r["count"] for r in asked.groupBy("g").count().collect()}
     row_parts, query_parts = [-(-rows_of.get(g, 0) // BLOCK_ROWS) or 1 for g in range(groups)], [-(-asked_of.get(g, 0) // QUERY_ROWS) or 1 for g in range(groups)]
@@ -201,24 +201,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids_: int =
     def spread(values: list[int]) -> Column:
         return F.explode(F.sequence(F.lit(0), of(values) - 1))
 
-    left = index.withColumn("g", F.floor(F.col("a") / GROUP).cast("int")).withColumn("x", F.pmod(F.xxhash64("vec_id"), of(row_parts)).cast("int")).withColumn("y", spread(query_parts))
-    right = asked.withColumn("y", F.pmod(F.xxhash64("query_id"), of(query_parts)).cast("int")).withColumn("x", spread(row_parts))
+    left = index.withColumn("g", F.floor(F.col("a") / GROUP).cast("int")).withColumn("x", F.pmod(F.xxhash64("row"), of(row_parts)).cast("int")).withColumn("y", spread(query_parts))
+    right = asked.withColumn("y", F.pmod(F.xxhash64("own"), of(query_parts)).cast("int")).withColumn("x", spread(row_parts))
 
     def rerank(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, int, float]] = []
         if len(rows) and len(queries):
-            rows = rows.sort_values("vec_id", kind="stable")
-            x, ids = _matrix(rows.v, width), rows.vec_id.to_numpy()
+            rows = rows.sort_values(["vec_id", "row"], kind="stable")
+            x, ids, own = _matrix(rows.v, width), rows.vec_id.to_numpy(), rows.row.to_numpy()
             cell = (rows.a.to_numpy() % GROUP) * counts_width + rows.b.to_numpy()
-            for query, q, seen in zip(queries.query_id, queries.q, queries.cells, strict=True):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8), count=cells)[cell].astype(bool) & (ids != query))
+            for row, query, q, seen in zip(queries.own, queries.query_id, queries.q, queries.cells, strict=True):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8), count=cells)[cell].astype(bool) & (own != row))
                 if len(at):
                     gap = x[at] - q
                     far = np.sqrt((gap * gap).sum(1))
                     best = np.argsort(far, kind="stable")[:k]
-                    out += zip([query] * len(best), ids[at[best]], far[best], strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out += zip([row] * len(best), [query] * len(best), own[at[best]], ids[at[best]], far[best], strict=True)
+        return pd.DataFrame(out, columns=["own", "query_id", "row", "vec_id", "score"]).astype({"own": "int64", "query_id": "int64", "row": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("g", "x", "y").cogroup(right.groupBy("g", "x", "y")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
+    found = left.groupBy("g", "x", "y").cogroup(right.groupBy("g", "x", "y")).applyInPandas(rerank, "own long, query_id long, row long, vec_id long, score double")
+    place = F.row_number().over(W.partitionBy("own").orderBy("score", "vec_id", "row")).cast("int")
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

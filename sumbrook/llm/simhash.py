@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, join_hot, slices, small_batches, texts
 from .components import components
@@ -109,18 +110,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return join_hot(marked, placed.select("fp", "held", F.col("chosen.doc_id").alias("component_id")), "fp", "held", marked.count()).select("doc_id", "fp", "component_id")
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark has a hash for values of this type: maps and variants have none."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each component, unchanged.
 
     It is the one of the smallest doc_id; without an id a row comes last. Different texts with that id are told apart by
-    their hashes, of which the smallest stays, and then by their other columns; of rows that are wholly equal one stays.
+    their hashes, of which the smallest stays, and then by their other columns but those that hold a map or a variant at any depth; of
+    rows that are equal in all this one stays.
     Columns may have any names. An empty table gives no rows.
     """
     mark = uuid.uuid4().hex  # so that no column of docs has the name
     key = [f"none_{mark}", f"id_{mark}", f"first_{mark}", f"second_{mark}", f"rest_{mark}"]
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rest = F.xxhash64(F.lit("rest"), *(F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.typeName() == "map"))
+    rest = F.xxhash64(F.lit("rest"), *(F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)))
     own = dict(zip(key, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit("second"), text), rest), strict=True))
     marked = cut(simhash(docs.select(*(c.alias(k) for k, c in own.items()), F.col("text").cast("binary").alias("text"))))
     chosen = _placed(marked, key).select("chosen.*").distinct()
-    return docs.withColumns(own).dropDuplicates(key).join(chosen, key, "left_semi").select(*docs.columns)
+    return docs.withColumns(own).dropDuplicates(key).join(chosen, key, "left_semi").drop(*key)

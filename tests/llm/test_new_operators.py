@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sumbrook.llm import common, negatives, queries, secrets, variants
+from sumbrook.llm import common, decontaminate, negatives, neighbours, queries, secrets, simhash, variants
 
 from .test_operators import ODD, SCHEMA
 
@@ -252,3 +252,29 @@ def test_secrets_of_odd_rows(spark, odd, none, ledger):
 def test_native_plans_have_no_python(spark, odd, ledger):
     plan = secrets.scan(odd, ledger, ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- rows that used to go wrong
+
+
+def test_repeated_query_rows_have_ranks_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += [rows[100], rows[100], rows[7]]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert Counter(r.query_id for r in got) == {0: 10, 100: 30, 200: 10}
+    for query in (0, 100, 200):
+        own = next(i for i, r in enumerate(rows) if r[0] == query)
+        want = sorted((float(np.linalg.norm(np.array(v) - rows[own][1])), i) for at, (i, v) in enumerate(rows) if at != own)[:10]
+        mine = sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])
+        times = 3 if query == 100 else 1
+        assert [r.vec_id for r in mine] == [i for _, i in want for _ in range(times)] and [r["rank"] for r in mine] == [n for n in range(1, 11) for _ in range(times)]
+
+
+def test_stages_take_columns_of_any_name_and_type(spark, sf_dir):
+    rows = [(1, "a b c d e", "x", ({"k": 1}, 2), [{"m": 2}]), (1, "a b c d e", "y", ({"k": 1}, 2), [{"m": 2}]), (2, None, None, None, None), (3, None, "z", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad string, s struct<m:map<string,int>,n:int>, a array<map<string,int>>").withColumnsRenamed({"a": "key.of"})
+    clean = decontaminate.keep_clean(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3]
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == [1, 2]

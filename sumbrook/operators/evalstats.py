@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SAMPLES, SEED, ALPHA = 10_000, 20260927, 0.05
+#: Cases of a block of the bootstrap, about.
+BLOCK_CASES = 8192
 REL, ABS = 1e-9, 1e-6
 
 
@@ -56,18 +61,53 @@ def case_differences(observations: DataFrame, a: str, b: str, value: str) -> Dat
     return observations.groupBy("case_id").agg((mean(b) - mean(a)).alias("diff")).where("diff is not null")
 
 
-def bootstrap(differences: DataFrame, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """mean, low, high, n of the mean difference over cases: resampled with a hash as the source of chance.
+def _drawn(ends: list[int], sample: int, block: int, seed: int) -> int:
+    """How many of a sample's draws fall on a block: the draws part at each node of a binary tree over the blocks, from the root down.
 
-    Every sample draws n of the n cases; the draws are rows that meet the numbered cases by their number, so neither the
-    cases nor the samples are gathered in one place: only one mean for each sample is.
+    ends: 0 and the running sums of the blocks' cases.
+
+    A node's chance is its own, so every block finds the same numbers without asking, and they add up to the number of cases.
+    """
+    low, high, draws = 0, len(ends) - 1, ends[-1]
+    while high - low > 1 and draws:
+        middle = (low + high) // 2
+        left, all_ = ends[middle] - ends[low], ends[high] - ends[low]
+        taken = int(np.random.default_rng((seed, sample, low, high)).binomial(draws, left / all_)) if all_ else 0
+        low, high, draws = (low, middle, taken) if block < middle else (middle, high, draws - taken)
+    return draws
+
+
+def _resampled(ends: list[int], samples: int, seed: int):
+    """Each sample's sum over the cases of one block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        diffs = table.sort_by("case_id").column("diff").to_numpy()
+        sums = np.zeros(samples)
+        for sample in range(samples):
+            draws = _drawn(ends, sample, block, seed)
+            sums[sample] = diffs[np.random.default_rng((seed, sample, block)).integers(0, len(diffs), draws)].sum()
+        return pa.table({"sample": np.arange(samples), "sum": sums})
+
+    return run
+
+
+def bootstrap(differences: DataFrame, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA, block_cases: int = BLOCK_CASES) -> DataFrame:
+    """mean, low, high, n of the mean difference over cases (case_id, diff): n of the n cases are drawn for each sample.
+
+    Cases are dealt over blocks by a hash. A block finds by itself how many draws of a sample fall on it, draws among its own cases
+    and sends one sum a sample; so samples times blocks rows are shuffled, and cases are neither numbered nor multiplied. The
+    driver holds a number for each block. No cases give no row; case_id should be unique.
     """
-    numbered = differences.select(F.row_number().over(W.orderBy("case_id")).cast("long").alias("i"), "diff")
-    total = numbered.agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).where("n > 0")
-    each = differences.sparkSession.range(samples).crossJoin(F.broadcast(total.select("n")))  # one row
-    draws = each.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "n")
-    drawn = draws.select("id", (F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.col("n")) + 1).alias("i")).join(numbered, "i")
-    means = drawn.groupBy("id").agg(F.avg("diff").alias("m")).agg(F.sort_array(F.collect_list("m")).alias("means"))  # as many numbers as samples
+    total = differences.agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).where("n > 0")
+    found = total.first()
+    blocks = -(-found.n // block_cases) if found else 1
+    dealt = differences.select("case_id", F.col("diff").cast("double").alias("diff"), F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int").alias("block"))
+    held = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
+    ends = [0, *accumulate(held.get(b, 0) for b in range(blocks))]
+    # few bytes but much work: without a number of its own a block would share its task with all others
+    sums = dealt.repartition(2 * blocks, "block").groupBy("block").applyInArrow(_resampled(ends, samples, seed), "sample long, sum double")
+    means = sums.groupBy("sample").agg((F.sum("sum") / F.lit(max(1, ends[-1]))).alias("m")).agg(F.sort_array(F.collect_list("m")).alias("means"))  # as many numbers as samples
     pick = lambda i: F.element_at("means", i + 1)
     low, high = pick(int(samples * alpha / 2)), pick(min(samples - 1, int(samples * (1 - alpha / 2))))
     return total.crossJoin(F.broadcast(means)).select("mean", low.alias("low"), high.alias("high"), "n")  # one row each

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -67,24 +67,29 @@ def medians(df: DataFrame, columns: dict[str, Column], sizes: dict[str, tuple[in
             del open_[key]
         if not open_:
             break
-        few, many = {k: r for k, r in open_.items() if r.held <= FEW}, {k: r for k, r in open_.items() if r.held > FEW}
-        parts, keys = [], list(open_)
-        for i, key in enumerate(keys):
-            r, c = open_[key], columns[key[0]].cast("double")
+        same: dict[tuple[str, float, float], list[tuple[str, int]]] = {}
+        for key, r in open_.items():
+            same.setdefault((key[0], r.low, r.high), []).append(key)  # the middle two mostly go together
+        parts = []
+        for i, keys in enumerate(same.values()):
+            r, c = open_[keys[0]], columns[keys[0][0]].cast("double")
             v = F.least(F.greatest(c, F.lit(-_LARGEST)), F.lit(_LARGEST))
             fit = c.isNotNull() & ~F.isnan(c) & v.between(r.low, r.high)
-            parts.append(F.when(fit, F.struct(F.lit(i).alias("i"), (F.lit(-1) if key in few else _bin(v, r)).alias("bin"), (v if key in few else F.lit(None).cast("double")).alias("only"), v.alias("v"))))
+            few = r.held <= FEW
+            parts.append(F.when(fit, F.struct(F.lit(i).alias("i"), (F.lit(-1) if few else _bin(v, r)).alias("bin"), (v if few else F.lit(None).cast("double")).alias("only"), v.alias("v"))))
         rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).select("p.*")
         counted: dict[int, list] = {}
         for x in rows.groupBy("i", "bin", "only").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
             counted.setdefault(x.i, []).append(x)
-        for i, key in enumerate(keys):
-            rank = open_[key].rank
-            for x in sorted(counted[i], key=lambda x: x.low):
-                if rank < x.n:
-                    open_[key] = replace(open_[key], low=x.low, high=x.high, rank=rank, held=x.n)
-                    break
-                rank -= x.n
+        for i, keys in enumerate(same.values()):
+            ranges = sorted(counted[i], key=lambda x: x.low)
+            for key in keys:
+                rank = open_[key].rank
+                for x in ranges:
+                    if rank < x.n:
+                        open_[key] = _Range(x.low, x.high, rank, x.n)
+                        break
+                    rank -= x.n
     infinite = {name: (low, high) for name, (n, low, high) in sizes.items() if n}
 
     def told(name: str, rank: int) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ METRICS = [
     ("success_rate", r"успешност|success|доля успешн|процент успешн"),
     ("transaction_count", r"количеств|числ\w* (операц|транзакц)|операц|транзакц"),
 ]
+# fixed values: words of a question, and parts of a column's name that they stand for
+SYNONYMS = [
+    (r"выруч|доход|продаж|оборот|revenue|sales", r"revenue|sales|amount|income|turnover|выруч|продаж|доход"),
+    (r"заказ|orders?", r"order|заказ"),
+    (r"количеств|штук|quantity|qty", r"quantity|qty|units|количеств"),
+    (r"затрат|расход|cost|expense", r"cost|expense|затрат|расход"),
+    (r"прибыл|profit|margin", r"profit|margin|прибыл"),
+]
 PERIOD = r"\b(?:в|за|на|для|по)\s+(?:январ|феврал|март|апрел|ма[йяе]\b|июн|июл|август|сентябр|октябр|ноябр|декабр)|\b20\d\d-\d\d\b"
 FILTER_SENSITIVE = ("metric_change", "extreme_period", "top_category")
 
@@ -36,12 +46,36 @@ def _first(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(text.rlike("(?U)" + p), name) for name, p in patterns))
 
 
+def matched(text: Column) -> Column:
+    """The first intent whose pattern the normal text fits, else unsupported."""
+    return F.coalesce(_first(text, INTENTS), F.lit("unsupported"))
+
+
+def settled(found: Column, text: Column) -> Column:
+    """A matched intent, but unsupported if the text asks for a period that answers can't be cut to."""
+    return F.when(found.isin(*FILTER_SENSITIVE) & text.rlike("(?U)" + PERIOD), "unsupported").otherwise(found)
+
+
 def intent(question: Column) -> Column:
     """The intent; unsupported if nothing fits, or if the question asks for a period that answers can't be cut to."""
     text = normal(question)
-    found = F.coalesce(_first(text, INTENTS), F.lit("unsupported"))
-    return F.when(found.isin(*FILTER_SENSITIVE) & text.rlike("(?U)" + PERIOD), "unsupported").otherwise(found)
+    return settled(matched(text), text)
 
 
-def metric_of(question: Column) -> Column:
-    return _first(normal(question), METRICS)
+def metric_of(question: Column, available: list[str] | None = None, normalised: bool = False) -> Column:
+    """The metric that a question names, if it is among `available` (any, if not given): a named one, else the sum whose column the
+    question names itself or by a synonym; null if there is none."""
+    text = question if normalised else normal(question)
+    if available is None:
+        return _first(text, METRICS)
+    named = [(m, p) for m, p in METRICS if m in available]
+    sums = []
+    for m in (m for m in available if m.startswith("sum:")):
+        column = m.removeprefix("sum:").casefold()
+        said = text.contains(column) | text.contains(column.replace("_", " "))
+        for word, part in SYNONYMS:
+            if re.search(part, column):
+                said |= text.rlike("(?U)" + word)
+        sums.append(F.when(said, m))
+    found = ([_first(text, named)] if named else []) + sums
+    return F.coalesce(*found) if found else F.lit(None).cast("string")

@@ -88,6 +88,13 @@ class Shared:
                 real = F.when(mine, value.cast("double")).otherwise(real)
         return parts.withColumns({"real": real, "whole": whole})
 
+    def table(self) -> DataFrame:
+        """step, is_total, key (its group columns as text, in order), value (a double), rows_used: all groups and totals of the plan, in one lazy result."""
+        parts = self._valued(self.parts())
+        keys = [F.when(F.col("of") == i, F.array(*(F.col(f"k{self.keys.index(g)}").cast("string") for g in q.group_by)).cast("array<string>")) for i, q in enumerate(self.queries)]
+        told = parts.where(F.col("part").isin(GROUP, TOTAL)).withColumn("is_total", (F.col("part") == TOTAL).cast("int"))
+        return told.select(F.col("of").alias("step"), "is_total", F.when(F.col("part") == GROUP, F.coalesce(*keys)).alias("key"), F.coalesce("real", F.col("whole").cast("double")).alias("value"), "rows_used")
+
     def collect(self) -> list[MetricResult | AnalyticsError]:
         """Each query's result, in order; one with over `most` groups has an error in its place."""
         from .query import Group, MetricResult, format_key

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .functions import formatting, parsing, pii
 
 from .kinds import Kind
-from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, verify
+from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, usage, verify
 from .plans import questions, records
-from .plans.query import MetricQuery, key_text, month_totals
+from .plans.answers import Source, evidence
+from .plans.query import MetricQuery, exact_sum, key_text, month_totals
+from .plans.shared import Shared
+from .plans.steps import Step
 from .plans.summary import summarise
 from .streaming.metrics import windowed_metric
 
@@ -445,12 +448,12 @@ def _metadata_search(s: SparkSession, d: str) -> DataFrame:
 
 def _observations(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select(
-        F.when(F.col("l_linenumber") % 2 == 1, "A").otherwise("B").alias("arm"), F.ceil(F.col("l_linenumber") / 2).cast("int").alias("repeat"), (F.col("l_orderkey") % 40).alias("case_id"), F.col("l_returnflag").alias("group"),
+        F.when(F.col("l_linenumber") % 2 == 1, "A").otherwise("B").alias("arm"), F.ceil(F.col("l_linenumber") / 2).cast("int").alias("repeat"), F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("group"),
         (F.col("l_quantity") > 20).alias("ok"), F.col("l_quantity").alias("latency"), F.col("l_linestatus").alias("signature"),
     )
 
 
-OBSERVATIONS = "(SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'A' ELSE 'B' END AS arm, CAST(ceil(l_linenumber / 2.0) AS INTEGER) AS repeat, l_orderkey % 40 AS case_id, l_returnflag AS \"group\", l_quantity > 20 AS ok, l_quantity AS latency, l_linestatus AS signature FROM lineitem)"
+OBSERVATIONS = "(SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'A' ELSE 'B' END AS arm, CAST(ceil(l_linenumber / 2.0) AS INTEGER) AS repeat, l_orderkey AS case_id, l_returnflag AS \"group\", l_quantity > 20 AS ok, l_quantity AS latency, l_linestatus AS signature FROM lineitem)"
 
 
 @query("eval_compare_arms", f"""
@@ -492,7 +495,7 @@ def _eval_bootstrap(s: SparkSession, d: str) -> DataFrame:
     return evalstats.bootstrap(diffs).withColumn("verdict", evalstats.verdict(F.col("mean"), F.col("low"), F.col("high"), False))
 
 
-@query("eval_case_differences", f"SELECT case_id, round(avg(latency) FILTER (arm = 'B') - avg(latency) FILTER (arm = 'A'), 6) AS diff FROM {OBSERVATIONS} GROUP BY 1")
+@query("eval_case_differences", f"SELECT case_id, round(avg(latency) FILTER (arm = 'B') - avg(latency) FILTER (arm = 'A'), 6) AS diff FROM {OBSERVATIONS} GROUP BY 1 HAVING diff IS NOT NULL")
 def _eval_diffs(s: SparkSession, d: str) -> DataFrame:
     return evalstats.case_differences(_observations(s, d), "A", "B", "latency").withColumn("diff", F.round("diff", 6))
 
@@ -509,6 +512,16 @@ def _eval_signature(s: SparkSession, d: str) -> DataFrame:
     return s.range(1).select(evalstats.signature(F.lit("m"), *arrays).alias("signature"))
 
 
+@query("usage_between_resets", """
+    WITH e AS (SELECT *, event_type = 'error' AS is_error, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM events)
+    SELECT user_id, segment, count(*) FILTER (NOT is_error) AS calls, CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (NOT is_error), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(length(props)) FILTER (NOT is_error), 0) AS BIGINT) AS output_tokens,
+           CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (NOT is_error), 0) + coalesce(sum(length(props)) FILTER (NOT is_error), 0) AS BIGINT) AS total_tokens, bool_or(is_error) AS is_reset
+    FROM e GROUP BY user_id, segment""")
+def _usage(s: SparkSession, d: str) -> DataFrame:
+    """Events as model calls of users, whose counters an error resets."""
+    return usage.spent(table(s, d, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", F.floor("value"), F.length("props"))
+
+
 # --- context, arms, redaction
 
 
@@ -633,6 +646,61 @@ def _personal(s: SparkSession, d: str) -> DataFrame:
     return profile.quality_issues(stats, personal=["c_name"]).where("issue = 'possible_personal_data'")
 
 
+# --- plans that share a scan, and questions
+
+
+PLAN = [("sum:o_totalprice", ["month"], None), ("ratio:o_totalprice/o_custkey", ["o_orderpriority", "o_orderstatus"], {"o_orderstatus": ["O", "F", "X"]}), ("rate:open_price/o_totalprice", [], None), ("sum:o_custkey", ["o_orderpriority"], {"o_orderpriority": "1-URGENT"})]
+
+
+@query("plan_together", f"""
+    WITH o AS (SELECT * FROM {ORDERS}), f AS (SELECT * FROM o WHERE o_orderstatus IN ('O', 'F')), u AS (SELECT * FROM o WHERE o_orderpriority = '1-URGENT'),
+    rows_ AS (
+        SELECT 0 AS step, strftime(month, '%Y-%m-%d %H:%M:%S') AS key, {EXACT.format('o_totalprice')} AS value, count(*) AS rows_used FROM o GROUP BY month
+        UNION ALL SELECT 1, o_orderpriority || '|' || o_orderstatus, {_ratio('o_totalprice', 'o_custkey')}, count(*) FROM f GROUP BY o_orderpriority, o_orderstatus
+        UNION ALL SELECT 3, o_orderpriority, CAST(sum(o_custkey) AS DOUBLE), count(*) FROM u GROUP BY o_orderpriority)
+    SELECT step, 0 AS is_total, key, value, rows_used FROM rows_
+    UNION ALL SELECT 0, 1, NULL, {EXACT.format('o_totalprice')}, count(*) FROM o UNION ALL SELECT 1, 1, NULL, {_ratio('o_totalprice', 'o_custkey')}, count(*) FROM f
+    UNION ALL SELECT 2, 1, NULL, {_ratio('open_price', 'o_totalprice', ' * 100')}, count(*) FROM o UNION ALL SELECT 3, 1, NULL, CAST(sum(o_custkey) AS DOUBLE), count(*) FROM u""")
+def _plan_together(s: SparkSession, d: str) -> DataFrame:
+    orders = _orders(s, d)
+    return Shared([MetricQuery.build(orders, *step) for step in PLAN], 200).table().withColumn("key", F.array_join("key", "|"))
+
+
+@query("sum_edges", """
+    SELECT l_returnflag, l_linestatus, CASE WHEN isinf(s) THEN CASE WHEN s > 0 THEN 'inf' ELSE '-inf' END WHEN isnan(s) THEN 'nan' ELSE 'finite' END AS kind, CASE WHEN isfinite(s) THEN CAST(f AS DOUBLE) END AS value
+    FROM (SELECT l_returnflag, l_linestatus, sum(v) AS s, sum(CAST(CASE WHEN isfinite(v) THEN v END AS DECIMAL(28,6))) AS f FROM (
+        SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'A' AND l_orderkey % 97 = 1 THEN 'inf'::DOUBLE WHEN l_returnflag = 'R' AND l_orderkey % 97 = 2 THEN '-inf'::DOUBLE WHEN l_returnflag = 'R' AND l_orderkey % 97 = 3 THEN 'inf'::DOUBLE ELSE CAST(l_extendedprice AS DOUBLE) END AS v FROM lineitem) GROUP BY 1, 2)""")
+def _sum_edges(s: SparkSession, d: str) -> DataFrame:
+    """Prices of which some are infinite: sums of one sign stay infinite, of both are no number."""
+    k, flag = F.col("l_orderkey") % 97, F.col("l_returnflag")
+    v = F.when((flag == "A") & (k == 1) | (flag == "R") & (k == 3), F.lit(float("inf"))).when((flag == "R") & (k == 2), F.lit(float("-inf"))).otherwise(F.col("l_extendedprice").cast("double"))
+    marked = table(s, d, "lineitem").withColumn("v", v)
+    sums = marked.groupBy("l_returnflag", "l_linestatus").agg(exact_sum(F.col("v"), marked.schema["v"].dataType).alias("s"))
+    kind = F.when(F.isnan("s"), "nan").when(F.col("s") == float("inf"), "inf").when(F.col("s") == float("-inf"), "-inf").otherwise("finite")
+    return sums.select("l_returnflag", "l_linestatus", kind.alias("kind"), F.when(kind == "finite", F.col("s")).alias("value"))
+
+
+@query("question_evidence", f"""
+    WITH m AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS t, {EXACT.format('o_totalprice')} AS v FROM orders GROUP BY 1),
+    p AS (SELECT o_orderpriority AS k, {EXACT.format('o_totalprice')} AS v, row_number() OVER (ORDER BY {EXACT.format('o_totalprice')} DESC) AS i FROM orders GROUP BY 1),
+    steps AS (SELECT t, v, v - lag(v) OVER (ORDER BY t) AS step, lag(t) OVER (ORDER BY t) || ' → ' || t AS pair FROM m),
+    ends AS (SELECT min(t) AS a, max(t) AS b, arg_min(v, t) AS va, arg_max(v, t) AS vb FROM m),
+    facts(intent, fact, value, "of") AS (
+        SELECT 'extreme_period', 'max', max(v), arg_max(t, v) FROM m UNION ALL SELECT 'extreme_period', 'min', min(v), arg_min(t, v) FROM m
+        UNION ALL SELECT 'metric_change', 'first', va, a FROM ends UNION ALL SELECT 'metric_change', 'last', vb, b FROM ends
+        UNION ALL SELECT 'metric_change', 'change', vb - va, a || ' → ' || b FROM ends UNION ALL SELECT 'metric_change', 'change_pct', (vb - va) / va * 100, a || ' → ' || b FROM ends
+        UNION ALL SELECT 'metric_change', 'drop', min(step), arg_min(pair, step) FROM steps UNION ALL SELECT 'metric_change', 'rise', max(step), arg_max(pair, step) FROM steps
+        UNION ALL SELECT 'top_category', 'cat' || i || '_value', v, k FROM p UNION ALL SELECT 'top_category', 'cat' || i || '_share', v / (SELECT {EXACT.format('o_totalprice')} FROM orders) * 100, k FROM p)
+    SELECT c_custkey AS question_id, intent, 'sum:revenue' AS metric, fact, round(value, 4) AS value, "of" FROM customer JOIN facts ON intent = CASE c_custkey % 5 WHEN 0 THEN 'extreme_period' WHEN 1 THEN 'metric_change' WHEN 2 THEN 'top_category' END""")
+def _question_evidence(s: SparkSession, d: str) -> DataFrame:
+    """Each customer asks one of five questions, of which two need no numbers."""
+    said = ["В каком месяце была максимальная выручка?", "Как изменилась выручка?", "Какой канал принёс больше всего выручки?", "Что такое выручка?", "Спасибо!"]
+    asked = table(s, d, "customer").select(F.col("c_custkey").alias("question_id"), F.element_at(F.array(*map(F.lit, said)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("question"))
+    data = _orders(s, d).select("month", "o_orderpriority", F.col("o_totalprice").alias("revenue"))
+    found = evidence(asked, Source(data, summarise(data), (Step("sum:revenue", ("month",)), Step("sum:revenue", ("o_orderpriority",)))))
+    return found.withColumn("value", F.round("value", 4))
+
+
 # --- an addition
 
 

@@ -30,6 +30,8 @@ SAMPLE = 16_384
 BLOCK_ROWS = (256, 8192)
 BLOCKS = 64
 BLOCK_ANCHORS = 512
+#: Tasks that score pairs of blocks, at most.
+MOST_TASKS = 1 << 14
 LEAF = 128
 #: Levels of the space partition, and of its top, at most: 1024 leaves, 64 top nodes.
 LEVELS = 10
@@ -349,6 +351,9 @@ def search(index: Index, requests: DataFrame, anchors: int, same: bool, k: int)
     pairs = cut(left.groupBy("top", "held_top").cogroup(right.groupBy("asked_top", "top")).applyInArrow(_meeting(same), "asks int, block int"))
     asking = seeded.withColumnRenamed("block", "asks").join(pairs, "asks").select("asks", "block", "request", "row", "label", "v", "low", "high", "floor")
     holding = held.join(pairs, "block").select("asks", "block", "row", "vec_id", "label", "v")
+    # few bytes but much work: the number of pairs decides how many tasks there are
+    tasks = min(MOST_TASKS, max(1, pairs.count()))
+    asking, holding = (side.repartition(tasks, "asks", "block") for side in (asking, holding))
     found = asking.groupBy("asks", "block").cogroup(holding.groupBy("asks", "block")).applyInArrow(_found(width, same, k), "request long, score long, vec_id long, found long")
     place = F.row_number().over(W.partitionBy("request").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "found")).cast("int")
     return found.withColumn("place", place).where(F.col("place") <= k)

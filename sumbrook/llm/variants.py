@@ -35,6 +35,8 @@ HELD_WORDS = 200_000
 #: Posting rows of a bucket, and buckets at most.
 BUCKET_ROWS = 8_192
 BUCKETS = 1 << 16
+#: Buckets of a task, about: few bytes but much work, so their number and not their size decides.
+BUCKETS_A_TASK = 4
 #: A bucket of over so many times the mean is split into blocks.
 UNEVEN = 4
 
@@ -265,7 +267,7 @@ def near_words(words: DataFrame) -> DataFrame:
     spread = posted.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # large: BUCKETS / UNEVEN rows at most
     dealt = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     home = F.pmod(F.xxhash64("word"), F.col("blocks")) == F.col("block")
-    return dealt.select("bucket", "block", "word", "n", "place", home.alias("home")).groupBy("bucket", "block").applyInArrow(_near(held), "word string, near string, near_n long")
+    return dealt.select("bucket", "block", "word", "n", "place", home.alias("home")).repartition(max(1, buckets // BUCKETS_A_TASK), "bucket", "block").groupBy("bucket", "block").applyInArrow(_near(held), "word string, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Merkle audit of archives of WARC records.
 
-A record's leaf covers its range of offsets in its file and hashes its slot with its length and digest. Slots are the
-reference's: a replica's record takes the slot of the reference's record of the same page and occurrence, so bytes that
-were added or lost don't change the leaves after them; where the replica holds a record is compared apart, as `moved`.
-Leaves in order of slots are joined FAN at a time into the next level, up to one root a file. Two replicas are compared
-at the roots; only children of nodes that differ are read further down, so equal files cost one row.
+Each replica builds two trees for each of its files, alone. The content tree's leaves are prefixes of the hash of a record's page and
+copy and hash the records' lengths and digests: bytes that were added or lost change no other leaf. The offset tree's leaves
+are ranges of the file and hash which records follow each other from which offset; it says where a replica holds a record, as
+`moved`. Two replicas are compared at the roots; only children of nodes that differ are read further down, so equal files cost one row.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from .common import buckets_for, cut, running
 FAN = 16
 #: Records that a file is meant to hold.
 RECORDS_PER_FILE = 4096
-_LEVELS = 16
+#: Levels above the leaves: a file has FAN ** LEVELS leaves of records, and a root for as many ranges of FAN records.
+LEVELS = 2
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -47,83 +47,67 @@ def archive(records_: DataFrame, files: int) -> DataFrame:
     return filed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "digest", "copy")
 
 
-def slotted(theirs: DataFrame, mine: DataFrame) -> DataFrame:
-    """theirs, an archive, with seq the slot in mine and at the record's offset there; own stays its offset in theirs.
+def _hash(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
-    Records whose page, or whose copy of it, mine lacks take the slots after a file's last one; their at is null.
-    """
-    slots = mine.select(F.col("file").alias("_file"), F.col("page_id").alias("_page"), F.col("copy").alias("_copy"), F.col("seq").alias("_seq"), F.col("offset").alias("at"))
-    met = theirs.withColumnRenamed("offset", "own").drop("seq").join(slots, [F.col("file") == F.col("_file"), F.col("page_id").eqNullSafe(F.col("_page")), F.col("copy") == F.col("_copy")], "left")
-    met = cut(met.select("file", F.col("_seq").alias("seq"), "own", "at", "length", "page_id", "digest", "copy"))
-    ends = mine.groupBy("file").agg((F.max("seq") + 1).alias("_end"))
-    more = met.where("seq is null").join(ends, "file", "left")
-    number = F.row_number().over(W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "copy")) - 1
-    more = more.withColumn("seq", (F.coalesce("_end", F.lit(0)) + number).cast("long")).drop("_end")
-    return cut(met.where("seq is not null").unionByName(more))
 
+def _grown(leaves: DataFrame) -> list[DataFrame]:
+    """The levels (file, node, hash) of a tree, from its leaves up: a node hashes its FAN children in order."""
+    levels = [cut(leaves)]
+    for _ in range(LEVELS):
+        above = F.floor(F.col("node") / FAN).cast("long")
+        up = levels[-1].groupBy("file", above.alias("above")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))  # FAN children at most
+        levels.append(cut(up.select("file", F.col("above").alias("node"), _hash(F.array_join(F.transform("c", lambda c: F.concat_ws(":", c.node.cast("string"), c.hash)), ",")).alias("hash"))))
+    return levels
 
-def _hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *parts), 256)
 
+def _leaf_of(archived: DataFrame) -> DataFrame:
+    """archived with its leaves: `leaf` by the hash of page and copy, `range` by the place in the file."""
+    leaf = F.pmod(F.xxhash64("page_id", "copy", F.lit("leaf")), F.lit(FAN**LEVELS)).cast("long")
+    return archived.withColumns({"leaf": leaf, "range": F.floor(F.col("seq") / FAN).cast("long")})
 
-def tree(placed: DataFrame) -> DataFrame:
-    """level, file, node, begin, end, hash of every node. Level 0 are the records; a file's root is on its highest level.
 
-    A slot may be empty: leaves hash their slot. begin and end are those of the archive that placed is of.
-    """
-    now = placed.select(F.lit(0).alias("level"), "file", F.col("seq").alias("node"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"), _hash(F.col("seq").cast("string"), F.col("length").cast("string"), F.col("digest")).alias("hash"))
-    every = now = cut(now)
-    for level in range(1, _LEVELS):
-        many = now.groupBy("file").count().where("count > 1").select("file")
-        if many.isEmpty():
-            break
-        child = F.struct("node", "begin", "end", "hash")
-        up = now.join(many, "file", "left_semi").groupBy("file", F.floor(F.col("node") / FAN).cast("long").alias("above")).agg(F.array_sort(F.collect_list(child)).alias("c"))  # FAN children at most
-        now = cut(up.select(F.lit(level).alias("level"), "file", F.col("above").alias("node"), F.array_min("c.begin").alias("begin"), F.array_max("c.end").alias("end"), _hash(F.array_join("c.hash", "")).alias("hash")))
-        every = every.unionByName(now)
-    return every
+def _leaves(placed: DataFrame, by: str, *said: str) -> DataFrame:
+    """A leaf hashes what is `said` of its records, in order."""
+    record = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in said))
+    order = F.struct("seq" if by == "range" else record, record.alias("record"))
+    return placed.groupBy("file", F.col(by).alias("node")).agg(_hash(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda r: r.record), "\n")).alias("hash"))
 
 
-def compare(one: DataFrame, other: DataFrame) -> DataFrame:
-    """file, seq, begin, end, state of the records that differ: changed, missing or added (from one's view of other).
+def content_tree(placed: DataFrame) -> list[DataFrame]:
+    """The tree of a file's records. A leaf is a prefix of the hash of page and copy, so records that were added or lost move no others."""
+    return _grown(_leaves(placed, "leaf", "page_id", "copy", "length", "digest"))
 
-    one and other are trees. A node that only one side has is followed down to its records.
-    """
-    def roots(t: DataFrame) -> DataFrame:
-        return t.groupBy("file").agg(F.max("level").alias("level"))
-
-    tops = roots(one).withColumnRenamed("level", "_l").join(roots(other).withColumnRenamed("level", "_r"), "file", "full")
-    top = cut(tops.select("file", F.greatest("_l", "_r").alias("top")))
-    highest = top.agg(F.max("top")).first()[0]
-    bad, found = None, None
-    for level in range(highest if highest is not None else -1, -1, -1):
-        # begin with every file whose trees' higher root is here, and with the children of what differed above
-        begun = top.where(F.col("top") == level).select("file")
-        both = _side(one, level, "l", begun, bad).join(_side(other, level, "r", begun, bad), ["file", "node"], "full")
-        found = cut(both.where("not (l_hash <=> r_hash)"))
-        bad = found.select("file", "node")
-    if found is None:
-        return one.select("file", F.col("node").alias("seq"), "begin", "end", F.lit("").alias("state")).limit(0)
-    state = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "added").otherwise("changed")
-    return found.select("file", F.col("node").alias("seq"), F.coalesce("l_begin", "r_begin").alias("begin"), F.coalesce("l_end", "r_end").alias("end"), state.alias("state"))
-
-
-def _side(t: DataFrame, level: int, mark: str, begun: DataFrame, bad: DataFrame | None) -> DataFrame:
-    """A tree's nodes of a level in the begun files or below the bad nodes; no others reach the comparison."""
-    nodes = t.where(F.col("level") == level)
-    read = nodes.join(begun, "file", "left_semi")
-    if bad is not None:
-        above = bad.select("file", F.col("node").alias("_above"))
-        read = read.unionByName(nodes.withColumn("_above", F.floor(F.col("node") / FAN)).join(above, ["file", "_above"], "left_semi").drop("_above"))
-    return read.select("file", "node", *(F.col(c).alias(f"{mark}_{c}") for c in ("begin", "end", "hash")))
+
+def offset_tree(placed: DataFrame) -> list[DataFrame]:
+    """The tree of a file's ordered offset ranges: a leaf says which records follow each other from where, whatever they hold."""
+    return _grown(_leaves(placed, "range", "offset", "length", "page_id", "copy"))
+
+
+def _below(level: DataFrame, bad: DataFrame) -> DataFrame:
+    """A level's nodes whose parents differ; no others reach the comparison."""
+    return level.withColumn("_above", F.floor(F.col("node") / FAN).cast("long")).join(bad.select("file", F.col("node").alias("_above")), ["file", "_above"], "left_semi").drop("_above")
+
+
+def compare(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
+    """file, node of the leaves that differ or that one tree lacks. The roots are joined; each further level only below nodes that differ."""
+    bad = None
+    for l, r in zip(reversed(one), reversed(other), strict=True):
+        if bad is not None:
+            l, r = _below(l, bad), _below(r, bad)
+        both = l.withColumnRenamed("hash", "l_hash").join(r.withColumnRenamed("hash", "r_hash"), ["file", "node"], "full")
+        bad = cut(both.where("not (l_hash <=> r_hash)").select("file", "node"))
+        if bad.isEmpty():
+            break
+    return bad
 
 
 def _matched(left: DataFrame, right: DataFrame) -> DataFrame:
-    """file, seq, page_id, offset, length, digest, state, moved of the differing records of left (an archive) and right (a slotted one).
+    """file, seq, page_id, offset, length, digest, state, moved of the records of left and right, both from leaves that differ.
 
     Copies of a page are in order of digest, so one that changed shifts others: equal records are matched first, then what is left of each page.
     """
-    sides = [left.select("file", "page_id", "digest", "seq", F.struct("seq", "offset", "length", "digest").alias("l")), right.select("file", "page_id", "digest", "seq", F.struct("seq", F.col("own").alias("offset"), "length", "digest").alias("r"))]
+    sides = [left.select("file", "page_id", "digest", "seq", F.struct("seq", "offset", "length", "digest").alias("l")), right.select("file", "page_id", "digest", "seq", F.struct("seq", "offset", "length", "digest").alias("r"))]
 
     def join(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
         order = W.partitionBy(*keys).orderBy("digest", "seq")
@@ -145,12 +129,22 @@ def audit(pages: DataFrame, replica: DataFrame, files: int | None = None) -> Dat
 
     replica has the columns of pages. Records that only the replica has are `added`, with its offset, length and digest,
     and a seq after the file's last. moved tells that the replica holds the record at another offset, whatever its
-    state. Repeated pages are records of their own; a null page_id sorts first. Empty tables give no rows.
+    state. Repeated pages are records of their own; a null page_id sorts first. Empty tables give no rows. Of equal replicas
+    only roots are compared: each side builds its trees alone, and records meet only below leaves that differ.
     """
     files = files or max(1, -(-pages.count() // RECORDS_PER_FILE))
-    mine = cut(archive(records(pages), files))
-    theirs = slotted(cut(archive(records(replica), files)), mine)
-    differ = cut(compare(tree(mine), tree(theirs.withColumnRenamed("own", "offset"))).select("file", "seq"))
-    found = _matched(mine.join(differ, ["file", "seq"], "left_semi"), theirs.join(differ, ["file", "seq"], "left_semi"))
-    equal = theirs.join(differ, ["file", "seq"], "left_anti")  # leaves with equal hashes are equal to mine
-    return equal.select("page_id", "file", "seq", F.col("at").alias("offset"), "length", "digest", F.lit("same").alias("state"), (F.col("at") != F.col("own")).alias("moved")).unionByName(found)
+    mine, theirs = (cut(_leaf_of(archive(records(side), files))) for side in (pages, replica))
+    content = compare(content_tree(mine), content_tree(theirs)).withColumnRenamed("node", "leaf")
+    places = compare(offset_tree(mine), offset_tree(theirs)).withColumnRenamed("node", "range")
+    differ = lambda side: side.join(content, ["file", "leaf"], "left_semi")
+    found = cut(_matched(differ(mine), differ(theirs)))
+    ends = mine.groupBy("file").agg((F.max("seq") + 1).alias("_end"))
+    added = found.where("state = 'added'").withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest", "seq")) - 1)
+    added = added.join(ends, "file", "left").withColumn("seq", (F.coalesce("_end", F.lit(0)) + F.col("_n")).cast("long")).drop("_n", "_end")
+    equal = mine.join(content, ["file", "leaf"], "left_anti")
+    still = equal.join(places, ["file", "range"], "left_anti").withColumn("moved", F.lit(False))
+    there = theirs.join(places, ["file", "range"], "left_semi").select(F.col("file").alias("_file"), F.col("page_id").alias("_page"), F.col("copy").alias("_copy"), F.col("offset").alias("_offset"))
+    same = [F.col("file") == F.col("_file"), F.col("page_id").eqNullSafe(F.col("_page")), F.col("copy") == F.col("_copy")]
+    shifted = equal.join(places, ["file", "range"], "left_semi").join(there, same, "left").withColumn("moved", F.coalesce(F.col("offset") != F.col("_offset"), F.lit(False)))
+    told = [d.select("page_id", "file", "seq", "offset", "length", "digest", F.lit("same").alias("state"), "moved") for d in (still, shifted)]
+    return told[0].unionByName(told[1]).unionByName(found.where("state <> 'added'")).unionByName(added)

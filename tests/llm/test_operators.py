@@ -377,14 +377,28 @@ def test_fixity_of_a_page_that_fills_files(spark, monkeypatch):
     assert [(r.page_id, r.state) for r in fixity.audit(one, changed).collect() if r.state != "same"] == [(9, "changed")]
 
 
-def test_fixity_reads_only_children_of_what_differs(spark):
+def test_fixity_reads_only_children_of_what_differs(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(400)], "page_id long, url string, html string")
     replica = pages.withColumn("html", F.when(F.col("page_id") == 123, F.lit("other")).otherwise(F.col("html")))
-    mine = fixity.cut(fixity.archive(fixity.records(pages), 1))
-    trees = [fixity.tree(mine), fixity.tree(fixity.slotted(fixity.cut(fixity.archive(fixity.records(replica), 1)), mine).withColumnRenamed("own", "offset"))]
-    assert [tuple(r)[:2] for r in fixity.compare(*trees).collect()] == [(0, 123)]
-    none = trees[0].limit(0).select("file")
-    assert fixity._side(trees[0], 0, "l", none, spark.createDataFrame([(0, 123 // 16)], "file long, node long")).count() == 16
+    mine, theirs = (fixity.cut(fixity._leaf_of(fixity.archive(fixity.records(side), 1))) for side in (pages, replica))
+    trees = [fixity.content_tree(side) for side in (mine, theirs)]
+    assert [t.count() for t in trees[0]] == [mine.select("leaf").distinct().count(), 16, 1]
+    read, below = [], fixity._below
+    monkeypatch.setattr(fixity, "_below", lambda level, bad: read.append(below(level, bad).count()) or below(level, bad))
+    assert [r.node for r in fixity.compare(*trees).collect()] == [mine.where("page_id = 123").first().leaf]
+    assert len(read) == 4 and max(read) <= 16
+    del read[:]
+    assert fixity.compare(trees[0], trees[0]).count() == 0 and fixity.compare(fixity.offset_tree(mine), fixity.offset_tree(mine)).count() == 0
+    assert read == []  # of equal replicas only roots are joined
+
+
+def test_fixity_moves_no_leaf_for_lost_records(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(400)], "page_id long, url string, html string")
+    mine, theirs = (fixity.cut(fixity._leaf_of(fixity.archive(fixity.records(side), 1))) for side in (pages, pages.where("page_id not in (5, 6)")))
+    lost = {r.leaf for r in mine.where("page_id in (5, 6)").collect()}
+    assert {r.node for r in fixity.compare(fixity.content_tree(mine), fixity.content_tree(theirs)).collect()} == lost
+    got = fixity.audit(pages, pages.where("page_id not in (5, 6)"), 1).collect()
+    assert {r.page_id for r in got if r.moved} == set(range(7, 400)) and {r.page_id for r in got if r.state != "same"} == {5, 6}
 
 
 def test_fixity_of_damaged_copies(spark):

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import formatting, parsing, pii
-
+from .functions import formatting, parsing, phrases, pii
 from .kinds import Kind
 from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, usage, verify
 from .plans import questions, records
@@ -344,10 +343,16 @@ def _scoped(s: SparkSession, d: str) -> DataFrame:
     return retrieval.search(table(s, d, "embeddings"), _first_vector(s, d), 5, F.col("label") == 3, key="vec_id").select("vec_id", "score", "relevant")
 
 
-@query("column_resolution", "SELECT * FROM (VALUES ('c_mktsegment', 0.45, true, true, 'ambiguous'), ('c_name', 0.41, false, true, 'ambiguous')) v(column_name, score, exact, relevant, status)")
+@query("column_resolution", """
+    WITH c AS (SELECT n_name AS column_name, (lower(r_name) = 'asia') AS exact, round(CASE WHEN lower(r_name) = 'asia' THEN least(1.0, n_nationkey / 100.0 + 0.15) ELSE n_nationkey / 100.0 END, 4) AS score FROM nation JOIN region ON n_regionkey = r_regionkey),
+    m AS (SELECT *, exact OR score >= 0.2 AS relevant FROM c), b AS (SELECT *, max(score) FILTER (relevant) OVER () AS best FROM m), k AS (SELECT *, relevant AND best - score < 0.06 AS close FROM b)
+    SELECT column_name, CAST(score AS DOUBLE) AS score, exact, relevant, CASE WHEN best IS NULL THEN 'not_found' WHEN count(*) FILTER (close) OVER () > 1 THEN 'ambiguous' ELSE 'confident' END AS status FROM k
+    WHERE close OR best IS NULL ORDER BY score DESC, column_name LIMIT 3""")
 def _resolution(s: SparkSession, d: str) -> DataFrame:
-    rows = [("c_mktsegment", ["Market segment"], 0.30), ("c_name", ["customer"], 0.41), ("c_acctbal", ["balance"], 0.12)]
-    return retrieval.resolve(s.createDataFrame(rows, "column_name string, aliases array<string>, score double"), "market  SEGMENT!")
+    """Nations as columns that their region is another name of."""
+    regions = table(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    columns = table(s, d, "nation").join(regions, "n_regionkey").select(F.col("n_name").alias("column_name"), F.array("r_name").alias("aliases"), (F.col("n_nationkey") / 100.0).alias("score"))
+    return retrieval.resolve(columns, " Asia!")
 
 
 @query("content_ids", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents")
@@ -425,6 +430,16 @@ def _verify_trend(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", verify.trend_violation(said, F.when(k == 0, -1.0).when(k == 2, 1.0)).alias("rule"))
 
 
+@query("masked_phrases", """
+    SELECT doc_id, CAST(len(regexp_extract_all(text, p)) AS BIGINT) AS found, sha256(regexp_replace(text, p, ' ', 'g')) AS masked_sha256
+    FROM documents, (SELECT string_agg(phrase, '|' ORDER BY length(phrase) DESC, phrase) AS p FROM (SELECT DISTINCT regexp_extract(text, '[A-Za-z]+ [A-Za-z]+', 0) AS phrase FROM benchmark WHERE text IS NOT NULL) WHERE phrase <> '')""")
+def _masked_phrases(s: SparkSession, d: str) -> DataFrame:
+    """The documents without the first two words that stand together in each benchmark text."""
+    listed = table(s, d, "benchmark").select(F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0).alias("phrase"))
+    found = phrases.mask_phrases(table(s, d, "documents"), listed, "doc_id")
+    return found.select("doc_id", F.when(F.col("masked").isNotNull(), F.col("found")).alias("found"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 @query("question_intents", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'cause_question' WHEN 1 THEN 'top_category' WHEN 2 THEN 'metric_definition' WHEN 3 THEN 'metric_change' WHEN 4 THEN 'unsupported' ELSE 'unsupported' END AS intent, CASE o_orderkey % 6 WHEN 2 THEN 'success_rate' WHEN 3 THEN 'transaction_volume' WHEN 4 THEN 'transaction_volume' END AS metric FROM orders")
 def _intents(s: SparkSession, d: str) -> DataFrame:
     asked = F.element_at(F.array(*map(F.lit, ["Почему упала выручка?", "Какой канал лидирует?", "Что такое Success Rate?", "Как изменился объём?", "Как изменился  ОБОРОТ в марте?", "Привет!"])), (F.col("o_orderkey") % 6 + 1).cast("int"))
@@ -478,10 +493,14 @@ def _eval_paired(s: SparkSession, d: str) -> DataFrame:
     return evalstats.paired(_observations(s, d), "A", "B", "ok").drop("p_value")
 
 
-@query("eval_sign_test", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0::DOUBLE), (2, 0, 0.5), (1, 3, 0.625), (3, 3, 1.0), (10, 1, 0.01171875)) v(only_a, only_b, p)")
+@query("eval_sign_test", """
+    WITH o AS (SELECT l_suppkey AS case_id, count(*) FILTER (l_returnflag = 'A') AS only_a, count(*) FILTER (l_returnflag = 'R') AS only_b FROM lineitem GROUP BY 1)
+    SELECT case_id, only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM range(0, least(only_a, only_b) + 1) t(i))) END, 7) AS p FROM o""")
 def _eval_sign(s: SparkSession, d: str) -> DataFrame:
-    pairs = s.createDataFrame([(0, 0), (2, 0), (1, 3), (3, 3), (10, 1)], "only_a long, only_b long")
-    return pairs.withColumn("p", F.round(evalstats.sign_test(F.col("only_a"), F.col("only_b")), 10))
+    """Each supplier's returned and accepted lines as discordant pairs."""
+    count = lambda flag: F.count_if(F.col("l_returnflag") == flag)
+    pairs = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("case_id")).agg(count("A").alias("only_a"), count("R").alias("only_b"))
+    return pairs.withColumn("p", F.round(evalstats.sign_test(F.col("only_a"), F.col("only_b")), 7))
 
 
 @query("eval_agreement", f"WITH c AS (SELECT case_id, signature, count(*) AS n FROM {OBSERVATIONS} GROUP BY 1, 2) SELECT case_id, max(n) / CAST(sum(n) AS DOUBLE) AS agreement, count(*) AS structures FROM c GROUP BY 1")
@@ -506,10 +525,17 @@ def _eval_numeric(s: SparkSession, d: str) -> DataFrame:
     return evalstats.numeric_score(g, g.withColumn("value", F.when(F.col("key") == "5-LOW", F.col("value") + 0.5).otherwise(F.col("value"))))
 
 
-@query("eval_signature", "SELECT '{\"metric\":\"m\",\"columns\":[\"a\",\"b\"],\"group_by\":[\"t\",\"c\"],\"filters\":[\"x\",\"y\"]}' AS signature")
+@query("eval_signature", """
+    SELECT signature, count(*) AS plans FROM (
+        SELECT '{"metric":"sum:' || l_returnflag || '","columns":["' || array_to_string(list_sort([l_linestatus, l_returnflag, 'q' || CAST(l_linenumber AS VARCHAR)]), '","') || '"],"group_by":["' || l_linestatus || '","' || l_returnflag
+            || '"],"filters":["' || array_to_string(list_sort([strftime(l_shipdate, '%Y'), CAST(CAST(l_quantity AS BIGINT) % 4 AS VARCHAR)]), '","') || '"]}' AS signature FROM lineitem) GROUP BY 1""")
 def _eval_signature(s: SparkSession, d: str) -> DataFrame:
-    arrays = [F.array(*map(F.lit, x)) for x in (["b", "a"], ["t", "c"], ["y", "x"])]
-    return s.range(1).select(evalstats.signature(F.lit("m"), *arrays).alias("signature"))
+    """Lines as plans, whose columns and filters come in any order."""
+    text_ = lambda c: F.col(c).cast("string")
+    columns = F.array(F.concat(F.lit("q"), text_("l_linenumber")), "l_linestatus", "l_returnflag")
+    filters = F.array((F.col("l_quantity").cast("long") % 4).cast("string"), F.date_format("l_shipdate", "yyyy"))
+    plans = table(s, d, "lineitem").select(evalstats.signature(F.concat(F.lit("sum:"), "l_returnflag"), columns, F.array("l_linestatus", "l_returnflag"), filters).alias("signature"))
+    return plans.groupBy("signature").agg(F.count("*").alias("plans"))
 
 
 @query("usage_between_resets", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import formatting, parsing, phrases, pii
 from .kinds import Kind
-from .operators import charts, context, evalstats, facts, profile, redact, retrieval, text, usage, verify
+from .operators import charts, context, evalstats, facts, profile, redact, retrieval, search_many, text, usage, verify
 from .plans import questions, records
 from .plans.answers import Source, evidence
 from .plans.query import MetricQuery, exact_sum, key_text, month_totals
@@ -343,6 +343,19 @@ def _scoped(s: SparkSession, d: str) -> DataFrame:
     return retrieval.search(table(s, d, "embeddings"), _first_vector(s, d), 5, F.col("label") == 3, key="vec_id").select("vec_id", "score", "relevant")
 
 
+@query("vector_search_many", """
+    WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS scope, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query, e.scope, e.vec_id AS key, round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)), 4) AS score FROM e q JOIN e ON q.vec_id % 20 = 0 AND (q.vec_id % 40 = 0 OR q.scope = e.scope)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, scope ORDER BY score DESC, key) AS INTEGER) AS rank FROM s)
+    SELECT query, scope, rank, key, score, score >= 0.2 AS relevant FROM r WHERE rank <= 3""")
+def _search_many(s: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector as a query: half of them in all scopes, half in that of their own label."""
+    e = table(s, d, "embeddings")
+    index = search_many.with_norms(e, "vec_id", scope=F.col("label"))
+    asked = search_many.with_norms(e.where("vec_id % 20 = 0"), "vec_id", scope=F.when(F.col("vec_id") % 40 != 0, F.col("label")))
+    return search_many.search_many(index, asked)
+
+
 @query("column_resolution", """
     WITH c AS (SELECT n_name AS column_name, (lower(r_name) = 'asia') AS exact, round(CASE WHEN lower(r_name) = 'asia' THEN least(1.0, n_nationkey / 100.0 + 0.15) ELSE n_nationkey / 100.0 END, 4) AS score FROM nation JOIN region ON n_regionkey = r_regionkey),
     m AS (SELECT *, exact OR score >= 0.2 AS relevant FROM c), b AS (SELECT *, max(score) FILTER (relevant) OVER () AS best FROM m), k AS (SELECT *, relevant AND best - score < 0.06 AS close FROM b)

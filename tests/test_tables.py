@@ -54,6 +54,36 @@ def test_workbook(spark, tmp_path):
     assert list(sheets((tmp_path / "w.xlsx").read_bytes())) == ["One"]
 
 
+def _workbook(path, sheets):
+    """A workbook of sheets (name, rows of texts), texts shared."""
+    texts = list(dict.fromkeys(c for _, rows in sheets for row in rows for c in row if c is not None))
+    cells = lambda r, row: "".join(f'<c r="{chr(65 + i)}{r}" t="s"><v>{texts.index(c)}</v></c>' for i, c in enumerate(row) if c is not None)
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="/xl/worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        book.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>")
+        for i, (_, rows) in enumerate(sheets):
+            book.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>" + "".join(f'<row r="{r}">{cells(r, row)}</row>' for r, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
+
+
+def test_workbooks_are_streamed_by_tasks(spark, tmp_path, monkeypatch):
+    from sumbrook.sources import xlsx
+
+    monkeypatch.setattr(xlsx, "BATCH_ROWS", 100)
+    many = [["id", "said"], *([str(i), f"text {i % 7}"] for i in range(1050))]
+    _workbook(tmp_path / "a.xlsx", [("One", many), ("Two", [["x"], ["1"], [None], ["3"]])])
+    _workbook(tmp_path / "b.xlsx", [("One", many[:1] + many[5:8]), ("Two", [["x"]])])
+    path = "file://" + str(tmp_path / "a.xlsx")
+    assert xlsx.sheet_names(spark, path) == ["One", "Two"]
+    assert [tuple(r) for r in xlsx.read_xlsx(spark, path).collect()] == [tuple(r) for r in many[1:]]
+    assert [r.x for r in tables.read_table(spark, path, "Two").collect()] == ["1", "3"]
+    both = xlsx.read_xlsx(spark, str(tmp_path), "One")
+    assert both.count() == 1053 and "bytes" not in both._jdf.queryExecution().toString()
+    with pytest.raises(CorruptFileError):
+        xlsx.read_xlsx(spark, path, "Three")
+
+
 def test_recognised_cells(spark):
     df, warnings = tables.from_cells(spark, ["a", "a", ""], [["1", "2"], ["3", "4", "5", "6"]])
     assert df.columns == ["a", "a_2", "Unnamed: 2"] and [tuple(r) for r in df.collect()] == [("1", "2", None), ("3", "4", "5")] and "2 rows" in warnings[0]

@@ -109,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one needed
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -35,3 +35,7 @@ class DatasetNotFoundError(SumbrookError):
 
 class WorkflowError(SumbrookError):
     code = "workflow"
+
+
+class StoreError(SumbrookError):
+    code = "store"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from .plans.query import MetricQuery, exact_sum, key_text, month_totals
 from .plans.shared import Shared
 from .plans.steps import Step
 from .plans.summary import summarise
+from .session import shared_dir
+from .sources.index import ChunkIndex
 from .streaming.metrics import windowed_metric
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,6 +688,21 @@ def _personal(s: SparkSession, d: str) -> DataFrame:
     return profile.quality_issues(stats, personal=["c_name"]).where("issue = 'possible_personal_data'")
 
 
+@query("index_upkeep", """
+    SELECT CAST(page_id AS VARCHAR) AS document_id, sha256(html) AS content_hash, CAST(ceil(length(html) / 1000.0) AS BIGINT) AS chunks
+    FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN html || '<p>second version</p>' ELSE html END AS html FROM pages WHERE html IS NOT NULL) WHERE page_id % 10 <> 1""")
+def _index_upkeep(s: SparkSession, d: str) -> DataFrame:
+    """The pages are indexed, then a second version of them in which every tenth has changed; then every tenth is deleted."""
+    pages = table(s, d, "pages").where("html is not null").select(F.col("page_id").cast("string").alias("document_id"), F.col("html").alias("text"))
+    every = F.col("document_id").cast("long") % 10
+    cut = lambda docs: docs.select("document_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1000).cast("int"))).alias("chunk_index"), "text").withColumn("text", F.expr("substring(text, chunk_index * 1000 + 1, 1000)"))
+    index = ChunkIndex(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}", cut)
+    index.upsert(pages)
+    index.upsert(pages.withColumn("text", F.when(every == 0, F.concat("text", F.lit("<p>second version</p>"))).otherwise(F.col("text"))))
+    index.delete(pages.where(every == 1))
+    return index.documents().select("document_id", "content_hash").join(index.chunks().groupBy("document_id").agg(F.count("*").alias("chunks")), "document_id")
+
+
 # --- plans that share a scan, and questions
 
 

@@ -284,7 +284,7 @@ def whole_vectors(vectors: DataFrame, times: int = 256) -> DataFrame:
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     width = sizes[0].d if sizes else 0
     most = min(isqrt((1 << 61) // max(1, width)), (1 << 31) - 1)
-    fitting = F.forall("embedding", lambda x: F.abs(F.floor(x.cast("double") * times)) <= most)
+    fitting = F.forall("embedding", lambda x: F.floor(x.cast("double") * times).between(-most, most))
     return rows.where(F.size("embedding") == width).where(fitting).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.cast("array<int>").alias("v"))
 
 

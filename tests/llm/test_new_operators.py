@@ -150,7 +150,7 @@ def test_negatives_equal_all_scores(spark, block_rows, monkeypatch):
 
 def test_rows_that_take_no_part(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(100, [1.0, 0.5], 1), (1, [0.9, 0.5], 1), (2, [0.5, 0.25], 2), (3, None, 2), (4, [1.0, None], 2), (5, [nan, 1.0], 2), (6, [inf, 1.0], 2), (7, [0.5, 0.2], None), (8, [0.5], 2), (9, [3e38, 1.0], 2), (10, [], 2)]
+    rows = [(100, [1.0, 0.5], 1), (1, [0.9, 0.5], 1), (2, [0.5, 0.25], 2), (3, None, 2), (4, [1.0, None], 2), (5, [nan, 1.0], 2), (6, [inf, 1.0], 2), (7, [0.5, 0.2], None), (8, [0.5], 2), (9, [3e38, 1.0], 2), (10, [], 2), (11, [-3e38, 1.0], 2)]
     found = negatives.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, [230, 128]), (2, 2, [128, 64]), (100, 1, [256, 128])]
     got = negatives.mine(found, F.col("vec_id") % 100 == 0).collect()

@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 SAMPLES, SEED, ALPHA = 10_000, 20260927, 0.05
 #: Cases of a block of the bootstrap, about.

@@ -23,7 +23,8 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 256
 SLOTS_PER_SHARD = 4096
-WORDS = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
+WORDS = WORD + "+"
 #: Slots made by one row before the next split, and documents for which a task makes slots.
 _STEP = 1 << 16
 ROWS_PER_TASK = 10_000
@@ -170,23 +171,52 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
     return every.join(sources.select("_key", "source_size", "target"), "_key").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of docs, each none, once or twice, so that every source's words meet its target to half a document.
+def _reach(docs: DataFrame, sources: DataFrame, rows: int, seed: int) -> DataFrame:
+    """_key, source_size, target in documents of each source that is taken: how many draws of its index permutation meet its target in words.
 
-    A row is copied as often as the target holds its whole source. The words that are then left go to the front of the
-    source's rows in a pseudorandom order: those that lie in them by half or more come once more. Rows count one by one:
-    neither a null nor a repeated doc_id ties them together. Texts without words, null ones among them, are never
-    taken. Columns may have any names. No documents give no rows.
+    docs: `rows` rows of _key, _index, _words. A whole pass has every document. The one that is cut short goes as far as documents lie by half or more in the words left.
+    """
+    goal = F.round("target").cast("long")
+    goals = sources.select("_key", F.floor(goal / F.col("source_size")).cast("long").alias("_whole"), (goal % F.col("source_size")).alias("_left"))
+    held = goals.join(docs.groupBy("_key").agg(F.count("*").alias("_held")), "_key")
+    # the permutation of _slots for the same pass: a place in the pass and the document that it draws
+    drawn = docs.select("_key", F.col("_index").alias("_place")).join(held, "_key").select("_key", "_place", permuted(F.col("_place"), F.col("_held"), F.col("_key"), F.col("_whole"), F.lit(seed)).alias("_index"))
+    passed = drawn.hint("merge").join(docs, ["_key", "_index"])  # both sides grow with the documents
+    wide = isqrt(rows) + 1
+    reached = running(passed, ["_key"], F.floor(F.col("_place") / wide), [F.col("_place")], F.col("_words"), "_start", rows // wide + 1)
+    more = reached.join(goals, "_key").where(2 * F.col("_start") + F.col("_words") <= 2 * F.col("_left")).groupBy("_key").agg(F.count("*").alias("_more"))
+    return held.join(more, "_key", "left").select("_key", F.col("_held").alias("source_size"), (F.col("_whole") * F.col("_held") + F.coalesce("_more", F.lit(0))).alias("target"))
+
+
+def mixed_slots(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """shard, position and the columns of docs, as c0, c1 and so on, of each slot of a mix of whole documents.
+
+    The operator's own draw over blocks of one document: the shards' draws number the slots of a source, and its index permutation maps the
+    numbers to documents. Every source's words meet its target to half a document; see `mixed_documents`.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     own, (doc_id, source, text) = docs.toDF(*names), (F.col(names[[c.lower() for c in docs.columns].index(c)]) for c in ("doc_id", "source", "text"))
     turn = F.xxhash64(F.lit(seed), doc_id.cast("string"), source.cast("string"), text)
-    sized = own.withColumn("_words", F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")).where("_words > 0")
-    sized = cut(sized.withColumn("_key", source_key(source)).withColumn("_turn", turn))
-    sources = cut(targets(sized.select("_key", source.cast("string").alias("source"), F.col("_words").alias("size"))))
-    goal = F.round("target").cast("long")
-    goals = sources.select("_key", F.floor(goal / F.col("source_size")).cast("int").alias("_whole"), (goal % F.col("source_size")).alias("_left"))
-    placed = running(sized, ["_key"], F.col("_turn"), [F.col("_turn"), doc_id], F.col("_words"), "_start", buckets_for(sized.count()))
-    more = F.when(2 * F.col("_start") + F.col("_words") <= 2 * F.col("_left"), 1).otherwise(0)
-    drawn = placed.join(goals, "_key").withColumn("_times", F.col("_whole") + more).where("_times > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    sized = own.where(text.rlike(WORD)).withColumns({"_words": F.regexp_count(text, F.lit(WORDS)).cast("long"), "_key": source_key(source), "_turn": turn, "_row": F.monotonically_increasing_id()})
+    sized = cut(sized)  # a row's number is fixed here; texts travel once, when all is drawn
+    rows = sized.count()
+    narrow = sized.select("_row", "_key", "_words", "_turn", doc_id.alias("_doc"))
+    listed = cut(running(narrow, ["_key"], F.col("_turn"), [F.col("_turn"), F.col("_doc")], F.lit(1), "_index", buckets_for(rows)).select("_row", "_key", "_words", "_index"))
+    sources, parts = cut(targets(sized.select("_key", source.cast("string").alias("source"), F.col("_words").alias("size")))), max(1, rows // ROWS_PER_TASK)
+    wants = cut(wanted(_reach(listed, sources, rows, seed), 1))
+    drawn = cut(draw(wants, seed, parts))
+    slots = _slots(wants, drawn, 1, seed, parts).select("_key", F.col("block").alias("_index"), "shard", "position")
+    dealt = slots.hint("merge").join(listed.select("_key", "_index", "_row"), ["_key", "_index"])  # both sides grow with the documents
+    return dealt.select("_row", "shard", "position").hint("merge").join(sized, "_row").select("shard", "position", *names)
+
+
+def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows of docs, each none, once or twice, so that every source's words meet its target to half a document: those of `mixed_slots`.
+
+    A row is copied as often as the target holds its whole source, and once more if the source's index permutation draws it before the words
+    that are then left are used up. The rows of an output shard lie in one partition, in the order of their positions. Rows count one by one:
+    neither a null nor a repeated doc_id ties them together. Texts without words, null ones among them, are never taken. Columns may have any
+    names. No documents give no rows.
+    """
+    dealt = mixed_slots(docs, seed)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "position").drop("shard", "position").toDF(*docs.columns)

@@ -545,6 +545,36 @@ def test_mixed_documents_meet_each_target(spark):
     assert all(abs(kept[s] - t) <= longest[s] / 2 + 1 for s, t in plain_targets(size).items())
 
 
+def test_mixed_documents_are_drawn_by_slots(spark, monkeypatch):
+    """Documents of a pass that is cut short are those that the source's index permutation draws; shards hold their draws, in order."""
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 64)
+    draw = random.Random(7)
+    rows = [(i, "w " * draw.randint(5, 60), f"s{i % 3}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    slots, size, times, shards = mixing.mixed_slots(df).collect(), Counter(), Counter(), defaultdict(list)
+    for r in slots:
+        times[r.c0] += 1
+        shards[r.shard].append(r.position)
+    assert [len(shards[s]) for s in sorted(shards)] == [min(64, len(slots) - 64 * s) for s in range(-(-len(slots) // 64))] and all(sorted(p) == list(range(len(p))) for p in shards.values())
+    for i, text, source, _ in rows:
+        size[source] += len(text.split())
+    chain = lambda i, text, source: xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(source.encode(), xxhash.xxh64_intdigest(str(i).encode(), xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))))
+    for source, target in plain_targets(size).items():
+        turns = [(simhash._signed(chain(i, t, s)), i, len(t.split())) for i, t, s, _ in rows if s == source]
+        stream = [(i, n) for _, _, i, n in sorted((t % 2048, t, i, n) for t, i, n in turns)]
+        whole, left = divmod(round(target), size[source])
+        places = spark.range(100).select(mixing.permuted(F.col("id"), F.lit(100).cast("long"), F.lit("=" + source), F.lit(whole).cast("long"), F.lit(1)).alias("p"), "id").orderBy("id").collect()
+        want, start = Counter({i: whole for i, _ in stream}), 0
+        for r in places:
+            i, n = stream[r.p]
+            want[i] += 2 * start + n <= 2 * left
+            start += n
+        assert {i: times[i] for i, _ in stream} == dict(want)
+    ordered = [[x.doc_id for x in part] for part in mixing.mixed_documents(df).rdd.glom().collect()]
+    said = [[r.c0 for r in sorted((r for r in slots if r.shard == s), key=lambda r: r.position)] for s in sorted(shards)]
+    assert all(any(part[a : a + len(x)] == x for part in ordered for a in range(len(part))) for x in said)
+
+
 # --- decontamination
 
 

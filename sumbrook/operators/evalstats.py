@@ -10,9 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SAMPLES, SEED, ALPHA = 10_000, 20260927, 0.05
-#: Cases of a block of the bootstrap, about.
+#: Cases of a block of the bootstrap, about; and distinct values of a block of those that are drawn with their counts.
 BLOCK_CASES = 8192
+BLOCK_VALUES = 512
+#: A difference that so many cases share is drawn once for all of them: a binomial draw costs about as much as so many cases' draws.
+REPEATS = 16
+#: Tasks that the blocks are dealt over, at most.
+BLOCK_TASKS = 1024
 REL, ABS = 1e-9, 1e-6
 
 
@@ -60,32 +67,46 @@ def case_differences(observations: DataFrame, a: str, b: str, value: str) -> Dat
     return observations.groupBy("case_id").agg((mean(b) - mean(a)).alias("diff")).where("diff is not null")
 
 
-def _drawn(ends: list[int], sample: int, block: int, seed: int) -> int:
-    """How many of a sample's draws fall on a block: the draws part at each node of a binary tree over the blocks, from the root down.
+def _draws(ends: list[int], samples: int, block: int, seed: int) -> np.ndarray:
+    """How many of each sample's draws fall on a block: the draws part at each node of a binary tree over the blocks, from the root down.
 
     ends: 0 and the running sums of the blocks' cases.
 
-    A node's chance is its own, so every block finds the same numbers without asking, and they add up to the number of cases.
+    A node draws for all samples in their order from a stream of its own, so every block finds the same numbers without asking, and a
+    sample's add up to the number of cases.
     """
-    low, high, draws = 0, len(ends) - 1, ends[-1]
-    while high - low > 1 and draws:
+    low, high, draws = 0, len(ends) - 1, np.full(samples, ends[-1], np.int64)
+    while high - low > 1:
         middle = (low + high) // 2
         left, all_ = ends[middle] - ends[low], ends[high] - ends[low]
-        taken = int(np.random.default_rng((seed, sample, low, high)).binomial(draws, left / all_)) if all_ else 0
+        taken = np.random.default_rng((seed, low, high)).binomial(draws, left / all_) if all_ else np.zeros(samples, np.int64)
         low, high, draws = (low, middle, taken) if block < middle else (middle, high, draws - taken)
     return draws
 
 
+def _drawn(ends: list[int], sample: int, block: int, seed: int) -> int:
+    """How many of one sample's draws fall on a block."""
+    return int(_draws(ends, sample + 1, block, seed)[sample])
+
+
 def _resampled(ends: list[int], samples: int, seed: int):
-    """Each sample's sum over the cases of one block."""
+    """Each sample's sum over the cases of one block: of single cases, or of values with their counts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        diffs = table.sort_by("case_id").column("diff").to_numpy()
-        sums = np.zeros(samples)
-        for sample in range(samples):
-            draws = _drawn(ends, sample, block, seed)
-            sums[sample] = diffs[np.random.default_rng((seed, sample, block)).integers(0, len(diffs), draws)].sum()
+        draws, sums = _draws(ends, samples, block, seed), np.zeros(samples)
+        if table.column("held")[0].as_py() is None:
+            diffs = table.sort_by("case_id").column("diff").to_numpy()
+            for sample in range(samples):
+                sums[sample] = diffs[np.random.default_rng((seed, sample, block)).integers(0, len(diffs), draws[sample])].sum()
+        else:
+            values = table.sort_by("diff")
+            diffs, held = values.column("diff").to_numpy(), values.column("held").to_numpy()
+            rng, left = np.random.default_rng((seed, block)), held.sum()
+            for value, n in zip(diffs, held, strict=True):  # value by value for all samples: a multinomial draw
+                taken = rng.binomial(draws, n / left)
+                sums += np.where(taken > 0, taken * value, 0.0)
+                draws, left = draws - taken, left - n
         return pa.table({"sample": np.arange(samples), "sum": sums})
 
     return run
@@ -94,18 +115,30 @@ def _resampled(ends: list[int], samples: int, seed: int):
 def bootstrap(differences: DataFrame, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA, block_cases: int = BLOCK_CASES) -> DataFrame:
     """mean, low, high, n of the mean difference over cases (case_id, diff): n of the n cases are drawn for each sample.
 
-    Cases are dealt over blocks by a hash. A block finds by itself how many draws of a sample fall on it, draws among its own cases
-    and sends one sum a sample; so samples times blocks rows are shuffled, and cases are neither numbered nor multiplied. The
-    driver holds a number for each block. No cases give no row; case_id should be unique.
+    A sample's sum needs no more than how often each value is drawn. Values that REPEATS cases or more share are drawn with their counts, by
+    a multinomial draw; the other cases one by one. Both are dealt over blocks by a hash. A block finds by itself how many draws of a
+    sample fall on it, draws among its own and sends one sum a sample; so samples times blocks rows are made, fewer are shuffled, and cases
+    are neither numbered nor multiplied. The driver holds a number for each block. The differences are made once. No cases give no row;
+    case_id should be unique.
     """
-    total = differences.agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).where("n > 0")
-    found = total.first()
-    blocks = -(-found.n // block_cases) if found else 1
-    dealt = differences.select("case_id", F.col("diff").cast("double").alias("diff"), F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int").alias("block"))
-    held = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
-    ends = [0, *accumulate(held.get(b, 0) for b in range(blocks))]
+    cases = cut(differences.select("case_id", F.col("diff").cast("double").alias("diff")))
+    total = cut(cases.agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).where("n > 0"))
+    often = cut(cases.groupBy("diff").agg(F.count("*").alias("held")).where(F.col("held") >= REPEATS))
+    found, shared = total.first(), often.agg(F.count("*").alias("values"), F.coalesce(F.sum("held"), F.lit(0)).alias("cases")).first()
+    single = found.n - shared.cases if found else 0
+    # single cases come in the first blocks, values in those after them
+    blocks = -(-single // block_cases) if single or not found else 0
+    more = -(-shared["values"] // BLOCK_VALUES)
+    rest = cases.join(often.select(F.col("diff")), cases["diff"].eqNullSafe(often["diff"]), "left_anti") if shared["values"] else cases
+    dealt = rest.select("case_id", "diff", F.lit(None).cast("long").alias("held"), F.pmod(F.xxhash64("case_id"), F.lit(max(1, blocks))).cast("int").alias("block"))
+    if more:
+        none = F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id")
+        valued = often.select(none, "diff", "held", (F.lit(blocks) + F.pmod(F.xxhash64("diff"), F.lit(more))).cast("int").alias("block"))
+        dealt = dealt.unionByName(valued) if blocks else valued
+    held = {r.block: r.n for r in dealt.groupBy("block").agg(F.sum(F.coalesce("held", F.lit(1))).alias("n")).collect()}
+    ends = [0, *accumulate(held.get(b, 0) for b in range(max(1, blocks + more)))]
     # few bytes but much work: without a number of its own a block would share its task with all others
-    sums = dealt.repartition(2 * blocks, "block").groupBy("block").applyInArrow(_resampled(ends, samples, seed), "sample long, sum double")
+    sums = dealt.repartition(min(2 * (blocks + more) or 1, BLOCK_TASKS), "block").groupBy("block").applyInArrow(_resampled(ends, samples, seed), "sample long, sum double")
     means = sums.groupBy("sample").agg((F.sum("sum") / F.lit(max(1, ends[-1]))).alias("m")).agg(F.sort_array(F.collect_list("m")).alias("means"))  # as many numbers as samples
     pick = lambda i: F.element_at("means", i + 1)
     low, high = pick(int(samples * alpha / 2)), pick(min(samples - 1, int(samples * (1 - alpha / 2))))

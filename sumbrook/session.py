@@ -2,8 +2,9 @@
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -25,3 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: what several steps read is made once."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -77,6 +77,22 @@ def test_bootstrap_from_blocks_equals_one_plain_pass(spark):
     assert evalstats.bootstrap(df.limit(0), samples).count() == 0
 
 
+def test_bootstrap_draws_shared_values_with_their_counts(spark, monkeypatch):
+    """However many cases share a value, no case is drawn alone; rare values beside them are, and the interval is that of plain draws."""
+    monkeypatch.setattr(evalstats, "BLOCK_VALUES", 4)
+    rng, seen = np.random.default_rng(3), []
+    plain = np.concatenate([np.repeat([-2.0, -1.0, 0.0, 0.5, 1.0, 3.0, 4.0], [200, 300, 16, 900, 400, 40, 15]), rng.normal(0, 1, 129)])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(plain)], "case_id long, diff double")
+    keep = evalstats._resampled
+    monkeypatch.setattr(evalstats, "_resampled", lambda ends, samples, seed: seen.append(ends) or keep(ends, samples, seed))
+    got = evalstats.bootstrap(df, 2000, 5, 0.1, 100).first()
+    assert seen[0][2] == 144 and seen[0][-1] == got.n == 2000 and len(seen[0]) == 5  # 129 cases and 15 of too rare a value, then six values
+    means = np.sort([rng.choice(plain, 2000).mean() for _ in range(4000)])
+    assert got.mean == pytest.approx(plain.mean()) and (got.low, got.high) == (pytest.approx(means[200], abs=0.008), pytest.approx(means[3800], abs=0.008))
+    same = evalstats.bootstrap(df.where("diff = 0.5"), 500).first()
+    assert (same.mean, same.low, same.high, same.n) == (0.5, 0.5, 0.5, 900)
+
+
 def test_draws_are_spread_as_the_blocks_are():
     sizes, samples = [10, 0, 70, 20], 3000
     drawn = np.array([[evalstats._drawn([0, *accumulate(sizes)], s, b, 1) for b in range(4)] for s in range(samples)])

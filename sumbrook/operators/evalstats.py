@@ -61,10 +61,19 @@ def sign_test(only_a: Column, only_b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * logs))
 
 
+def _case_means(observations: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """case_id, a, b: the case's mean in either arm, null without one."""
+    mean = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col(value).cast("double")))
+    return observations.groupBy("case_id").agg(mean(a).alias("a"), mean(b).alias("b"))
+
+
+def _differences(means: DataFrame) -> DataFrame:
+    return means.select("case_id", (F.col("b") - F.col("a")).alias("diff")).where("diff is not null")
+
+
 def case_differences(observations: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """case_id, diff: the case's mean in arm b less that in arm a."""
-    mean = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col(value).cast("double")))
-    return observations.groupBy("case_id").agg((mean(b) - mean(a)).alias("diff")).where("diff is not null")
+    return _differences(_case_means(observations, a, b, value))
 
 
 def _draws(ends: list[int], samples: int, block: int, seed: int) -> np.ndarray:
@@ -150,9 +159,9 @@ def compare_arms(observations: DataFrame, a: str, b: str, value: str, higher_is_
 
     Cases that only one arm has are left out of the difference; no common case gives no row.
     """
-    means = observations.where(F.col("arm").isin(a, b)).groupBy("arm", "case_id").agg(F.avg(F.col(value).cast("double")).alias("m")).where("m is not null")
-    sides = means.agg(*(F.round(F.avg(F.when(F.col("arm") == arm, F.col("m"))), 4).alias(name) for arm, name in ((a, "mean_a"), (b, "mean_b"))))
-    found = bootstrap(case_differences(observations, a, b, value)).crossJoin(F.broadcast(sides))  # one row each
+    means = cut(_case_means(observations.where(F.col("arm").isin(a, b)), a, b, value))
+    sides = means.agg(F.round(F.avg("a"), 4).alias("mean_a"), F.round(F.avg("b"), 4).alias("mean_b"))
+    found = bootstrap(_differences(means)).crossJoin(F.broadcast(sides))  # one row each
     told = verdict(F.col("mean"), F.col("low"), F.col("high"), higher_is_better)
     return found.select(F.col("n").alias("cases"), "mean_a", "mean_b", F.round("mean", 4).alias("difference"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), told.alias("verdict"))
 

@@ -77,6 +77,19 @@ def test_arms_are_compared_with_a_verdict(spark):
     assert compare_arms(df.where("case_id > 90"), "A", "B", "latency").count() == 0
 
 
+def test_arms_are_compared_from_one_pass(spark):
+    rows, seen = [(arm, c, float(c % 7 + (arm == "B"))) for arm in "AB" for c in range(50)], spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "arm string, case_id long, latency double")
+    got = compare_arms(df.mapInArrow(counted, df.schema), "A", "B", "latency").first()
+    assert (got.cases, got.difference, seen.value) == (50, 1.0, len(rows))
+
+
 def test_sums_equal_fsum(spark):
     draw = random.Random(3)
     cases = [[1e-7] * 10, [0.1] * 10, [1e22, 1.0, -1e22], [1e23, 2.5], [1e-12 * draw.random() for _ in range(50)], [draw.choice([1, -1]) * 10 ** draw.uniform(-12, 22) for _ in range(200)], [-0.3, 0.1, 0.2], [-1e-9, 2**53 + 2.0]]

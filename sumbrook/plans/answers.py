@@ -17,6 +17,7 @@ from ..functions.formatting import format_metric
 from ..kinds import Kind
 from ..operators.context import event_sentences
 from ..operators.facts import category_facts, notable, time_facts
+from ..session import cut
 from . import questions as asked
 from .metrics import metric as definition
 from .query import MAX_GROUPS, MetricQuery
@@ -69,7 +70,8 @@ def _routes(source: Source) -> list[tuple]:
 
 def route(questions: DataFrame, source: Source) -> DataFrame:
     """question_id, intent, shape, metrics (named or shown), clarification of each question (question_id, question)."""
-    text = questions.select("question_id", asked.normal(F.coalesce("question", F.lit(""))).alias("text"))
+    # few bytes but much work: one file's questions would share a task
+    text = questions.select("question_id", "question").repartition("question_id", "question").select("question_id", asked.normal(F.coalesce("question", F.lit(""))).alias("text"))
     # each step names what the next one uses more than once, so that no pattern is tried twice
     read = text.select("question_id", "text", asked.matched(F.col("text")).alias("found"), asked.metric_of(F.col("text"), source.summary.metrics, True).alias("named"))
     read = read.select("question_id", asked.settled(F.col("found"), F.col("text")).alias("intent"), "named")
@@ -105,7 +107,12 @@ def evidence(questions: DataFrame, source: Source) -> DataFrame:
     For notable changes these are the steps that matter or, if none does, the least and largest value. Questions that are unsupported, need no
     numbers or a clarification have no rows; a repeated question has its rows again. The driver holds the distinct needed results.
     """
-    wanted = route(questions, source).where("clarification is null and shape in ('time', 'category')").select("question_id", "intent", "shape", F.explode("metrics").alias("metric"))
+    return _cited(cut(route(questions, source)), source)
+
+
+def _cited(routed: DataFrame, source: Source) -> DataFrame:
+    """The evidence of questions as `route` gives them. These are best a table: else what reads them tries the patterns again for each condition on an intent."""
+    wanted = routed.where("clarification is null and shape in ('time', 'category')").select("question_id", "intent", "shape", F.explode("metrics").alias("metric"))
     needed = [(r.shape, r.metric) for r in wanted.select("shape", "metric").distinct().orderBy("shape", "metric").collect()]  # two a metric at most
     facts = _facts(source, needed)
     quiet = facts.groupBy("shape", "metric").agg((~F.bool_or("notable")).alias("quiet"))
@@ -152,8 +159,8 @@ def answers(questions: DataFrame, source: Source) -> DataFrame:
     A question that can't be answered is told why. Numbers and periods in an answer are those of the cited facts alone; a cause is never named. A null
     question is unsupported. No questions give no rows.
     """
-    routed, names = route(questions, source), source.summary.metrics
-    facts = evidence(questions, source)
+    routed, names = cut(route(questions, source)), source.summary.metrics
+    facts = _cited(routed, source)
     rank = F.coalesce(*(F.when(F.col("fact") == f, i) for i, f in enumerate(SAID)), F.regexp_extract("fact", r"(\d+)", 1).try_cast("int") * 2 + F.col("fact").endswith("_share").cast("int"))
     said = facts.withColumns({"said": _sentence(F.col("fact"), F.col("value"), F.col("metric"), F.col("of"), names), "rank": rank, "label": F.coalesce(*(F.when(F.col("metric") == m, definition(m).label) for m in names), F.col("metric"))})
     by_metric = said.groupBy("question_id", "metric", "label").agg(F.array_sort(F.collect_list(F.struct("rank", "said", "fact"))).alias("parts"))

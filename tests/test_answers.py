@@ -76,3 +76,15 @@ def test_a_metric_is_recognised_only_if_available(spark):
     got = spark.createDataFrame([(q,) for q in said], "q string").select("q", questions.metric_of(F.col("q"), available).alias("m"))
     assert {r.q: r.m for r in got.collect()} == said
     assert spark.createDataFrame([("x",)], "q string").select(questions.metric_of(F.col("q"), []).alias("m")).first().m is None
+
+
+def test_questions_are_read_once(spark, source):
+    asked, seen = spark.createDataFrame([(i, ASKED[i % len(ASKED)][1]) for i in range(60)], "question_id long, question string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = answers.evidence(asked.mapInArrow(counted, asked.schema), source).collect()
+    assert seen.value == 60 and {r.question_id % len(ASKED) for r in got if r.intent == "extreme_period"} == {1}
